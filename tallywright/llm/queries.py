@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm import bpe, langid, mixing, quality, toxicity, winnowing
+from tallywright.llm import bpe, langid, lines, mixing, quality, simhash, toxicity, winnowing
 from tallywright.llm.common import held_out, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -21,6 +21,12 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of documents: doc_id, fingerprint, component_id."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     docs = table(spark, sf_dir, "documents")
@@ -44,6 +50,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line with the line that its component keeps: doc_id, line_no, line_id, first_doc_id, first_line_no, kept."""
+    found = lines.line_groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("no").alias("line_no"), "line_id", F.col("first_key").alias("first_doc_id"), F.col("first_no").alias("first_line_no"), "kept")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every text: doc_id, held_out, score, predicted, n_lines, bad_lines."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -84,7 +96,7 @@ SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, sour
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {"op2_language": op2_language, "op5_byte_bpe": op5_byte_bpe, "op6_toxicity": op6_toxicity, "op7_winnowing": op7_winnowing, "op8_mixing": op8_mixing, "op10_quality": op10_quality}
+    return {"op2_language": op2_language, "op3_simhash": op3_simhash, "op5_byte_bpe": op5_byte_bpe, "op6_toxicity": op6_toxicity, "op7_winnowing": op7_winnowing, "op8_mixing": op8_mixing, "op9_line_dedup": op9_line_dedup, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
