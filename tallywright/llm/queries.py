@@ -8,12 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm import bpe, langid, lines, mixing, quality, simhash, toxicity, winnowing
+from tallywright.llm import bpe, langid, lines, mixing, pii, quality, simhash, toxicity, winnowing
 from tallywright.llm.common import held_out, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced: doc_id, text, n_entities, kinds."""
+    done = pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "text", F.size("entities").alias("n_entities"), F.array_join("entities", ",").alias("kinds"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every text: doc_id, held_out, lang_pred, score, n_spans."""
     docs = table(spark, sf_dir, "documents")
@@ -96,7 +102,7 @@ SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, sour
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {"op2_language": op2_language, "op3_simhash": op3_simhash, "op5_byte_bpe": op5_byte_bpe, "op6_toxicity": op6_toxicity, "op7_winnowing": op7_winnowing, "op8_mixing": op8_mixing, "op9_line_dedup": op9_line_dedup, "op10_quality": op10_quality}
+    return {"op1_pii": op1_pii, "op2_language": op2_language, "op3_simhash": op3_simhash, "op5_byte_bpe": op5_byte_bpe, "op6_toxicity": op6_toxicity, "op7_winnowing": op7_winnowing, "op8_mixing": op8_mixing, "op9_line_dedup": op9_line_dedup, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
