@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm import bpe, langid, lines, mixing, pii, quality, simhash, toxicity, winnowing
+from tallywright.llm import bpe, langid, lines, mixing, neighbours, pii, quality, simhash, toxicity, winnowing
 from tallywright.llm.common import held_out, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -33,6 +33,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth: query_id, rank, vec_id, score."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     docs = table(spark, sf_dir, "documents")
@@ -102,7 +107,7 @@ SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, sour
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return {"op1_pii": op1_pii, "op2_language": op2_language, "op3_simhash": op3_simhash, "op5_byte_bpe": op5_byte_bpe, "op6_toxicity": op6_toxicity, "op7_winnowing": op7_winnowing, "op8_mixing": op8_mixing, "op9_line_dedup": op9_line_dedup, "op10_quality": op10_quality}
+    return {"op1_pii": op1_pii, "op2_language": op2_language, "op3_simhash": op3_simhash, "op4_nearest": op4_nearest, "op5_byte_bpe": op5_byte_bpe, "op6_toxicity": op6_toxicity, "op7_winnowing": op7_winnowing, "op8_mixing": op8_mixing, "op9_line_dedup": op9_line_dedup, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
