@@ -26,9 +26,13 @@ def text(value: Column) -> Column:
     return F.coalesce(value, F.lit(""))
 
 
+#: White space of any Unicode kind, information separators included (fixed values).
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(value: Column) -> Column:
     """Without white space at both ends, of any Unicode kind."""
-    return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+    return F.btrim(value, F.lit(WHITE))
 
 
 @F.pandas_udf(T.StringType())

@@ -37,16 +37,24 @@ def block_index(names: DataFrame) -> DataFrame:
     return keyed.groupBy("prefix3", "bucket").agg(F.sort_array(F.collect_list(F.struct("pos", "lower", "canonical"))).alias("names"))
 
 
-def block_candidates(probes: DataFrame, names: DataFrame) -> DataFrame:
-    """``lower`` probes with the names of their block and the ones next to it in length; ``ord`` is the order of trial."""
+def _spread(probes: DataFrame) -> DataFrame:
+    """Each of ``lower`` with the keys of its block and of the ones next to it in length."""
     steps = F.explode(F.array(*[F.struct(F.lit(k).alias("step"), (block_length(F.col("lower")) + k).alias("bucket")) for k in (-1, 0, 1)]))
-    spread = probes.select("lower", block_prefix(F.col("lower")).alias("prefix3"), steps.alias("s")).select("lower", "prefix3", "s.step", "s.bucket")
-    keyed = names.select(block_prefix(F.col("lower")).alias("prefix3"), block_length(F.col("lower")).alias("bucket"), F.col("lower").alias("candidate"), "canonical", "pos")
-    return spread.join(sent(keyed), ["prefix3", "bucket"]).select("lower", "candidate", "canonical", "step", "pos")
+    return probes.select("lower", block_prefix(F.col("lower")).alias("prefix3"), steps.alias("s")).select("lower", "prefix3", "s.step", "s.bucket")
+
+
+def _blocked(entry: DataFrame) -> DataFrame:
+    return entry.select(block_prefix(F.col("candidate")).alias("prefix3"), block_length(F.col("candidate")).alias("bucket"), "candidate", "canonical", "pos")
+
+
+def block_candidates(probes: DataFrame, names: DataFrame) -> DataFrame:
+    """``lower`` probes with the names of their block and the ones next to it in length; ``step``, then ``pos``, is the order of trial."""
+    entry = names.select(F.col("lower").alias("candidate"), "canonical", "pos")
+    return _spread(probes).join(sent(_blocked(entry)), ["prefix3", "bucket"]).select("lower", "candidate", "canonical", "step", "pos")
 
 
 def _best(scored: DataFrame) -> DataFrame:
-    order = Window.partitionBy("lower").orderBy(F.desc("score"), "step", "pos")
+    order = Window.partitionBy("lower").orderBy(F.desc_nulls_last("score"), "step", "pos")
     return scored.withColumn("__place", F.row_number().over(order)).filter(F.col("__place") == 1).drop("__place")
 
 
@@ -61,16 +69,18 @@ def match_names(raw: DataFrame, entries: DataFrame, column: str = "raw", cutoff:
     """
     names = canonical_names(entries)
     probes = raw.select(F.lower(strip(text(F.col(f"`{column}`")))).alias("lower")).distinct().filter(F.col("lower") != "")
-    equal = probes.join(sent(names), "lower").select("lower", "canonical", F.lit(100.0).alias("score"), F.lit("exact").alias("tier"))
-    others = probes.join(sent(names.select("lower")), "lower", "left_anti")
-    candidates = block_candidates(others, names)
-    best = _best(candidates.withColumn("score", scorer(F.col("lower"), F.col("candidate"))))
-    blocked = best.filter(F.col("score") >= cutoff).select("lower", "canonical", "score", F.when(F.col("score") == 100.0, "exact").otherwise("fuzzy_high").alias("tier"))
-    found = equal.unionByName(blocked)
+    # One look at the dictionary's size for all joins with it.
+    entry = sent(names.select(F.col("lower").alias("candidate"), "canonical", "pos"))
+    equal = probes.join(entry, probes["lower"] == entry["candidate"], "left").select("lower", "canonical")
+    others = equal.filter(F.col("canonical").isNull()).select("lower")
+    tried = _spread(others).join(_blocked(entry), ["prefix3", "bucket"], "left").select("lower", "candidate", "canonical", "step", "pos")
+    best = _best(tried.withColumn("score", scorer(F.col("lower"), F.col("candidate"))))
+    found = equal.filter(F.col("canonical").isNotNull()).withColumns({"score": F.lit(100.0), "tier": F.lit("exact")})
+    found = found.unionByName(best.filter(F.col("score") >= cutoff).select("lower", "canonical", "score", F.when(F.col("score") == 100.0, "exact").otherwise("fuzzy_high").alias("tier")))
     if fallback is not None:
         # Names whose blocks are empty are few; each is held against the dictionary in one pass.
-        alone = others.join(candidates.select("lower").distinct(), "lower", "left_anti")
-        scanned = alone.join(sent(names.select(F.col("lower").alias("candidate"), "canonical", "pos")), F.lit(True)).withColumn("step", F.lit(0))
+        alone = best.filter(F.col("candidate").isNull()).select("lower")
+        scanned = alone.join(entry, F.lit(True)).withColumn("step", F.lit(0))
         low = _best(scanned.withColumn("score", scorer(F.col("lower"), F.col("candidate")))).filter(F.col("score") >= fallback)
         found = found.unionByName(low.select("lower", "canonical", "score", F.lit("fuzzy_low").alias("tier")))
     own = strip(text(F.col(f"`{column}`")))

@@ -67,31 +67,35 @@ def align_lines(gold: Column, pred: Column) -> Column:
 def compare_field(field: Column, pred: Column, gold: Column) -> Column:
     """Whether a prediction is right; null where the label has nothing to compare with.
 
-    An empty prediction is wrong. Money is compared by digits, a barcode without
-    asterisks, a quantity as a number, the rest as lower-case text. A product
-    name also passes if it is similar enough: see :func:`settle_names`.
+    ``pred`` and ``gold`` are as :func:`comparable` makes them. An empty
+    prediction is wrong. Money is compared by digits, a barcode without
+    asterisks, a quantity as a number, the rest as it is. A product name also
+    passes if it is similar enough: see :func:`settle_names`.
     """
-    p, g = F.lower(strip(text(pred))), F.lower(strip(text(gold)))
     same = (
-        F.when(field.isin(*MONEY_FIELDS), money_for_compare(p) == money_for_compare(g))
-        .when(field == "barcode", F.replace(p, F.lit("*"), F.lit("")) == F.replace(g, F.lit("*"), F.lit("")))
-        .when(field == "product_quantity", quantity_for_compare(p) == quantity_for_compare(g))
-        .otherwise(p == g)
+        F.when(field.isin(*MONEY_FIELDS), money_for_compare(pred) == money_for_compare(gold))
+        .when(field == "barcode", F.replace(pred, F.lit("*"), F.lit("")) == F.replace(gold, F.lit("*"), F.lit("")))
+        .when(field == "product_quantity", quantity_for_compare(pred) == quantity_for_compare(gold))
+        .otherwise(pred == gold)
     )
-    return F.when(text(gold) == "", F.lit(None)).when(text(pred) == "", False).otherwise(same)
+    return F.when(F.col("expected") == "", F.lit(None)).when(F.col("predicted") == "", False).otherwise(same)
+
+
+def comparable(value: Column) -> Column:
+    """Stripped and in lower case."""
+    return F.lower(strip(text(value)))
 
 
 def settle_names(long: DataFrame) -> DataFrame:
     """Product names that are not equal, but whose lengths allow it, by the ratio of matching blocks.
 
-    Each distinct pair of names is worked out once.
+    Only those names are handed to the Arrow function, all else is null there;
+    each worker remembers the pairs it has worked out.
     """
-    p, g = F.lower(strip(text(F.col("predicted")))), F.lower(strip(text(F.col("expected"))))
-    doubtful = (F.col("field") == "product_name") & (~F.col("ok")) & (text(F.col("predicted")) != "") & ratio_possible(p, g, NAME_SIMILARITY)
-    marked = long.withColumn("__p", F.when(doubtful, p)).withColumn("__g", F.when(doubtful, g))
-    pairs = marked.filter(F.col("__p").isNotNull()).select("__p", "__g").distinct()
-    scored = pairs.withColumn("__near", sequence_ratio(F.col("__p"), F.col("__g")) > NAME_SIMILARITY)
-    return marked.join(scored, ["__p", "__g"], "left").withColumn("ok", F.coalesce("__near", "ok")).drop("__p", "__g", "__near")
+    p, g = F.col("__p"), F.col("__g")
+    doubtful = (F.col("field") == "product_name") & (~F.col("ok")) & (F.col("predicted") != "") & ratio_possible(p, g, NAME_SIMILARITY)
+    near = sequence_ratio(F.when(doubtful, p), F.when(doubtful, g))
+    return long.withColumn("ok", F.col("ok") | F.coalesce(near > NAME_SIMILARITY, F.lit(False)))
 
 
 def comparisons(records: DataFrame, keep: list[str], gold: str = "gold", pred: str = "pred") -> DataFrame:
@@ -112,8 +116,10 @@ def comparisons(records: DataFrame, keep: list[str], gold: str = "gold", pred: s
 
     each = F.concat(base, F.flatten(F.transform("__lines", line)))
     long = aligned.select(*keep, F.explode(each).alias("c")).select(*keep, "c.*")
-    judged = long.withColumn("ok", compare_field(F.col("field"), F.col("predicted"), F.col("expected"))).filter(F.col("ok").isNotNull())
-    return settle_names(judged)
+    # Fields without a label go before anything is worked out for them.
+    known = long.filter(F.col("expected") != "").withColumns({"__p": comparable(F.col("predicted")), "__g": comparable(F.col("expected"))})
+    judged = known.withColumn("ok", compare_field(F.col("field"), F.col("__p"), F.col("__g")))
+    return settle_names(judged).drop("__p", "__g")
 
 
 def mismatches(long: DataFrame, record: str) -> DataFrame:
