@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,18 +24,33 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared checkpoint folder and read it from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is
-    unset, as in a local test, a folder below the warehouse is taken.
+    Only where that is unset, as in a local test, a folder below the warehouse.
+    """
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write ``df`` as a table in the shared folder and read it from there.
+
+    A table, not ``checkpoint()``: that keeps the plan's estimate of its size,
+    and through rounds of joins the estimates multiply until the numbers alone
+    fill the driver and the tasks. A table is planned by the size it has.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
-    return df.checkpoint(eager=eager)
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_cut(*frames: DataFrame) -> None:
+    """Deletes tables that :func:`cut` wrote, when nothing reads them any more."""
+    for df in frames:
+        for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def partitions(spark: SparkSession, least: int = 1) -> int:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import cut
+from tallywright.llm.common import cut, drop_cut
 
 #: Rounds after which something must be wrong: each halves the longest path at least.
 MOST_ROUNDS = 64
@@ -33,9 +33,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         # Of every node with a larger neighbour, the smallest of itself and all its neighbours.
         near = cut(pointing.select(F.col("b").alias("node"), F.col("b").alias("least")).unionByName(pointing.select(F.col("a").alias("node"), F.col("b").alias("least"))).groupBy("node").agg(F.min("least").alias("least")))
         large = cut(pointing.join(near, pointing["b"] == near["node"]).select("a", F.col("least").alias("b")).distinct())
+        drop_cut(pointing, near)
         near = cut(large.groupBy("a").agg(F.min("b").alias("least")).withColumnRenamed("a", "node"))
         moved = large.join(near, large["a"] == near["node"]).filter(F.col("b") != F.col("least")).select(F.col("b").alias("a"), F.col("least").alias("b"))
         pointing = cut(moved.unionByName(near.select(F.col("node").alias("a"), F.col("least").alias("b"))).distinct())
+        drop_cut(large, near)
     roots = pointing.select(F.col("b").alias("node")).distinct()
     return pointing.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
 

@@ -31,7 +31,7 @@ LEVELS = (24, 32, 40, 48, 56, 64)
 #: Fingerprints of a bucket that one unit of work takes; larger buckets become pairs of tiles.
 TILE = 2048
 #: Pairs of nodes looked at together.
-PAIRS_AT_ONCE = 2_000_000
+PAIRS_AT_ONCE = 200_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -134,7 +134,7 @@ class GrayTree:
 
 
 def _unit_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (block, value, i, j, tile, fp), sorted by unit, to the edges of a spanning forest of each unit."""
+    """Rows (block, bucket, i, j, tile, fp), sorted by unit, to the edges of a spanning forest of each unit."""
 
     def solve(rows: list[np.ndarray]) -> pa.RecordBatch:
         block, value, i, j, tile, fp = rows
@@ -175,14 +175,15 @@ def links(fingerprints: DataFrame) -> DataFrame:
     meet. The sizes sent to all tasks are at most 4 * 65536 rows.
     """
     spark = fingerprints.sparkSession
-    blocks = F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", 64 - BLOCK_BITS * (k + 1)).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int").alias("value")) for k in range(BLOCKS)])
-    keyed = fingerprints.select("fp", F.inline(blocks))
-    sizes = keyed.groupBy("block", "value").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("block", "value", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    met = keyed.join(F.broadcast(sizes), ["block", "value"])
+    value = lambda k: F.shiftrightunsigned("fp", 64 - BLOCK_BITS * (k + 1)).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
+    # Block and value in one number, so that the sizes are sent as a compact table.
+    keyed = fingerprints.select("fp", F.explode(F.array(*[(value(k) + F.lit(k << BLOCK_BITS)).cast("long") for k in range(BLOCKS)])).alias("bucket"))
+    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    met = keyed.join(F.broadcast(sizes), "bucket")
     tile = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
     met = met.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    units = met.select("block", "value", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "fp")
-    unit = ["block", "value", "i", "j"]
+    units = met.select(F.shiftright("bucket", BLOCK_BITS).cast("int").alias("block"), "bucket", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "fp")
+    unit = ["block", "bucket", "i", "j"]
     return units.repartition(partitions(spark), *unit).sortWithinPartitions(*unit).mapInArrow(_unit_links, "a long, b long")
 
 
