@@ -182,3 +182,13 @@ def latest_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def join_by_file(predictions: DataFrame, gold: DataFrame) -> DataFrame:
     """Predictions with their labels by ``file``: of labels with one file the last by ``golden_index`` counts, predictions without are left out."""
     return predictions.join(latest_by(gold, ["file"], ["golden_index"]), "file")
+
+
+def next_run(log: DataFrame, budget: int = 3) -> dict:
+    """Number of the next experiment, and why it may not run: the budget is spent or a final run locked the log.
+
+    ``log`` (run, final) has a row for each run so far.
+    """
+    row = log.agg(F.count("*").alias("n"), F.coalesce(F.max("final"), F.lit(False)).alias("locked")).first()
+    refusal = "locked" if row["locked"] else "budget" if row["n"] >= budget else None
+    return {"run": row["n"] + 1, "refusal": refusal}

@@ -111,3 +111,13 @@ def write_report(spark: SparkSession, content: dict, folder: str) -> str:
 def markdown_row(row: Column | list[Column]) -> Column:
     """Columns as one row of a Markdown table."""
     return F.concat(F.lit("| "), F.concat_ws(" | ", *[c.cast("string") for c in row]), F.lit(" |"))
+
+
+def append_markdown(rows: DataFrame, folder: str, header: list[str]) -> None:
+    """Appends rows to a folder of text that makes up one Markdown table; the header is written when it is empty."""
+    spark = rows.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        lines = ["| " + " | ".join(header) + " |", "|" + "-|" * len(header)]
+        spark.createDataFrame([(x,) for x in ("\n".join(lines),)], "value string").coalesce(1).write.mode("append").text(folder)
+    rows.select(markdown_row([F.col(c) for c in header]).alias("value")).coalesce(1).write.mode("append").text(folder)

@@ -177,3 +177,33 @@ def test_geometry(spark):
     assert tuple(box) == (338, 338, 662, 662, None)
     low = spark.range(1).select(geometry.decode_box(*map(number, (320, 320, 200, 200, 0.1)), F.lit(1000), F.lit(1000)).alias("b")).first()["b"]
     assert low["error_code"] == "no_invoice_detected"
+
+
+def test_adapter(spark):
+    from tallywright.operators import adapter
+    from tallywright.schemas import Settings
+
+    calls = []
+
+    def failing(error, times):
+        def call():
+            calls.append(1)
+            if len(calls) <= times:
+                raise error
+            return "done"
+
+        return call
+
+    quiet = {"sleep": lambda _: None}
+    for error, times, expected in ((adapter.Throttled(), 9, ("yield", None, 1)), (adapter.Refused(), 9, ("permanent", None, 1)), (OSError(), 9, ("gemini_exhausted", None, 4)), (OSError(), 2, ("ok", "done", 3))):
+        calls.clear()
+        assert adapter.call_with_retries(failing(error, times), **quiet) == expected
+    rows = adapter.with_adapter(spark.createDataFrame([("a",), ("b",)], "v string"), lambda: str.upper, "v", "said", Settings()).collect()
+    assert {(r["v"], r["said"], r["outcome"], r["calls"]) for r in rows} == {("a", "A", "ok", 1), ("b", "B", "ok", 1)}
+
+
+def test_run_budget(spark):
+    log = lambda *rows: spark.createDataFrame(list(rows), "run int, final boolean")
+    assert score.next_run(log()) == {"run": 1, "refusal": None}
+    assert score.next_run(log((1, False), (2, False), (3, False))) == {"run": 4, "refusal": "budget"}
+    assert score.next_run(log((1, True))) == {"run": 2, "refusal": "locked"}

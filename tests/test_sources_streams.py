@@ -78,3 +78,10 @@ def test_sweeping(spark, tmp_path):
     finally:
         run.stop()
     assert found[0] == {"a": "FAILED_TRANSIENT", "b": "SUCCEEDED"}
+
+
+def test_markdown(spark, tmp_path):
+    for n in (1, 2):
+        files.append_markdown(spark.createDataFrame([(n, 50.0)], "run int, pct double"), str(tmp_path / "log"), ["run", "pct"])
+    lines = sorted(r["value"] for r in spark.read.text(str(tmp_path / "log")).collect())
+    assert lines == ["| 1 | 50.0 |", "| 2 | 50.0 |", "| run | pct |", "|-|-|"]
