@@ -20,16 +20,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     to the components' smallest nodes. No node's neighbours are ever gathered:
     the smallest comes from an aggregate with partial sums in each task, and the
     join back can split a node of many edges, as both of its sides are written
-    tables. Loops, repeated edges and rows with a null end are left out; no
-    edges give no rows.
+    tables. It ends when the edges are stars. Loops, repeated edges and rows
+    with a null end are left out; no edges give no rows.
     """
     ends = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("a") != F.col("b")))
-    pointing, before = cut(ends.distinct()), None
+    pointing = cut(ends.distinct())
     for _ in range(MOST_ROUNDS):
-        marked = pointing.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if marked["n"] == 0 or marked == before:
+        if _settled(pointing):
             break
-        before = marked
         # Of every node with a larger neighbour, the smallest of itself and all its neighbours.
         near = cut(pointing.select(F.col("b").alias("node"), F.col("b").alias("least")).unionByName(pointing.select(F.col("a").alias("node"), F.col("b").alias("least"))).groupBy("node").agg(F.min("least").alias("least")))
         large = cut(pointing.join(near, pointing["b"] == near["node"]).select("a", F.col("least").alias("b")).distinct())
@@ -42,6 +40,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return pointing.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
 
 
+def _settled(pointing: DataFrame) -> bool:
+    """Whether every node points to one other at most, and none that is pointed to points on."""
+    ends = pointing.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(pointing.select(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    seen = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return seen.filter((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("into") > 0))).isEmpty()
+
+
 def local_forest(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest index that each of ``count`` nodes is connected to by the edges ``a[i]``-``b[i]``."""
     least = np.arange(count)
