@@ -73,7 +73,7 @@ class FtrlProximal:
 
     def learn(self, places: np.ndarray, label: int) -> None:
         """One step on a document with the distinct ``places``."""
-        places = np.append(places, self.bias)
+        places = np.append(places.astype(np.int64), self.bias)
         w = self.weights(places)
         g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
         before = self.n[places]
@@ -93,30 +93,38 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """The non-zero weights as (place, weight), the bias at place ``2**BITS``.
 
     Learns from at most ``rows`` labelled rows outside the held-out fold, the
-    first by a seeded hash, each passed over ``passes`` times in one task that
-    streams them. Rows without label, key or document are not examples; a row
-    labelled twice is two examples. Without examples the list is empty.
+    first by a seeded hash. Their features are worked out where the texts lie;
+    one task gets the places alone, four bytes for each distinct one, and goes
+    over them ``passes`` times. Rows without label, key or document are not
+    examples; a row labelled twice is two examples. Without examples the list is
+    empty.
     """
     chosen = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("int").alias("y")).filter(F.col("k").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("k")))
     sample = bounded_rows(chosen, ["k", "y"], rows, seed)
     texts = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
-    turns = texts.join(F.broadcast(sample), "k").withColumn("turn", F.explode(F.sequence(F.lit(1), F.lit(passes))))
-    ordered = turns.withColumn("h", F.xxhash64(F.lit(seed), F.col("turn"), F.col("k"))).repartition(1).sortWithinPartitions("turn", "h", "k", "t", "y").select("t", "y")
+    labelled = texts.join(F.broadcast(sample), "k").select(F.xxhash64(F.lit(seed), "k").alias("h"), "k", "y", "t")
 
-    def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learner = FtrlProximal()
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for one in batches:
-            texts, marks = one.column(0).to_pylist(), one.column(1).to_pylist()
-            for start, part in text_chunks(texts):
+            found = []
+            for _, part in text_chunks(one.column(3).to_pylist()):
                 places, owners = features(part)
                 order = np.argsort(owners, kind="stable")
                 borders = np.searchsorted(owners[order], np.arange(len(part) + 1))
-                for i in range(len(part)):
-                    learner.learn(np.unique(places[order[borders[i] : borders[i + 1]]]), marks[start + i])
+                found.extend(np.unique(places[order[a:b]]).astype(np.uint32).tobytes() for a, b in zip(borders, borders[1:]))
+            yield pa.RecordBatch.from_arrays([one.column(0), one.column(2).cast(pa.int32()), pa.array(found, pa.binary())], names=["h", "y", "places"])
+
+    def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        examples = [(y, np.frombuffer(places, np.uint32)) for one in batches for y, places in zip(one.column(0).to_pylist(), one.column(1).to_pylist())]
+        learner = FtrlProximal()
+        for turn in range(passes):
+            for i in np.random.default_rng((seed, turn)).permutation(len(examples)):
+                learner.learn(examples[i][1], examples[i][0])
         places, weights = learner.model() if learner.seen else (np.zeros(0, np.int64), np.zeros(0))
         yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(weights, pa.float64())], names=["place", "weight"])
 
-    found = ordered.mapInArrow(learnt, "place long, weight double")
+    spread = labelled.mapInArrow(placed, "h long, y int, places binary")
+    found = spread.repartition(1).sortWithinPartitions("h", "y", "places").select("y", "places").mapInArrow(learnt, "place long, weight double")
     return [(r["place"], r["weight"]) for r in found.collect()]
 
 
