@@ -316,6 +316,27 @@ def test_nearest_over_blocks(spark, monkeypatch):
     assert rows.vec_id[rows.query_id == 100].tolist() == [101, 102, 103, 104, 105]
 
 
+def plain_recall(rows, x, every=50):
+    """Share of the five nearest by brute force that ``rows`` hold."""
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits, asked = 0, range(0, len(x), every)
+    for q in asked:
+        near = unit @ unit[q]
+        near[q] = -2
+        hits += len(set(np.argsort(-near, kind="stable")[:5]) & set(rows.vec_id[rows.query_id == q]))
+    return hits / (5 * len(asked))
+
+
+def test_nearest_among_near_copies(spark):
+    """Near copies of one vector by the thousand differ by less than a byte per component tells."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(6000, 64))
+    x[:4000] = x[0] + 0.025 * rng.normal(size=(4000, 64))
+    x = x.astype(np.float32)
+    table = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    assert plain_recall(neighbours.nearest(table, every=100).toPandas(), x.astype(np.float64), 100) >= 0.97
+
+
 def test_pii_keeps_distinct_and_alike(spark):
     texts = [f"Mail user{i}@corp{i % 5}.com or USER{i}@CORP{i % 5}.COM, call +1 (706) 555-{1000 + i}, host 10.0.{i}.7." for i in range(60)]
     texts += ["Mr. John Smith and Frau Müller; Mr. John Smith again", "card 4644348398010899 and 4644 3483 9801 0899, not 1234567812345678", 'token = "0123456789abcdef01234567"', "г-н Иванов"]
