@@ -337,6 +337,15 @@ def test_nearest_among_near_copies(spark):
     assert plain_recall(neighbours.nearest(table, every=100).toPandas(), x.astype(np.float64), 100) >= 0.97
 
 
+def test_nearest_keeps_recall_as_blocks_shrink(spark, monkeypatch):
+    """Blocks hold a hundredth of the table, so three rounds would leave the lists half known."""
+    for name, value in (("BLOCK", 64), ("NEIGHBOURS", 16), ("REVERSE", 8), ("BEAM", 16)):
+        monkeypatch.setattr(neighbours, name, value)
+    x = np.random.default_rng(10).normal(size=(6000, 16))
+    table = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    assert plain_recall(neighbours.nearest(table, every=100).toPandas(), x, 100) >= 0.97
+
+
 def test_pii_keeps_distinct_and_alike(spark):
     texts = [f"Mail user{i}@corp{i % 5}.com or USER{i}@CORP{i % 5}.COM, call +1 (706) 555-{1000 + i}, host 10.0.{i}.7." for i in range(60)]
     texts += ["Mr. John Smith and Frau Müller; Mr. John Smith again", "card 4644348398010899 and 4644 3483 9801 0899, not 1234567812345678", 'token = "0123456789abcdef01234567"', "г-н Иванов"]
