@@ -133,18 +133,19 @@ def like_digits(value: Column, seed: Column, kept: int) -> Column:
 
 
 def _named(seed: Column, canon: Column, draw: Column) -> Column:
-    """A name of as many words, of the gender and script told; later draws have double family names."""
+    """A name of as many words, of the gender and script told; later draws have family names of more and more parts."""
     gender, words = F.substring(canon, 1, 1), F.split(F.substring(canon, 3, 1_000), " ")
     script = F.when(canon.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
 
-    def family(place: int) -> Column:
+    def family(place: Column) -> Column:
         lists = [(s, v.split()) for s, v in FAMILY.items()]
-        return reduce(lambda chain, sv: chain.when(script == sv[0], F.element_at(F.array(*map(F.lit, sv[1])), _drawn(seed, F.lit(place), len(sv[1])) + 1)), lists[1:], F.when(script == lists[0][0], F.element_at(F.array(*map(F.lit, lists[0][1])), _drawn(seed, F.lit(place), len(lists[0][1])) + 1)))
+        return reduce(lambda chain, sv: chain.when(script == sv[0], F.element_at(F.array(*map(F.lit, sv[1])), _drawn(seed, place, len(sv[1])) + 1)), lists[1:], F.when(script == lists[0][0], F.element_at(F.array(*map(F.lit, lists[0][1])), _drawn(seed, place, len(lists[0][1])) + 1)))
 
     picks = [((script == s) & (gender == g), F.element_at(F.array(*map(F.lit, v.split())), _drawn(seed, F.lit(0), len(v.split())) + 1)) for (s, g), v in GIVEN.items()]
     given = reduce(lambda chain, cv: chain.when(*cv), picks[1:], F.when(*picks[0]))
-    last = F.when(draw < 2, family(1)).when(draw < 6, F.concat_ws("-", family(1), family(2))).otherwise(F.concat_ws("-", family(1), family(2), family(3)))
-    middle = F.when(F.size(words) > 2, F.concat(F.lit(" "), family(4))).otherwise("")
+    parts = F.when(draw < 2, 1).when(draw < 6, 2).otherwise((draw + 6) / 4).cast("int")
+    last = F.array_join(F.transform(F.sequence(F.lit(1), parts), family), "-")
+    middle = F.when(F.size(words) > 2, F.concat(F.lit(" "), family(F.lit(4)))).otherwise("")
     return F.when(F.size(words) > 1, F.concat(given, middle, F.lit(" "), last)).otherwise(last)
 
 

@@ -369,6 +369,12 @@ def test_pii_draws_again(spark):
     assert len({r["chosen"] for r in rows}) == 400
 
 
+def test_pii_names_do_not_run_out(spark):
+    """More names of one word than there are of three family parts and fewer."""
+    many = spark.range(17_000).select(F.lit("person").alias("kind"), F.concat(F.lit("m:name"), "id").alias("canon"))
+    assert pii.assign(many).select("chosen").distinct().count() == 17_000
+
+
 def test_pii_query(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     for r in queries.op1_pii(spark, SMALL).collect():
