@@ -6,7 +6,10 @@ same script and case, digits stay digits, card numbers pass the check sum,
 addresses stay in reserved domains, and names follow the gender that their title
 tells. A replacement that another entity has got too, or that occurs in the
 corpus itself, is drawn anew, so distinct entities stay distinct, and one entity
-has the same replacement wherever and however it is written.
+has the same replacement wherever and however it is written. A name is found by a
+title; where its document repeats it or a part of it, with another title or none,
+the same replacement or its part stands there. Its gender is what all its titles
+in the corpus tell.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ _TITLE = "|".join(sorted((t for v in TITLES.values() for t in v), key=len, rever
 #: Kind and pattern, in the order in which they are tried at a place.
 PATTERNS = (
     ("email", r"(?<![\p{L}\p{N}._%+\-@])[\p{L}\p{N}_%+\-]++(?:\.[\p{L}\p{N}_%+\-]+)*+@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}"),
-    ("secret", r"(?i:(?<![\p{L}\p{N}])(?:token|api[_\-]?key|secret|password|passwd)\s{0,3}[=:]\s{0,3}[\"']?)(?-i:[A-Za-z0-9_\-+/]{12,})"),
+    ("secret", r"(?i:(?<![\p{L}\p{N}])(?:token|api[_\-]?key|secret)\s{0,3}[=:]\s{0,3}[\"']?)(?-i:[A-Za-z0-9_\-+/]{12,})|(?i:(?<![\p{L}\p{N}])(?:password|passwd)\s{0,3}[=:]\s{0,3}[\"']?)(?:[^\s\"']*[^\s\"'.,;)\]}]|[^\s\"']+)"),
     ("ip", r"(?<![\d.])" + rf"(?:{_OCTET}\.){{3}}{_OCTET}" + r"(?!\.?\d)"),
     ("ssn", _LEFT + r"\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])"),
     ("phone", r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\p{L}\p{N}])"),
@@ -95,6 +98,34 @@ def luhn_valid(number: Column) -> Column:
     return luhn_sum(number) % 10 == 0
 
 
+def _name(entity: Column) -> Column:
+    return F.regexp_replace(entity, _TITLE_HEAD, "")
+
+
+def names_in(text: Column) -> Column:
+    """The names that titles tell in ``text``, those of most words first, then as they come."""
+    titled = F.filter(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), lambda e: e.rlike(f"^(?:{dict(PATTERNS)['person']})$"))
+    names = F.array_distinct(F.transform(titled, _name))
+    ordered = F.array_sort(F.transform(names, lambda n, i: F.struct((-F.size(F.split(n, " "))).alias("words"), i.alias("place"), n.alias("name"))))
+    return F.transform(ordered, lambda x: x["name"])
+
+
+def mentions(names: Column) -> Column:
+    """The pattern of a document's entities: all kinds, and its names, whole or a word of them, without a title."""
+    words = F.array_distinct(F.concat(names, F.flatten(F.transform(names, lambda n: F.filter(F.split(n, " "), lambda w: F.length(w) > 1)))))
+    forms = F.array_distinct(F.concat(words, F.transform(words, F.upper)))
+    longest = F.transform(F.array_sort(F.transform(forms, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: x["w"])
+    bare = F.concat(F.lit(rf"|(?<![\p{{L}}\p{{N}}])(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    return F.concat(F.lit(ANY), F.when(F.size(names) > 0, bare).otherwise(""))
+
+
+def whole_name(names: Column, entity: Column) -> Column:
+    """In lower case, the name of the document that a mention is of: itself or one that it is a run of words of."""
+    own = F.lower(_name(entity))
+    held = F.filter(F.transform(names, F.lower), lambda n: F.concat(F.lit(" "), n, F.lit(" ")).contains(F.concat(F.lit(" "), own, F.lit(" "))))
+    return F.coalesce(F.get(held, F.lit(0)), own)
+
+
 def gender_of(entity: Column) -> Column:
     """m, f or n, by the title."""
     title = F.regexp_extract(entity, _TITLE_HEAD, 0)
@@ -159,14 +190,16 @@ def surrogate(kind: Column, canon: Column, draw: Column, key: str = KEY) -> Colu
     octets = [(_drawn(seed, F.lit(i), n) + low).cast("string") for i, (n, low) in enumerate(((222, 1), (256, 0), (256, 0), (254, 1)))]
     body = F.regexp_replace(like_digits(canon, seed, 1), r".$", "")
     check = (F.lit(10) - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
-    hexed = lambda letters: F.array_join(F.transform(F.filter(F.split(canon, ""), lambda c: c != ""), lambda _, i: F.substring(F.lit(letters), _drawn(seed, i, 16) + 1, F.lit(1))), "")
+    # Short secrets have few others of their length, so later draws are longer.
+    secret = F.concat(canon, F.when(draw > 7, F.repeat(F.lit("a"), draw - 7)).otherwise(""))
+    hexed = lambda letters: F.array_join(F.transform(F.filter(F.split(secret, ""), lambda c: c != ""), lambda _, i: F.substring(F.lit(letters), _drawn(seed, i, 16) + 1, F.lit(1))), "")
     return (
         F.when(kind == "email", F.concat(like_letters(local, seed), F.lit("@"), reserved))
         .when(kind == "phone", like_digits(canon, seed, 1))
         .when(kind == "ssn", like_digits(canon, seed, 0))
         .when(kind == "card", F.concat(body, check.cast("string")))
         .when(kind == "ip", F.concat_ws(".", *octets))
-        .when(kind == "secret", F.when(canon.rlike("^[0-9a-f]+$"), hexed("0123456789abcdef")).when(canon.rlike("^[0-9A-F]+$"), hexed("0123456789ABCDEF")).otherwise(like_letters(canon, seed)))
+        .when(kind == "secret", F.when(canon.rlike("^[0-9a-f]+$"), hexed("0123456789abcdef")).when(canon.rlike("^[0-9A-F]+$"), hexed("0123456789ABCDEF")).otherwise(like_letters(secret, seed)))
         .when(kind == "person", _named(seed, canon, draw))
     )
 
@@ -220,14 +253,28 @@ def pseudonymised(docs: DataFrame, text: str = "text", key: str = KEY, entities:
     source = docs.drop(entities).withColumn("__hash", F.sha2(F.when(F.col(f"`{text}`").rlike(HINT), F.when(F.col(f"`{text}`").rlike(ANY), F.col(f"`{text}`"))), 256))
     columns = [c for c in docs.columns if c != entities]
     held = source.filter(F.col("__hash").isNotNull())
-    found = held.select("__hash", F.posexplode(F.regexp_extract_all(f"`{text}`", F.lit(ANY), F.lit(0))).alias("place", "entity"))
-    once = found.groupBy("__hash", "place").agg(F.first("entity").alias("entity")).withColumn("kind", kind_of(F.col("entity")))
-    spotted = cut(once.withColumn("canon", canonical(F.col("kind"), F.col("entity"))))
+    pattern = mentions(names_in(F.col(f"`{text}`")))
+    told = held.select("__hash", F.col(f"`{text}`").alias("__text"), names_in(F.col(f"`{text}`")).alias("__names")).withColumn("__any", mentions(F.col("__names")))
+    found = told.select("__hash", "__names", F.posexplode(F.regexp_extract_all("__text", F.col("__any"), F.lit(0))).alias("place", "entity"))
+    found = found.select("__hash", "place", "entity", whole_name(F.col("__names"), F.col("entity")).alias("whole"), F.col("entity").rlike(r"^\p{L}").alias("letters"))
+    once = found.groupBy("__hash", "place").agg(*[F.first(c).alias(c) for c in ("entity", "whole", "letters")])
+    # What is of no kind and no number is a name without its title.
+    once = cut(once.withColumn("kind", F.coalesce(kind_of(F.col("entity")), F.when(F.col("letters"), "person"))))
+    titled = once.filter((F.col("kind") == "person") & F.col("entity").rlike(_TITLE_HEAD)).select("whole", gender_of(F.col("entity")).alias("g")).filter(F.col("g") != "n")
+    genders = titled.groupBy(F.col("whole").alias("whole_")).agg(F.when(F.min("g") == F.max("g"), F.min("g")).alias("gender"))
+    resolved = once.join(genders, (F.col("kind") == "person") & (F.col("whole") == F.col("whole_")), "left")
+    canon = F.when(F.col("kind") == "person", F.concat(F.coalesce("gender", F.lit("n")), F.lit(":"), "whole")).otherwise(canonical(F.col("kind"), F.col("entity")))
+    spotted = cut(resolved.select("__hash", "place", "entity", "kind", canon.alias("canon")))
     chosen = cut(assign(spotted.filter(F.col("kind").isNotNull()), key)).withColumnsRenamed({"kind": "kind_", "canon": "canon_"})
     named = spotted.join(chosen, (F.col("kind") == F.col("kind_")) & (F.col("canon") == F.col("canon_")), "left")
-    written = named.select("__hash", "place", "kind", F.when(F.col("kind").isNull(), F.col("entity")).otherwise(rendered(F.col("kind"), F.col("entity"), F.col("chosen"))).alias("entity"))
+    # A part of a name gets the words at its places.
+    own = F.lower(_name(F.col("entity")))
+    before = F.split(F.call_function("substring_index", F.concat(F.lit(" "), F.substring("canon", 3, 1_000), F.lit(" ")), F.concat(F.lit(" "), own, F.lit(" ")), F.lit(1)), " ")
+    some = F.array_join(F.slice(F.split("chosen", " "), F.size(F.filter(before, lambda w: w != "")) + 1, F.size(F.split(own, " "))), " ")
+    part = F.when(F.col("kind") == "person", some).otherwise(F.col("chosen"))
+    written = named.select("__hash", "place", "kind", F.when(F.col("kind").isNull(), F.col("entity")).otherwise(rendered(F.col("kind"), F.col("entity"), part)).alias("entity"))
     lists = written.groupBy(F.col("__hash").alias("__of")).agg(F.sort_array(F.collect_list(F.struct("place", "entity", "kind"))).alias("__new"))
-    between = F.split(F.col(f"`{text}`"), ANY, -1)
+    between = F.split(F.col(f"`{text}`"), pattern, -1)
     pieces = F.transform(between, lambda part, i: F.concat(part, F.coalesce(F.get(F.col("__new"), i)["entity"], F.lit(""))))
     met = held.join(lists, F.col("__hash") == F.col("__of"))
     replaced = met.select(*[F.array_join(pieces, "").alias(c) if c == text else F.col(f"`{c}`") for c in columns], F.filter(F.col("__new")["kind"], lambda k: k.isNotNull()).alias(entities))

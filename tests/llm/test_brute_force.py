@@ -369,6 +369,17 @@ def test_pii_draws_again(spark):
     assert len({r["chosen"] for r in rows}) == 400
 
 
+def test_pii_follows_names_and_passwords(spark):
+    texts = ["Dr. Maria Silva came. Maria Silva said so, Ms Silva too, and SILVA; Silvano stays.", "Dr. Anna Weber and Frau Anna Weber", "password: hunter2! and passwd=ab.", "Maria stays."]
+    done = [r["text"] for r in pii.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    given, family, *others = re.fullmatch(r"Dr\. (\S+) (\S+) came\. (\S+) (\S+) said so, Ms (\S+) too, and (\S+); Silvano stays\.", done[0]).groups()
+    assert others == [given, family, family, family.upper()] and family != "Silva" and given in pii.GIVEN["latin", "f"].split()
+    one, two = re.fullmatch(r"Dr\. (.+) and Frau (.+)", done[1]).groups()
+    assert one == two != "Anna Weber"
+    assert re.fullmatch(r"password: [a-z]{6}\d! and passwd=[0-9a-f]{2}\.", done[2]) and "hunter" not in done[2]
+    assert done[3] == texts[3]
+
+
 def test_pii_names_do_not_run_out(spark):
     """More names of one word than there are of three family parts and fewer."""
     many = spark.range(17_000).select(F.lit("person").alias("kind"), F.concat(F.lit("m:name"), "id").alias("canon"))
