@@ -22,8 +22,8 @@ from tallywright.llm.common import code_points, cut, mix64, partitions, text_chu
 from tallywright.llm.components import connected_components
 
 SHINGLE, SIMILARITY = 10, 0.8
-#: At similarity 0.8 a pair shares one of 12 bands of 5 minima with probability 0.99.
-BANDS, ROWS = 12, 5
+#: At similarity 0.8 a pair shares one of 20 bands of 4 minima with probability 0.99997.
+BANDS, ROWS = 20, 4
 #: Lines of a candidate group that one unit of work takes; larger groups become pairs of tiles.
 TILE = 1024
 #: Candidate lines that are sent to all tasks, at most; beyond it they meet the texts in a shuffle join.

@@ -152,6 +152,15 @@ def test_lines_query(spark, texts):
     assert all(r["kept"] == (got[r["doc_id"], r["line_no"]] == (r["doc_id"], r["line_no"])) for r in rows)
 
 
+def test_line_bands_meet_at_the_limit():
+    """Pairs of 90 shingles each that differ in 10 have similarity 0.8."""
+    draw = random.Random(11)
+    word = lambda n: "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    starts = [word(89) for _ in range(2000)]
+    one, two = (lines.band_hashes([s + word(10) for s in starts]) for _ in range(2))
+    assert (one == two).any(axis=1).all()
+
+
 @pytest.mark.parametrize("sent", [0, lines.SENT_LINES])
 def test_lines_of_one_large_group(spark, monkeypatch, sent):
     monkeypatch.setattr(lines, "TILE", 8)
