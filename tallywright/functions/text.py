@@ -45,6 +45,9 @@ def _unmarked(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else "".join(c for c in unicodedata.normalize("NFD", v) if not unicodedata.combining(c)))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _nfc_each(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if v is None else [None if x is None else unicodedata.normalize("NFC", x) for x in v])
 
 
 def compose(value: Column) -> Column:
@@ -57,6 +60,11 @@ def normalize_unicode(value: Column) -> Column:
     return strip(compose(text(value)))
 
 
+def normalize_each(values: Column) -> Column:
+    """:func:`normalize_unicode` of each text of an array; no Arrow function works within one."""
+    return F.transform(_nfc_each(F.transform(values, text)), strip)
+
+
 def strip_then_compose(value: Column) -> Column:
     """Stripped, then NFC: the order that dictionary building takes."""
     return compose(strip(text(value)))

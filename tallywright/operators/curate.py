@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tallywright.functions.text import strip, strip_then_compose, text
+from tallywright.functions.text import fold_accents, strip, strip_then_compose, text
 from tallywright.schemas import BASE_FIELDS, DEFAULTS, PRODUCT_FIELDS
 
 CRITICAL_FIELDS = ("date", "receipt_number", "total_money")
@@ -98,11 +99,32 @@ def dictionary_profile(records: DataFrame) -> DataFrame:
     return records.groupBy("type").agg(F.count_if(named(F.col("name"))).alias("records_with_name"), F.coalesce(F.sum(products), F.lit(0)).alias("products_with_name"))
 
 
+def spread_rank(rows: DataFrame, groups: list[str], bucket: Column, order: list[Column], output: str) -> DataFrame:
+    """``rows`` with their place (from 1) within ``groups`` by ``order``, worked out bucket by bucket.
+
+    ``bucket`` has to follow the order: no row comes before one of a smaller
+    bucket. Rows are counted by bucket, the counts summed up along the buckets of
+    a group, and each row's place is that sum and its place in its own bucket. So
+    a group that holds most rows is ranked by as many tasks as it has buckets.
+    """
+    keyed = rows.withColumn("__bucket", bucket)
+    ahead = Window.partitionBy(*groups).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = keyed.groupBy(*groups, "__bucket").agg(F.count("*").alias("__n"))
+    shifts = counts.select(*[F.col(g).alias(f"__{g}") for g in groups], F.col("__bucket").alias("__of"), F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__shift"))
+    same = F.col("__bucket").eqNullSafe(F.col("__of"))
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"__{g}"))
+    own = F.row_number().over(Window.partitionBy(*groups, "__bucket").orderBy(*order))
+    placed = keyed.withColumn("__own", own).join(shifts, same)
+    return placed.withColumn(output, F.col("__shift") + F.col("__own")).select(*rows.columns, output)
+
+
 def name_dictionary(names: DataFrame, column: str) -> DataFrame:
     """Distinct names, stripped and composed, in code point order with their place."""
     distinct = names.select(F.trim(F.col(column)).alias("raw")).distinct().select(strip_then_compose(F.col("raw")).alias("canonical")).filter(F.col("canonical") != "").distinct()
-    # Composing runs on distinct names only. The place is a rank in a dictionary, which is sent to all tasks anyway.
-    return distinct.select((F.row_number().over(Window.orderBy("canonical")) - 1).alias("pos"), "canonical")
+    # Composing runs on distinct names only; ranks go by the names' beginnings.
+    ranked = spread_rank(distinct, [], F.substring("canonical", 1, 3), [F.col("canonical")], "rank")
+    return ranked.select((F.col("rank") - 1).cast("int").alias("pos"), "canonical")
 
 
 def stratified_split(records: DataFrame, key: str, seed: int = 42, ratio: float = DEFAULTS.test_ratio) -> DataFrame:
@@ -115,7 +137,9 @@ def stratified_split(records: DataFrame, key: str, seed: int = 42, ratio: float
     sizes = own.groupBy("stratum").agg(F.count("*").alias("__n"))
     wanted = F.floor(F.col("__n") * F.lit(ratio))
     wanted = F.when(F.col("stratum") == SMALL_TYPE, F.greatest(F.lit(SMALL_TEST), wanted)).otherwise(wanted)
-    placed = own.withColumn("__place", F.row_number().over(Window.partitionBy("stratum").orderBy(F.xxhash64(F.lit(seed), key), key)))
+    hashed = own.withColumn("__hash", F.xxhash64(F.lit(seed), key))
+    # A type may hold most records: it is ranked in 65,536 parts of about equal size.
+    placed = spread_rank(hashed, ["stratum"], F.shiftright("__hash", 48), [F.col("__hash"), F.col(key)], "__place").drop("__hash")
     return placed.join(sizes, "stratum").withColumn("split", F.when(F.col("__place") > F.col("__n") - wanted, "test").otherwise("dev")).drop("__n", "__place")
 
 
@@ -138,6 +162,26 @@ def seeded_sample(records: DataFrame, key: str, rows: int | None, seed: int = 42
     return records.orderBy(F.xxhash64(F.lit(seed), key), key).limit(rows)
 
 
+SKIPPED_KEYS = ("file", "type")
+
+
+def normalized_record(kind: T.DataType, value: Column, skipped: tuple[str, ...] = SKIPPED_KEYS) -> Column:
+    """A value of any depth with every text in it folded (see ``remove_marks``), keys named in ``skipped`` as they are at each level."""
+    if isinstance(kind, T.StringType):
+        return F.when(value.isNotNull(), fold_accents(value))
+    if isinstance(kind, T.StructType):
+        fields = [(value[f.name] if f.name in skipped else normalized_record(f.dataType, value[f.name], skipped)).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: normalized_record(kind.elementType, x, skipped))
+    return value
+
+
+def normalized_records(records: DataFrame, skipped: tuple[str, ...] = SKIPPED_KEYS) -> DataFrame:
+    """``records`` with all texts folded, in nested records and lists as well."""
+    return records.select(*[(F.col(f"`{f.name}`") if f.name in skipped else normalized_record(f.dataType, F.col(f"`{f.name}`"), skipped)).alias(f.name) for f in records.schema.fields])
+
+
 def head(records: DataFrame, order: str, rows: int) -> DataFrame:
     """The first ``rows`` by ``order``."""
     return records.orderBy(order).limit(rows)

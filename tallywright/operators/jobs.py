@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +13,8 @@ from pyspark.sql.window import Window
 from tallywright.functions.text import host_allowed, text
 from tallywright.schemas import DEFAULTS, ERRORS, FAILED_PERMANENT, FAILED_TRANSIENT, PENDING, PROCESSING, STATUSES, SUCCEEDED, TERMINAL, Settings
 
+#: Characters of a URL that the job table holds.
+LONGEST_URL = 512
 UUID = r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"
 
 
@@ -18,10 +23,50 @@ def job_by_id(jobs: DataFrame, job_id: str) -> DataFrame:
     return jobs.filter(F.col("job_id") == job_id)
 
 
+def storable(url: Column) -> Column:
+    """Whether the job table can hold the URL: it is never cut."""
+    return F.coalesce(F.char_length(url) <= LONGEST_URL, F.lit(False))
+
+
 def new_jobs(requests: DataFrame, now: Column) -> DataFrame:
-    """Rows of fresh jobs from (job_id, image_url)."""
+    """Rows of fresh jobs from (job_id, image_url); a URL that the table can't hold fails the write, as its column type does."""
     empty = lambda name: F.lit(None).cast("string").alias(name)
-    return requests.select("job_id", F.lit(PENDING).alias("status"), empty("phash"), F.substring("image_url", 1, 512).alias("image_url"), empty("error_code"), empty("error_message"), now.alias("created_at"), now.alias("updated_at"))
+    url = F.when(F.assert_true(F.col("image_url").isNull() | storable(F.col("image_url")), F.lit("image_url is too long")).isNull(), F.col("image_url"))
+    return requests.select("job_id", F.lit(PENDING).alias("status"), empty("phash"), url.alias("image_url"), empty("error_code"), empty("error_message"), now.alias("created_at"), now.alias("updated_at"))
+
+
+def submitted(requests: DataFrame, depth: Column, now: Column, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a batch of requests (job_id, image_url) leads to: answers, rows for the job table, messages for the queue.
+
+    Backpressure comes first, then the host, then the row, then the message. A
+    URL that the table can't hold is an internal error, of which nothing is stored.
+    """
+    judged = admitted(requests, depth, settings)
+    fits = storable(F.col("image_url"))
+    http = F.when(F.col("accepted") & ~fits, 500).otherwise(F.col("http_status"))
+    error = F.when(http == 429, "backpressure").when(http == 400, "disallowed_domain").when(http == 500, "internal_error")
+    answers = judged.select("job_id", http.alias("http_status"), error.alias("error_code"), F.when(http == 202, PENDING).otherwise(payload_status(http)).alias("status"))
+    stored = judged.filter(F.col("accepted") & fits)
+    return answers, new_jobs(stored, now), stored.select("job_id", "image_url")
+
+
+def yielded(jobs: DataFrame, messages: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Jobs that go back to the queue: ``jobs`` with their update times moved, and the messages (job_id, image_url, enqueued_at) for its tail.
+
+    The times keep the sweeper away. How many there are, the count of the messages tells.
+    """
+    return touch(jobs, messages.select("job_id"), now), messages.select("job_id", "image_url", now.alias("enqueued_at"))
+
+
+def waiting(enqueued: DataFrame, taken: DataFrame) -> DataFrame:
+    """Messages of the queue that no worker has taken yet, by job and time of arrival."""
+    gone = taken.select("job_id", "enqueued_at").distinct()
+    return enqueued.join(gone, ["job_id", "enqueued_at"], "left_anti")
+
+
+def queue_depth(enqueued: DataFrame, taken: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """One row: the number of waiting messages and the level it means."""
+    return waiting(enqueued, taken).agg(F.count("*").alias("depth")).select("depth", backpressure(F.col("depth"), settings)["level"].alias("level"))
 
 
 def stale(now: Column, settings: Settings = DEFAULTS) -> Column:
@@ -49,20 +94,24 @@ def purge(jobs: DataFrame, now: Column, settings: Settings = DEFAULTS) -> tuple[
     return jobs.filter(~gone), jobs.groupBy("status").agg(F.count_if(gone).alias("deleted"))
 
 
-def update(jobs: DataFrame, changes: DataFrame, now: Column, strict_terminal: bool = False) -> DataFrame:
+def update(jobs: DataFrame, changes: DataFrame, now: Column, strict_terminal: bool = False, order: str | None = None) -> DataFrame:
     """``jobs`` after ``changes`` (job_id, status and any of phash, error_code, error_message): null keeps what was there.
 
-    So an error of an earlier try survives a later success. With
+    So an error of an earlier try survives a later success. Of several changes to
+    a job, each column has its last one that is not null, by the column
+    ``order``, or, without it, by the changes' own columns. With
     ``strict_terminal``, jobs that are over don't change.
     """
-    optional = [c for c in changes.columns if c not in ("job_id", "status")]
-    new = changes.select(F.col("job_id").alias("__id"), *[F.col(c).alias(f"__{c}") for c in ("status", *optional)])
+    optional = [c for c in changes.columns if c not in ("job_id", "status", order)]
+    turn = F.struct(*([order] if order else []), *[c for c in changes.columns if c not in ("job_id", order)])
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), turn)).alias(f"__{c}")
+    new = changes.groupBy(F.col("job_id").alias("__id")).agg(*[last(c) for c in ("status", *optional)])
     joined = jobs.join(new, F.col("job_id") == F.col("__id"), "left")
     hit = F.col("__id").isNotNull()
     if strict_terminal:
         hit = hit & ~F.col("status").isin(*TERMINAL)
     values = {c: F.when(hit, F.coalesce(F.col(f"__{c}"), F.col(c))).otherwise(F.col(c)) for c in optional}
-    return joined.withColumn("__hit", hit).withColumns({**values, "updated_at": F.when(F.col("__hit"), now).otherwise(F.col("updated_at")), "status": F.when(F.col("__hit"), F.col("__status")).otherwise(F.col("status"))}).select(*jobs.columns)
+    return joined.withColumn("__hit", hit).withColumns({**values, "updated_at": F.when(F.col("__hit"), now).otherwise(F.col("updated_at")), "status": F.when(F.col("__hit"), F.coalesce("__status", "status")).otherwise(F.col("status"))}).select(*jobs.columns)
 
 
 def touch(jobs: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
@@ -139,6 +188,12 @@ def fifo(queue: DataFrame) -> DataFrame:
     return queue.orderBy("enqueued_at", "seq")
 
 
+def popped(queue: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
+    """The ``count`` messages that came first, and the rest; an empty queue gives none, as a pop that timed out does."""
+    first = queue.orderBy("enqueued_at", "seq").limit(count)
+    return first, queue.join(first.select("seq"), "seq", "left_anti")
+
+
 def admitted(requests: DataFrame, depth: Column, settings: Settings = DEFAULTS) -> DataFrame:
     """Requests with their verdict: backpressure first, then the host; (level, http_status, accepted)."""
     pressed = backpressure(depth, settings)
@@ -156,25 +211,53 @@ def cache_lookup(lookups: DataFrame, cache: DataFrame, now: Column, valid: Colum
     return joined.withColumn("outcome", outcome)
 
 
-def cached_by_order(requests: DataFrame, key: list[str], at: str, order: list[str], ttl_s: int = DEFAULTS.cache_ttl_s) -> DataFrame:
-    """Batch form of the expiring cache: whether each request finds an entry that an earlier miss wrote, still alive.
+def cache_write(cache: DataFrame, entries: DataFrame, now: Column) -> DataFrame:
+    """``cache`` (phash, psv, payload, written_at) after ``entries`` (phash, psv, payload) are written at ``now``.
 
-    An entry lives for the TTL from the miss that wrote it, so this is a fold
-    along each key's requests: a state of one time stamp.
+    An entry replaces the one of its key and starts its life anew; of several for
+    a key in ``entries`` the greatest payload stays, so that reruns agree.
     """
-    seq = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])))
-    ttl = F.expr(f"INTERVAL {ttl_s} SECONDS")
-    written = lambda a: F.element_at(a, -1)["written"]
+    fresh = entries.groupBy("phash", "psv").agg(F.max("payload").alias("payload")).withColumn("written_at", now)
+    return cache.join(fresh, ["phash", "psv"], "left_anti").select("phash", "psv", "payload", "written_at").unionByName(fresh)
 
-    def step(a: Column, x: Column) -> Column:
-        hit = F.coalesce(x["at"] < written(a) + ttl, F.lit(False))
-        return F.concat(a, F.array(F.struct(x["at"].alias("at"), *[x[f"o{i}"].alias(f"o{i}") for i in range(len(order))], hit.alias("hit"), F.when(hit, written(a)).otherwise(x["at"]).alias("written"))))
 
-    types = {f.name: f.dataType for f in requests.schema.fields}
-    head = F.struct(F.lit(None).cast(types[at]).alias("at"), *[F.lit(None).cast(types[c]).alias(f"o{i}") for i, c in enumerate(order)], F.lit(False).alias("hit"), F.lit(None).cast(types[at]).alias("written"))
-    folded = requests.groupBy(*key).agg(F.aggregate(seq, F.array(head), step).alias("a"))
-    each = folded.select(*key, F.explode(F.slice(F.col("a"), 2, 2_000_000_000)).alias("e"))
-    return each.select(*key, F.col("e.at").alias(at), *[F.col(f"e.o{i}").alias(c) for i, c in enumerate(order)], F.col("e.hit").alias("hit"))
+def flagged_in_order(rows: DataFrame, key: str, at: str, seq: str, output: str, step: Callable[[object, float], tuple[object, bool]]) -> DataFrame:
+    """``rows`` (key, at, seq) with a flag that a walk along each key's rows, by (at, seq), sets.
+
+    ``step(state, at)`` gives the next state and the flag; a key starts with no
+    state. Each task sorts its rows and holds one state and one batch, so a key
+    may have any number of rows.
+    """
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key_, state, begun = None, None, False
+        for one in batches:
+            flags = []
+            for own, when in zip(one.column(0).to_pylist(), one.column(1).to_pylist()):
+                if not begun or own != key_:
+                    key_, state, begun = own, None, True
+                state, flag = step(state, when)
+                flags.append(flag)
+            yield pa.RecordBatch.from_arrays([*one.columns, pa.array(flags, pa.bool_())], names=[*one.schema.names, output])
+
+    ordered = rows.select(key, at, seq).repartition(key).sortWithinPartitions(key, at, seq)
+    return ordered.mapInArrow(walk, T.StructType([*ordered.schema.fields, T.StructField(output, T.BooleanType())]))
+
+
+def cached_by_order(requests: DataFrame, key: str, at: str, seq: str, ttl_s: int = DEFAULTS.cache_ttl_s) -> DataFrame:
+    """Batch form of the expiring cache: (key, seq, hit), whether each request finds an entry that an earlier miss wrote, still alive.
+
+    An entry lives for the TTL from the miss that wrote it, so the state of a key
+    is one time stamp.
+    """
+    ttl = ttl_s * 1_000_000
+
+    def step(written: int | None, at: int) -> tuple[int, bool]:
+        hit = written is not None and at < written + ttl
+        return (written if hit else at), hit
+
+    rows = requests.select(key, F.unix_micros(F.col(at).cast("timestamp")).alias("__at"), seq)
+    return flagged_in_order(rows, key, "__at", seq, "hit", step).drop("__at")
 
 
 def requeues(attempts: DataFrame, key: str, order: list[str], settings: Settings = DEFAULTS) -> DataFrame:
@@ -189,22 +272,18 @@ def latest_state(log: DataFrame, key: str, status: str, at: str, seq: str) -> Da
 
 
 def token_grants(events: DataFrame, key: str, at: str, seq: str, rate: float = DEFAULTS.rate_per_s, burst: float = DEFAULTS.burst) -> DataFrame:
-    """Token bucket in batch: which requests of a key get a token.
+    """Token bucket in batch: (key, seq, granted), which requests of a key get a token.
 
-    Refill is clamped to the burst, which no window function expresses: it is a
-    fold along the key's requests. ``at`` is in seconds.
+    Refill is clamped to the burst, which no window function expresses: the state
+    of a key is its tokens and the time they were counted at. ``at`` is in seconds.
     """
-    seq_of = F.array_sort(F.collect_list(F.struct(F.col(at).cast("double").alias("at"), F.col(seq).alias("seq"))))
 
-    def step(a: Column, x: Column) -> Column:
-        last = F.element_at(a, -1)
-        have = F.when(F.size(a) == 1, F.lit(float(burst))).otherwise(F.least(F.lit(float(burst)), last["tokens"] + (x["at"] - last["at"]) * F.lit(float(rate))))
+    def step(state: tuple[float, float] | None, at: float) -> tuple[tuple[float, float], bool]:
+        have = float(burst) if state is None else min(float(burst), state[0] + (at - state[1]) * float(rate))
         granted = have >= 1
-        return F.concat(a, F.array(F.struct(x["at"].alias("at"), x["seq"].alias("seq"), granted.alias("granted"), (have - F.when(granted, 1.0).otherwise(0.0)).alias("tokens"))))
+        return (have - 1 if granted else have, at), granted
 
-    head = F.struct(F.lit(0.0).alias("at"), F.lit(None).cast(events.schema[seq].dataType).alias("seq"), F.lit(False).alias("granted"), F.lit(float(burst)).alias("tokens"))
-    folded = events.groupBy(key).agg(F.aggregate(seq_of, F.array(head), step).alias("a"))
-    return folded.select(key, F.explode(F.slice(F.col("a"), 2, 2_000_000_000)).alias("e")).select(key, F.col("e.seq").alias(seq), F.col("e.granted").alias("granted"))
+    return flagged_in_order(events.select(key, F.col(at).cast("double").alias("__at"), seq), key, "__at", seq, "granted", step).drop("__at")
 
 
 def retry_plan(outcomes: Column, settings: Settings = DEFAULTS) -> Column:
@@ -224,6 +303,71 @@ def retry_plan(outcomes: Column, settings: Settings = DEFAULTS) -> Column:
     return F.aggregate(outcomes, F.struct(F.lit(0).alias("calls"), F.lit(0.0).alias("slept"), F.lit(None).cast("string").alias("result")), step)
 
 
+#: Outcomes of the stages of a job in their order, null being fine; each with what follows from it.
+#: Any other outcome of a stage that can fail for good is the code of that failure.
+STAGES = (
+    ("check", {"unavailable": "yield"}, False), ("mark", {"unavailable": "yield"}, False), ("download", {"transient": "retry"}, True), ("preprocess", {}, True),
+    ("detect", {"unavailable": "retry"}, True), ("bucket", {"empty": "yield"}, False), ("extract", {"throttled": "yield", "exhausted": "retry"}, True), ("persist", {"unavailable": "yield"}, False),
+)
+#: Stages that a valid cached extraction makes needless.
+EXTRACTION = ("detect", "bucket", "extract")
+
+
+def lifecycle(attempts: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """``attempts`` with ``action``, ``stage``, ``new_status`` and ``new_code``: how one try at a job ends.
+
+    A row has the job's ``status`` (null: no such job), ``requeue_count`` so far,
+    ``cached`` (whether the cache holds a valid extraction) and the outcome of
+    each stage of ``STAGES``, null where it went well or was not reached. The
+    first stage that did not go well decides. Jobs that are unknown or over are
+    dropped. A ``yield`` puts the message back, a ``retry`` counts before that
+    and, beyond the cap, orphans the job, which fails for good. A code fails the
+    job, for good unless the code's class is transient; a code of no class is an
+    error that nobody caught. Without any, the job succeeds.
+    """
+    cached = F.coalesce(F.col("cached"), F.lit(False))
+    transient = [code for code, permanent in ERRORS if not permanent]
+    known = [code for code, _ in ERRORS]
+    action = F.when(F.col("status").isNull() & ~F.col("check").eqNullSafe(F.lit("unavailable")), "drop_unknown").when(F.col("status").isin(*TERMINAL) & ~F.col("check").eqNullSafe(F.lit("unavailable")), "drop_terminal")
+    stage, code = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for name, follows, fails in STAGES:
+        reached = ~cached if name in EXTRACTION else F.lit(True)
+        for outcome, what in follows.items():
+            action = action.when(reached & (F.col(name) == outcome), what)
+        if fails:
+            action = action.when(reached & F.col(name).isNotNull(), "fail")
+        met = reached & F.col(name).isNotNull()
+        stage, code = F.coalesce(stage, F.when(met, name)), F.coalesce(code, F.when(met, F.col(name)))
+    dropped = F.col("action").startswith("drop")
+    judged = attempts.withColumns({"action": action.otherwise("succeed"), "stage": stage, "__code": code})
+    judged = judged.withColumn("action", F.when((F.col("action") == "retry") & (F.coalesce("requeue_count", F.lit(0)) + 1 > settings.requeue_cap), "orphan").when(F.col("action") == "retry", "requeue").otherwise(F.col("action")))
+    uncaught = ~F.col("__code").isin(*known)
+    ended = F.when(F.col("action") == "succeed", SUCCEEDED).when(F.col("action") == "orphan", FAILED_PERMANENT).when((F.col("action") == "fail") & (F.col("__code").isin(*transient) | uncaught), FAILED_TRANSIENT).when(F.col("action") == "fail", FAILED_PERMANENT)
+    error = F.when(F.col("action") == "orphan", "orphan_requeue_cap").when((F.col("action") == "fail") & uncaught, "lifecycle_uncaught").when(F.col("action") == "fail", F.col("__code"))
+    return judged.withColumns({"stage": F.when(~dropped, F.col("stage")), "new_status": ended, "new_code": error}).drop("__code")
+
+
+def state_machine(log: DataFrame, key: str, status: str, at: str, seq: str) -> DataFrame:
+    """key, status, n_events, n_ignored: each job's state after its log, a job that is over keeping the state it ended in.
+
+    The first terminal event in order ends a job; what comes after it is ignored.
+    Both come from aggregates, so a job may have any number of events.
+    """
+    turn = F.struct(F.col(at), F.col(seq))
+    over = F.col(status).isin(*TERMINAL)
+    ended = F.min_by(F.col(status), F.when(over, turn))
+    last = log.groupBy(key).agg(F.coalesce(ended, F.max_by(F.col(status), turn)).alias("status"), F.count("*").alias("n_events"), F.min(F.when(over, turn)).alias("__end"))
+    after = log.join(last.select(F.col(key).alias("__key"), F.col("__end").alias("__ended")), F.col(key) == F.col("__key")).groupBy("__key").agg(F.count_if(turn > F.col("__ended")).alias("n_ignored"))
+    return last.join(after, F.col(key) == F.col("__key")).select(key, "status", "n_events", "n_ignored")
+
+
+def purge_due(before: Column, now: Column, hour: int = 2) -> Column:
+    """Whether the nightly hour came between two moments, the later one included."""
+    today = F.date_trunc("day", now) + F.expr(f"INTERVAL {hour} HOURS")
+    last = F.when(now >= today, today).otherwise(today - F.expr("INTERVAL 1 DAY"))
+    return before < last
+
+
 def to_download(files: DataFrame, present: DataFrame) -> DataFrame:
     """Files (file_name) that are not there yet."""
     return files.join(present.select("file_name").distinct(), "file_name", "left_anti")

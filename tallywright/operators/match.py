@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallywright.functions.similarity import weighted_score
-from tallywright.functions.text import block_length, block_prefix, strip, text
-from tallywright.schemas import DEFAULTS
+from tallywright.functions.text import block_length, block_prefix, normalize_date, normalize_each, normalize_money, normalize_quantity, normalize_time, normalize_type, normalize_unicode, strip, text
+from tallywright.schemas import DEFAULTS, PRODUCT_FIELDS, Settings
 
 Scorer = Callable[[Column, Column], Column]
 #: Dictionary rows that may be sent to all tasks; a larger one is joined by shuffle.
@@ -86,3 +86,35 @@ def match_names(raw: DataFrame, entries: DataFrame, column: str = "raw", cutoff:
     own = strip(text(F.col(f"`{column}`")))
     joined = raw.withColumn("__lower", F.lower(own)).join(found.withColumnRenamed("lower", "__found"), F.col("__lower") == F.col("__found"), "left")
     return joined.select(*[F.col(f"`{c}`") for c in raw.columns], F.coalesce("canonical", own).alias("matched"), F.coalesce("tier", F.lit("miss")).alias("tier"), F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def postprocessed(records: DataFrame, stores: DataFrame, products: DataFrame, record: str = "record", settings: Settings = DEFAULTS, scorer: Scorer = weighted_score) -> DataFrame:
+    """``records`` with the struct ``record`` as it is stored: every field normalised, names matched to the dictionaries.
+
+    Store names fall back to a scan of their dictionary, product names do not.
+    Each distinct name is matched once, and the few results go back to the
+    records: product names as a map of those that a record has. A null record
+    stays null, a null field becomes the empty text.
+    """
+    at = lambda name: F.col(f"{record}.{name}")
+    known = F.coalesce(at("products"), F.array())
+    keyed = records.withColumns({"__name": normalize_unicode(at("name")), "__names": normalize_each(F.transform(known, lambda p: p["product_name"])), "__ids": normalize_each(F.transform(known, lambda p: p["product_id"]))})
+    keyed = keyed.withColumn("__lines", F.array_distinct("__names"))
+    found = lambda names, entries, cutoff, fallback: match_names(names.distinct(), entries, "raw", cutoff, fallback, scorer).select("raw", "matched")
+    store = found(keyed.select(F.col("__name").alias("raw")), stores, settings.store_cutoff, settings.store_fallback).select(F.col("raw").alias("__raw"), F.col("matched").alias("__store"))
+    named = keyed.join(store, F.col("__name") == F.col("__raw"), "left").drop("__raw")
+    each = found(keyed.select(F.explode("__lines").alias("raw")), products, settings.product_cutoff, None)
+    # A record's product names by themselves: equal lists are looked up once.
+    lists = keyed.select("__lines").distinct().withColumn("raw", F.explode("__lines")).join(each, "raw")
+    maps = lists.groupBy(F.col("__lines").alias("__of")).agg(F.map_from_entries(F.collect_list(F.struct("raw", "matched"))).alias("__matched"))
+    joined = named.join(maps, F.col("__lines") == F.col("__of"), "left")
+
+    def product(p: Column, i: Column) -> Column:
+        own = F.get("__names", i)
+        given = {"product_name": F.coalesce(F.col("__matched")[own], own), "product_id": F.get("__ids", i), "product_quantity": normalize_quantity(p["product_quantity"])}
+        return F.struct(*[given.get(f, normalize_money(p[f])).alias(f) for f in PRODUCT_FIELDS])
+
+    rules = {"type": normalize_type, "date": normalize_date, "time": normalize_time, "total_money": normalize_money}
+    fields = [F.coalesce("__store", F.lit("")).alias("name")] + [rules.get(f, normalize_unicode)(at(f)).alias(f) for f in ("type", "date", "time", "pos_id", "receipt_number", "cashier", "total_money", "barcode")]
+    final = F.when(F.col(record).isNotNull(), F.struct(*fields, F.transform(known, product).alias("products")))
+    return joined.select(*[final.alias(c) if c == record else F.col(f"`{c}`") for c in records.columns])

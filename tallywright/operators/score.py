@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallywright.functions.similarity import ratio_possible, sequence_ratio
-from tallywright.functions.text import money_for_compare, normalize_money, quantity_for_compare, strip, text
+from tallywright.functions.text import money_for_compare, quantity_for_compare, strip, text
 from tallywright.schemas import BASE_FIELDS, SCORED_PRODUCT_FIELDS
 
 MONEY_FIELDS = ("total_money", "product_unit_price", "product_total_money")
@@ -29,9 +29,9 @@ def alias_products(products: Column, keep_discount: bool = False) -> Column:
 
 
 def _line_keys(line: Column) -> Column:
-    """What lines are matched by: normalised unit price, line total and name."""
+    """What lines are matched by: unit price and line total as money is compared, and the name."""
     name = F.lower(strip(text(line["product_name"])))
-    return F.struct(normalize_money(line["product_unit_price"]).alias("price"), normalize_money(line["product_total_money"]).alias("total"), name.alias("name"))
+    return F.struct(money_for_compare(line["product_unit_price"]).alias("price"), money_for_compare(line["product_total_money"]).alias("total"), name.alias("name"))
 
 
 def _line_score(gold: Column, pred: Column) -> Column:
@@ -123,9 +123,9 @@ def comparisons(records: DataFrame, keep: list[str], gold: str = "gold", pred: s
 
 
 def mismatches(long: DataFrame, record: str) -> DataFrame:
-    """Wrong comparisons: record, path (``product[i].field`` for lines), expected, predicted."""
+    """Wrong comparisons: record, path (``product[i].field`` for lines), and both sides stripped."""
     path = F.when(F.col("idx").isNull(), F.col("field")).otherwise(F.format_string("product[%d].%s", "idx", "field"))
-    return long.filter(~F.col("ok")).select(record, path.alias("path"), "expected", "predicted")
+    return long.filter(~F.col("ok")).select(record, path.alias("path"), strip(F.col("expected")).alias("expected"), strip(F.col("predicted")).alias("predicted"))
 
 
 def percent(correct: Column, total: Column) -> Column:
@@ -134,12 +134,17 @@ def percent(correct: Column, total: Column) -> Column:
 
 
 def field_accuracy(long: DataFrame, by: str | None = None) -> DataFrame:
-    """scope, ``by``, field, correct, total, pct: overall, and for each value of ``by``, in one pass."""
+    """scope, ``by``, field, correct, total, pct: overall, and for each value of ``by``.
+
+    The comparisons are counted once, by value and field; the overall counts are
+    sums of those few rows.
+    """
     correct, total = F.count_if("ok"), F.count("*")
     if by is None:
         return long.groupBy("field").agg(correct.alias("correct"), total.alias("total")).withColumn("pct", percent(F.col("correct"), F.col("total")))
     kind = F.coalesce(F.when(F.col(by) != "", F.col(by)), F.lit("unknown"))
-    grouped = long.withColumn("__by", kind).groupingSets([["field"], ["__by", "field"]], "__by", "field").agg(F.grouping("__by").alias("__all"), correct.alias("correct"), total.alias("total"))
+    counted = long.groupBy(kind.alias("__by"), "field").agg(correct.alias("c"), total.alias("t"))
+    grouped = counted.groupingSets([["field"], ["__by", "field"]], "__by", "field").agg(F.grouping("__by").alias("__all"), F.sum("c").alias("correct"), F.sum("t").alias("total"))
     return grouped.select(F.when(F.col("__all") == 1, "overall").otherwise("by_type").alias("scope"), F.col("__by").alias(by), "field", "correct", "total", percent(F.col("correct"), F.col("total")).alias("pct"))
 
 

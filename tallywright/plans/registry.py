@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from tallywright.functions import geometry, text
 from tallywright.functions.similarity import edit_score
-from tallywright.operators import curate, jobs, match, metrics, score
+from tallywright.operators import adapter, curate, jobs, match, metrics, score
 from tallywright.plans import views
 from tallywright.plans.views import now, table
+from tallywright.schemas import DEFAULTS
+from tallywright.sources import files
 from tallywright.streaming import jobs as streams
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +46,7 @@ def oracle_sql() -> dict[str, str]:
 
 _FLAT = f"WITH flat AS ({views.ORDERS_FLAT}), guess AS ({views.PERTURBED})"
 _DIGITS = "regexp_replace(regexp_replace({0}, '[^0-9]', '', 'g'), '^0+', '')"
+_MONEY = f"CASE WHEN {{0}} = '' THEN '' ELSE coalesce(nullif({_DIGITS}, ''), '0') END"
 
 
 def _base_sql(select: str) -> str:
@@ -73,12 +76,13 @@ WITH lines AS ({views.PRODUCT_ROWS}), gold AS (
   SELECT rec_id, *, row_number() OVER (PARTITION BY rec_id ORDER BY line, product_id, product_unit_price, product_quantity, product_total_money, product_name) - 1 AS i, count(*) OVER (PARTITION BY rec_id) AS n FROM lines
 ), changed AS (
   SELECT rec_id, n, product_id, CASE WHEN (rec_id + i) % 9 = 0 THEN product_name || '.' WHEN (rec_id + i) % 10 = 0 THEN '' ELSE product_name END AS product_name,
-         CASE WHEN (rec_id + i) % 8 = 0 THEN '1' ELSE product_unit_price END AS product_unit_price, product_quantity || ',00' AS product_quantity, product_total_money,
+         CASE (rec_id + i) % 8 WHEN 0 THEN '1' WHEN 3 THEN '-' || product_unit_price WHEN 5 THEN '00' || product_unit_price || ' đ' ELSE product_unit_price END AS product_unit_price, product_quantity || ',00' AS product_quantity,
+         CASE WHEN product_total_money = 'abc' THEN 'n/a' ELSE product_total_money END AS product_total_money,
          CASE WHEN rec_id % 2 = 0 THEN n - 1 - i ELSE i END - CASE WHEN rec_id % 3 = 0 AND n > 1 THEN 1 ELSE 0 END AS j
   FROM gold
 ), pairs AS (
   SELECT g.rec_id, g.i, p.j,
-         CASE WHEN g.product_unit_price = p.product_unit_price THEN 2 ELSE 0 END + CASE WHEN g.product_total_money = p.product_total_money THEN 2 ELSE 0 END + CASE WHEN lower(g.product_name) = lower(p.product_name) THEN 3 ELSE 0 END AS s
+         CASE WHEN {_MONEY.format('g.product_unit_price')} = {_MONEY.format('p.product_unit_price')} THEN 2 ELSE 0 END + CASE WHEN {_MONEY.format('g.product_total_money')} = {_MONEY.format('p.product_total_money')} THEN 2 ELSE 0 END + CASE WHEN lower(g.product_name) = lower(p.product_name) THEN 3 ELSE 0 END AS s
   FROM gold g JOIN changed p ON g.rec_id = p.rec_id AND p.j >= 0
 ), options AS (
   SELECT rec_id, i, list({{'s': s, 'j': j}} ORDER BY s DESC, j) FILTER (WHERE s > 0) AS o FROM pairs GROUP BY rec_id, i
@@ -103,6 +107,7 @@ def _all_sql(select: str) -> str:
     same = {
         "product_name": "lower(p.product_name) = lower(g.product_name) OR (g.product_name || '.' = p.product_name AND 2.0 * length(g.product_name) / (2 * length(g.product_name) + 1) > 0.95)",
         "product_quantity": "g.product_quantity || ',00' = p.product_quantity",
+        **{f: f"{_MONEY.format(f'p.{f}')} = {_MONEY.format(f'g.{f}')}" for f in ("product_unit_price", "product_total_money")},
     }
     rows = [f"SELECT g.rec_id, '{f}' AS field, CASE WHEN g.{f} = '' THEN NULL WHEN coalesce(p.{f}, '') = '' THEN false ELSE {same.get(f, f'p.{f} = g.{f}')} END AS ok FROM gold g JOIN aligned a USING (rec_id, i) LEFT JOIN changed p ON p.rec_id = g.rec_id AND p.j = a.j AND a.j >= 0" for f in score.SCORED_PRODUCT_FIELDS]
     base = _base_sql("SELECT rec_id, type, field, ok FROM judged")
@@ -134,11 +139,12 @@ def experiment_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.experiment_row(score.field_accuracy(_base(spark, sf_dir)))
 
 
-@query(_all_sql("SELECT field, count(*) AS n FROM judged WHERE NOT ok GROUP BY field"))
+@query(_all_sql("SELECT field, count(*) AS n, 0::BIGINT AS unstripped FROM judged WHERE NOT ok GROUP BY field"))
 def mismatch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wrong comparisons by field, read back from their paths."""
     long = score.comparisons(views.scored_records(spark, sf_dir), ["rec_id"])
-    return score.mismatches(long, "rec_id").groupBy(text.mismatch_field(F.col("path"))["field"].alias("field")).agg(F.count("*").alias("n"))
+    padded = F.col("expected").rlike(r"^\s|\s$") | F.col("predicted").rlike(r"^\s|\s$")
+    return score.mismatches(long, "rec_id").groupBy(text.mismatch_field(F.col("path"))["field"].alias("field")).agg(F.count("*").alias("n"), F.count_if(padded).alias("unstripped"))
 
 
 @query()
@@ -302,20 +308,29 @@ def dictionary_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate.name_dictionary(table(spark, sf_dir, "part"), "p_name")
 
 
-@query("""WITH r AS (SELECT lower(lang) AS stratum, count(*) AS n FROM documents GROUP BY 1)
-SELECT stratum, (n - floor(n * 0.3::DOUBLE))::BIGINT AS dev, floor(n * 0.3::DOUBLE)::BIGINT AS test, 0::BIGINT AS overlap FROM r""")
+@query("""WITH t AS (SELECT doc_id, CASE WHEN doc_id < 4 THEN 'COOPXTRA' WHEN doc_id % 50 = 7 THEN '' ELSE lang END AS type FROM documents), r AS (SELECT coalesce(nullif(lower(type), ''), 'unknown') AS stratum, count(*) AS n FROM t GROUP BY 1),
+w AS (SELECT *, CASE WHEN stratum = 'coopxtra' THEN greatest(2, floor(n * 0.3::DOUBLE)) ELSE floor(n * 0.3::DOUBLE) END AS wanted FROM r), both_ AS (SELECT count(*) AS overlap FROM (SELECT doc_id FROM t INTERSECT SELECT doc_id FROM t WHERE type = 'none'))
+SELECT stratum, (n - wanted)::BIGINT AS dev, wanted::BIGINT AS test, overlap FROM w, both_""")
 def stratified_split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes of the split by stratum, and how many keys are in both parts."""
-    split = curate.stratified_split(table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("type")), "doc_id")
+    """Sizes of the split by stratum, one of them the small type, and how many keys are in both parts."""
+    key = F.col("doc_id")
+    typed = table(spark, sf_dir, "documents").select("doc_id", F.when(key < 4, "COOPXTRA").when(key % 50 == 7, "").otherwise(F.col("lang")).alias("type"))
+    split = curate.stratified_split(typed, "doc_id")
     both = curate.split_overlap(split, "doc_id").agg(F.count("*").alias("overlap"))
     sizes = split.groupBy("stratum").agg(F.count_if(F.col("split") == "dev").alias("dev"), F.count_if(F.col("split") == "test").alias("test"))
     return sizes.join(F.broadcast(both), F.lit(True)).select("stratum", "dev", "test", "overlap")
 
 
-@query("SELECT count(*) AS n, count(*) AS distinct_ids FROM (SELECT * FROM documents LIMIT 100)")
+@query("SELECT count(*) AS n, count(*) AS distinct_ids, count(*) AS known, count(*) AS again, true AS spread FROM (SELECT * FROM documents LIMIT 100)")
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A repeatable sample of a hundred."""
-    return curate.seeded_sample(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 100).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("distinct_ids"))
+    """A sample of a hundred: all of them rows of the table, the same when drawn anew from other partitions, and not only from its start."""
+    ids = table(spark, sf_dir, "documents").select("doc_id")
+    drawn, anew = curate.seeded_sample(ids, "doc_id", 100), curate.seeded_sample(ids.repartition(7), "doc_id", 100)
+    both = drawn.join(ids, "doc_id", "left_semi").withColumn("k", F.lit(1)).unionByName(anew.withColumn("k", F.lit(2)))
+    met = both.groupBy("doc_id").agg(F.count_if(F.col("k") == 1).alias("one"), F.count_if(F.col("k") == 2).alias("two"))
+    total = ids.agg(F.max("doc_id").alias("most"))
+    counts = met.agg(F.sum("one").alias("n"), F.count_if(F.col("one") > 0).alias("distinct_ids"), F.sum("one").alias("known"), F.count_if((F.col("one") == 1) & (F.col("two") == 1)).alias("again"), F.max("doc_id").alias("last"))
+    return counts.join(F.broadcast(total), F.lit(True)).select("n", "distinct_ids", "known", "again", (F.col("last") > F.col("most") / 2).alias("spread"))
 
 
 _JSON = "'{\"name\": \"a\", \"' || CASE event_id % 4 WHEN 0 THEN 'date' WHEN 1 THEN 'extra' WHEN 2 THEN 'barcode' ELSE 'type' END || '\": ' || CASE WHEN event_id % 5 = 0 THEN '[1]' ELSE '\"x\"' END || ', \"products\": [{\"' || CASE WHEN event_id % 7 = 0 THEN 'odd' ELSE 'product_id' END || '\": \"1\"}]}'"
@@ -421,23 +436,27 @@ def job_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.violations(views.jobs(spark, sf_dir)).select("job_id", "violation")
 
 
-@query(f"""{_JOBS}, c AS (SELECT event_id::VARCHAR AS job_id, CASE WHEN event_id % 2 = 0 THEN 'n' || event_id END AS phash, CASE WHEN event_id % 6 = 0 THEN 'x' END AS error_code FROM events WHERE event_id % 3 = 0)
-SELECT j.job_id, CASE WHEN c.job_id IS NOT NULL THEN 'SUCCEEDED' ELSE status END AS status, coalesce(c.phash, j.phash) AS phash, coalesce(c.error_code, j.error_code) AS error_code, CASE WHEN c.job_id IS NOT NULL THEN {_NOW} ELSE updated_at END AS updated_at FROM jobs j LEFT JOIN c USING (job_id)""")
+@query(f"""{_JOBS}, c AS (SELECT event_id::VARCHAR AS job_id, CASE WHEN event_id % 2 = 0 THEN 'n' || event_id END AS phash, CASE WHEN event_id % 6 = 0 THEN 'x' END AS error_code, CASE WHEN event_id % 9 = 0 THEN 'FAILED_TRANSIENT' ELSE 'SUCCEEDED' END AS changed FROM events WHERE event_id % 3 = 0)
+SELECT j.job_id, CASE WHEN c.job_id IS NOT NULL THEN changed ELSE status END AS status, coalesce(c.phash, j.phash) AS phash, coalesce(c.error_code, j.error_code) AS error_code, CASE WHEN c.job_id IS NOT NULL THEN {_NOW} ELSE updated_at END AS updated_at FROM jobs j LEFT JOIN c USING (job_id)""")
 def dynamic_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The job table after updates that leave what they don't name."""
+    """The job table after updates that leave what they don't name; some jobs have two, of which the later one counts."""
     key = F.col("event_id")
-    changes = table(spark, sf_dir, "events").filter(key % 3 == 0).select(key.cast("string").alias("job_id"), F.lit("SUCCEEDED").alias("status"), F.when(key % 2 == 0, F.concat(F.lit("n"), key.cast("string"))).alias("phash"), F.when(key % 6 == 0, "x").alias("error_code"))
-    return jobs.update(views.jobs(spark, sf_dir), changes, now()).select("job_id", "status", "phash", "error_code", "updated_at")
+    changes = table(spark, sf_dir, "events").filter(key % 3 == 0).select(key.cast("string").alias("job_id"), F.lit("SUCCEEDED").alias("status"), F.when(key % 2 == 0, F.concat(F.lit("n"), key.cast("string"))).alias("phash"), F.when(key % 6 == 0, "x").alias("error_code"), F.lit(1).alias("turn"))
+    again = changes.filter(F.col("job_id").cast("bigint") % 9 == 0).select("job_id", F.lit("FAILED_TRANSIENT").alias("status"), F.lit(None).cast("string").alias("phash"), F.lit(None).cast("string").alias("error_code"), F.lit(2).alias("turn"))
+    return jobs.update(views.jobs(spark, sf_dir), changes.unionByName(again), now(), order="turn").select("job_id", "status", "phash", "error_code", "updated_at")
 
 
-@query(f"{_JOBS} SELECT status, count(*) AS n, count_if(status IN ('PENDING', 'PROCESSING'))::BIGINT AS runnable FROM jobs WHERE job_id::BIGINT % 2 = 0 GROUP BY status")
+@query(f"""{_JOBS}, m AS (SELECT CASE WHEN event_id % 5 = 0 THEN 'x' || event_id ELSE event_id::VARCHAR END AS job_id FROM events)
+SELECT coalesce(status, 'none') AS status, count(*) AS n, count(*) FILTER (WHERE status IN ('PENDING', 'PROCESSING')) AS runnable, count(*) FILTER (WHERE status IS NULL) AS orphans FROM m LEFT JOIN jobs USING (job_id) GROUP BY 1""")
 def messages_with_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queue messages by the status of their job, and how many of them run."""
-    table_ = views.jobs(spark, sf_dir)
-    messages = table_.filter(F.col("job_id").cast("bigint") % 2 == 0).select("job_id", "image_url")
+    """Queue messages by the status of their job, how many of them run, and how many have no job."""
+    table_, key = views.jobs(spark, sf_dir), F.col("job_id")
+    messages = table_.select(F.when(key.cast("bigint") % 5 == 0, F.concat(F.lit("x"), key)).otherwise(key).alias("job_id"), "image_url")
     met = messages.join(table_.select("job_id", "status"), "job_id").groupBy("status").agg(F.count("*").alias("n"))
     run = jobs.runnable(messages, table_).groupBy(F.col("status").alias("s")).agg(F.count("*").alias("r"))
-    return met.join(run, F.col("status") == F.col("s"), "left").select("status", "n", F.coalesce("r", F.lit(0)).alias("runnable"))
+    known = met.join(run, F.col("status") == F.col("s"), "left").select("status", "n", F.coalesce("r", F.lit(0)).alias("runnable"), F.lit(0).cast("bigint").alias("orphans"))
+    none = jobs.orphans(messages, table_).agg(F.count("*").alias("n")).select(F.lit("none").alias("status"), "n", F.lit(0).cast("bigint").alias("runnable"), F.col("n").alias("orphans"))
+    return known.unionByName(none.filter("n > 0"))
 
 
 @query("""SELECT user_id::VARCHAR AS job_id, max_by(event_type, event_id) AS status, max(ts) AS updated_at, count(*) AS n_events FROM events GROUP BY 1""")
@@ -499,14 +518,25 @@ def cache_hits_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-@query()
+_CACHE_FOLD = """WITH RECURSIVE r AS (SELECT event_id % 700 AS phash, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_id % 700 ORDER BY ts, event_id) AS i FROM events), walk AS (
+  SELECT phash, event_id, i, false AS hit, t AS written FROM r WHERE i = 1
+  UNION ALL SELECT r.phash, r.event_id, r.i, r.t < w.written + 86400000000, CASE WHEN r.t < w.written + 86400000000 THEN w.written ELSE r.t END FROM walk w JOIN r ON r.phash = w.phash AND r.i = w.i + 1)
+SELECT phash, event_id, hit FROM walk"""
+_BUCKET_FOLD = """WITH RECURSIVE r AS (SELECT user_id, event_id, epoch_us(ts) / 1e6::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), walk AS (
+  SELECT user_id, event_id, i, true AS granted, 1::DOUBLE AS tokens, t FROM r WHERE i = 1
+  UNION ALL SELECT user_id, event_id, i, have >= 1, CASE WHEN have >= 1 THEN have - 1 ELSE have END, t
+  FROM (SELECT r.user_id, r.event_id, r.i, r.t, least(2::DOUBLE, w.tokens + (r.t - w.t) * 0.0001::DOUBLE) AS have FROM walk w JOIN r ON r.user_id = w.user_id AND r.i = w.i + 1))
+SELECT user_id, event_id, granted FROM walk"""
+
+
+@query(_CACHE_FOLD)
 def cache_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each request finds an earlier one's entry alive."""
     rows = table(spark, sf_dir, "events").select("event_id", "ts", (F.col("event_id") % 700).alias("phash"))
-    return jobs.cached_by_order(rows, ["phash"], "ts", ["event_id"])
+    return jobs.cached_by_order(rows, "phash", "ts", "event_id")
 
 
-@query()
+@query(_BUCKET_FOLD)
 def token_bucket_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests that get a token, by user."""
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
@@ -639,13 +669,13 @@ def stream_requeue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.run_requeue(spark, f"{sf_dir}/event[s].parquet")
 
 
-@query()
+@query(_BUCKET_FOLD)
 def stream_token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token bucket as a stream with state; equal to the batch form."""
     return streams.run_token_bucket(spark, f"{sf_dir}/event[s].parquet", rate=0.0001, burst=2.0)
 
 
-@query()
+@query(_CACHE_FOLD)
 def stream_ttl_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expiring cache as a stream with state; equal to the batch form."""
     return streams.run_ttl_cache(spark, f"{sf_dir}/event[s].parquet")
@@ -655,3 +685,315 @@ def stream_ttl_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Job state machine as a stream: the last state of each job."""
     return streams.run_job_states(spark, f"{sf_dir}/event[s].parquet")
+
+
+@query("""WITH log AS (SELECT user_id::VARCHAR AS job_id, ts, event_id, CASE event_type WHEN 'view' THEN 'PENDING' WHEN 'click' THEN 'PROCESSING' WHEN 'purchase' THEN 'SUCCEEDED' WHEN 'error' THEN 'FAILED_TRANSIENT' ELSE 'FAILED_PERMANENT' END AS status FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS i FROM log), e AS (SELECT job_id, min(i) FILTER (WHERE status NOT IN ('PENDING', 'PROCESSING')) AS stop, max(i) AS last FROM n GROUP BY 1)
+SELECT n.job_id, n.status, last AS n_events, (last - coalesce(stop, last))::BIGINT AS n_ignored FROM n JOIN e ON n.job_id = e.job_id AND n.i = coalesce(stop, last)""")
+def state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State of each job after its log, ended jobs staying as they ended."""
+    log = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("job_id"), "ts", "event_id", views.job_status().alias("status"))
+    return jobs.state_machine(log, "job_id", "status", "ts", "event_id")
+
+
+@query(_SQL["state_machine"])
+def stream_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job state machine as a stream with state; equal to the batch form."""
+    return streams.run_state_machine(spark, f"{sf_dir}/event[s].parquet", views.job_status())
+
+
+_UUID = "'0b8e2f4e-0d0c-4c56-8a2f-' || lpad(page_id::VARCHAR, 12, '0')"
+
+
+def _queued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("page_id")
+    uuid = F.concat(F.lit("0b8e2f4e-0d0c-4c56-8a2f-"), F.lpad(key.cast("string"), 12, "0"))
+    return table(spark, sf_dir, "pages").select(F.when(key % 4 == 1, F.concat(F.lit("x"), key.cast("string"))).otherwise(uuid).alias("job_id"), F.when(key % 7 != 2, F.col("url")).otherwise("").alias("image_url"))
+
+
+_VALID = f"SELECT {_UUID} AS job_id, url AS image_url FROM pages WHERE page_id % 4 <> 1 AND page_id % 7 <> 2"
+
+
+@query(_VALID)
+def valid_queue_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with a UUID and a URL."""
+    return jobs.valid_messages(_queued(spark, sf_dir))
+
+
+@query(_VALID)
+def stream_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages through the queue: written as JSON lines, read as a stream, invalid ones left out."""
+    return streams.run_queue(spark, _queued(spark, sf_dir))
+
+
+# More of the job table
+
+
+@query(f"{_JOBS} SELECT job_id, status, image_url FROM jobs WHERE job_id = '42'")
+def job_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One job by its id."""
+    return jobs.job_by_id(views.jobs(spark, sf_dir), "42").select("job_id", "status", "image_url")
+
+
+@query(f"{_JOBS} SELECT job_id, CASE WHEN job_id::BIGINT % 10 = 3 THEN {_NOW} ELSE updated_at END AS updated_at FROM jobs")
+def touched_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job table after a touch of some jobs."""
+    table_ = views.jobs(spark, sf_dir)
+    return jobs.touch(table_, table_.filter(F.col("job_id").cast("bigint") % 10 == 3).select("job_id"), now()).select("job_id", "updated_at")
+
+
+@query("""SELECT error, CASE WHEN error IN ('DatabaseUnavailable', 'StorageTransient') THEN 503 ELSE 500 END AS http_status, count(*) AS n
+FROM (SELECT CASE event_id % 4 WHEN 0 THEN 'DatabaseUnavailable' WHEN 1 THEN 'StorageTransient' WHEN 2 THEN 'ValueError' ELSE '' END AS error FROM events) GROUP BY 1, 2""")
+def exception_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """HTTP status of unhandled errors by class."""
+    turn = F.col("event_id") % 4
+    error = F.when(turn == 0, "DatabaseUnavailable").when(turn == 1, "StorageTransient").when(turn == 2, "ValueError").otherwise("")
+    return table(spark, sf_dir, "events").groupBy(error.alias("error")).agg(F.count("*").alias("n")).select("error", jobs.exception_status(F.col("error")).alias("http_status"), "n")
+
+
+@query(f"{_JOBS}, f AS (SELECT job_id, 'h' || (job_id::BIGINT % 250) AS fresh, phash FROM jobs) SELECT job_id, fresh AS phash FROM f WHERE phash IS DISTINCT FROM fresh")
+def phash_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs whose image has another hash than stored."""
+    table_ = views.jobs(spark, sf_dir)
+    return jobs.phash_changes(table_, table_.select("job_id", F.concat(F.lit("h"), (F.col("job_id").cast("bigint") % 250).cast("string")).alias("phash")))
+
+
+@query(f"""WITH r AS (SELECT page_id, CASE WHEN page_id % 9 = 4 THEN url || repeat('x', 600) ELSE url END AS url FROM pages), a AS (SELECT *, CASE WHEN page_id % 10 = 0 THEN 429 WHEN {_HOST} IN ('example.com', 'example.net') OR {_HOST} LIKE '%.example.com' OR {_HOST} LIKE '%.example.net' THEN CASE WHEN length(url) > 512 THEN 500 ELSE 202 END ELSE 400 END AS http_status FROM r)
+SELECT http_status, CASE http_status WHEN 429 THEN 'backpressure' WHEN 400 THEN 'disallowed_domain' WHEN 500 THEN 'internal_error' END AS error_code, CASE http_status WHEN 202 THEN 'PENDING' WHEN 400 THEN 'FAILED_PERMANENT' ELSE 'FAILED_TRANSIENT' END AS status, count(*) AS n,
+       count_if(http_status = 202)::BIGINT AS stored, count_if(http_status = 202)::BIGINT AS queued FROM a GROUP BY 1, 2, 3""")
+def submitted_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests from answer to job row and message."""
+    key = F.col("page_id")
+    requests = table(spark, sf_dir, "pages").select("page_id", key.cast("string").alias("job_id"), F.when(key % 9 == 4, F.concat("url", F.repeat(F.lit("x"), F.lit(600)))).otherwise(F.col("url")).alias("image_url"))
+    answers, rows, messages = jobs.submitted(requests, F.when(key % 10 == 0, 500).otherwise(10), now())
+    joined = answers.join(rows.filter("status = 'PENDING'").select(F.col("job_id").alias("row")), F.col("job_id") == F.col("row"), "left").join(messages.select(F.col("job_id").alias("message")), F.col("job_id") == F.col("message"), "left")
+    return joined.groupBy("http_status", "error_code", "status").agg(F.count("*").alias("n"), F.count("row").alias("stored"), F.count("message").alias("queued"))
+
+
+@query(f"{_JOBS}, y AS (SELECT * FROM jobs WHERE status = 'PROCESSING') SELECT count(*) AS pushed, min({_NOW}) AS enqueued_at, (SELECT count(*) FROM jobs WHERE status = 'PROCESSING') AS touched FROM y")
+def yielded_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs that go back to the queue."""
+    table_ = views.jobs(spark, sf_dir).withColumn("updated_at", F.col("created_at"))
+    touched, pushed = jobs.yielded(table_, table_.filter("status = 'PROCESSING'").select("job_id", "image_url"), now())
+    counts = pushed.agg(F.count("*").alias("pushed"), F.min("enqueued_at").alias("enqueued_at"))
+    return counts.join(F.broadcast(touched.agg(F.count_if(F.col("updated_at") == now()).alias("touched"))), F.lit(True))
+
+
+@query("SELECT count(*) AS depth, CASE WHEN count(*) >= 500 THEN 'reject' WHEN count(*) >= 200 THEN 'warn' ELSE 'ok' END AS level FROM events WHERE event_id % 40 = 1")
+def queue_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages that wait in the queue, whatever a batch has of them."""
+    queue = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("job_id"), F.col("ts").alias("enqueued_at"), "event_id")
+    return jobs.queue_depth(queue.select("job_id", "enqueued_at"), queue.filter(F.col("event_id") % 40 != 1).select("job_id", "enqueued_at"))
+
+
+@query("SELECT event_id FROM (SELECT event_id FROM events ORDER BY ts, event_id LIMIT 50)")
+def queue_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty messages that a worker gets first."""
+    queue = table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("enqueued_at"), F.col("event_id").alias("seq"))
+    return jobs.popped(jobs.fifo(queue), 50)[0].select("event_id")
+
+
+_OUTCOMES = {
+    "check": {3: "unavailable"}, "mark": {5: "unavailable"}, "download": {7: "transient", 9: "image_too_large", 11: "storage_transient"}, "preprocess": {13: "truncated_upload"},
+    "detect": {15: "unavailable", 17: "no_invoice_detected"}, "bucket": {19: "empty"}, "extract": {21: "throttled", 23: "exhausted", 25: "extractor_invalid_json", 27: "odd"}, "persist": {29: "unavailable"},
+}
+
+
+@query(f"""{_JOBS}, a AS (SELECT event_id % 31 AS kind, event_id % 5 AS tries, event_id % 2 = 0 AS cached, CASE WHEN event_id % 37 = 0 THEN NULL ELSE status END AS status FROM jobs JOIN events ON job_id = event_id::VARCHAR),
+b AS (SELECT *, CASE WHEN kind = 3 THEN 'yield' WHEN status IS NULL THEN 'drop_unknown' WHEN status NOT IN ('PENDING', 'PROCESSING') THEN 'drop_terminal' WHEN kind = 5 THEN 'yield' WHEN kind = 7 THEN 'retry' WHEN kind IN (9, 11, 13) THEN 'fail'
+  WHEN NOT cached AND kind IN (15, 23) THEN 'retry' WHEN NOT cached AND kind IN (17, 25, 27) THEN 'fail' WHEN NOT cached AND kind IN (19, 21) THEN 'yield' WHEN kind = 29 THEN 'yield' ELSE 'succeed' END AS what FROM a),
+c AS (SELECT *, CASE WHEN what = 'retry' THEN CASE WHEN tries + 1 > 3 THEN 'orphan' ELSE 'requeue' END ELSE what END AS action FROM b)
+SELECT action, CASE WHEN action IN ('succeed', 'drop_unknown', 'drop_terminal') THEN NULL ELSE CASE kind WHEN 3 THEN 'check' WHEN 5 THEN 'mark' WHEN 13 THEN 'preprocess' WHEN 15 THEN 'detect' WHEN 17 THEN 'detect' WHEN 19 THEN 'bucket' WHEN 29 THEN 'persist' ELSE CASE WHEN kind < 12 THEN 'download' ELSE 'extract' END END END AS stage,
+  CASE WHEN action = 'succeed' THEN 'SUCCEEDED' WHEN action = 'orphan' THEN 'FAILED_PERMANENT' WHEN action = 'fail' THEN CASE WHEN kind IN (11, 27) THEN 'FAILED_TRANSIENT' ELSE 'FAILED_PERMANENT' END END AS new_status,
+  CASE WHEN action = 'orphan' THEN 'orphan_requeue_cap' WHEN action = 'fail' THEN CASE kind WHEN 9 THEN 'image_too_large' WHEN 11 THEN 'storage_transient' WHEN 13 THEN 'truncated_upload' WHEN 17 THEN 'no_invoice_detected' WHEN 25 THEN 'extractor_invalid_json' ELSE 'lifecycle_uncaught' END END AS new_code, count(*) AS n FROM c GROUP BY 1, 2, 3, 4""")
+def job_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How tries at jobs end: which stage decides, and what follows."""
+    key = F.col("job_id").cast("bigint")
+    tries = views.jobs(spark, sf_dir).select(F.when(key % 37 != 0, F.col("status")).alias("status"), (key % 5).alias("requeue_count"), (key % 2 == 0).alias("cached"), (key % 31).alias("kind"))
+    for stage, known in _OUTCOMES.items():
+        outcome = F.lit(None).cast("string")
+        for kind, what in known.items():
+            outcome = F.when(F.col("kind") == kind, what).otherwise(outcome)
+        tries = tries.withColumn(stage, outcome)
+    return jobs.lifecycle(tries).groupBy("action", "stage", "new_status", "new_code").agg(F.count("*").alias("n"))
+
+
+@query("""WITH old AS (SELECT 'h' || (event_id % 50) AS phash, 'old' AS payload, max(ts) AS written_at FROM events GROUP BY 1), fresh AS (SELECT 'h' || (event_id % 80) AS phash, max(event_id::VARCHAR) AS payload, TIMESTAMP '2024-01-31 00:00:00' AS written_at FROM events WHERE event_id % 80 >= 40 GROUP BY 1)
+SELECT * FROM old WHERE phash NOT IN (SELECT phash FROM fresh) UNION ALL SELECT * FROM fresh""")
+def cache_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache after new entries are written, old ones of their keys replaced."""
+    event, key = table(spark, sf_dir, "events"), F.col("event_id")
+    named = lambda n: F.concat(F.lit("h"), (key % n).cast("string")).alias("phash")
+    old = event.groupBy(named(50)).agg(F.max("ts").alias("written_at")).select("phash", F.lit("v1").alias("psv"), F.lit("old").alias("payload"), "written_at")
+    fresh = event.filter(key % 80 >= 40).select(named(80), F.lit("v1").alias("psv"), key.cast("string").alias("payload"))
+    return jobs.cache_write(old, fresh, now()).select("phash", "payload", F.col("written_at").cast("timestamp_ntz").alias("written_at"))
+
+
+@query("""SELECT event_id, ts - INTERVAL 90 MINUTE < CASE WHEN ts >= date_trunc('day', ts) + INTERVAL 2 HOUR THEN date_trunc('day', ts) + INTERVAL 2 HOUR ELSE date_trunc('day', ts) - INTERVAL 22 HOUR END AS due FROM events""")
+def purge_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the nightly hour came in the hour and a half before each moment."""
+    at = F.col("ts").cast("timestamp")
+    return table(spark, sf_dir, "events").select("event_id", jobs.purge_due(at - F.expr("INTERVAL 90 MINUTES"), at).alias("due"))
+
+
+@query("""SELECT page_id, CASE page_id % 3 WHEN 0 THEN upper(url) END AS said, CASE page_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'yield' ELSE 'permanent' END AS outcome, 1 AS calls FROM pages""")
+def adapter_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls through the adapter: answered, put off, refused."""
+
+    def setup():
+        def call(value: str) -> str:
+            number, url = value.split(" ", 1)
+            if int(number) % 3 == 1:
+                raise adapter.Throttled
+            if int(number) % 3 == 2:
+                raise adapter.Refused
+            return url.upper()
+
+        return call
+
+    rows = table(spark, sf_dir, "pages").select("page_id", F.concat_ws(" ", F.col("page_id").cast("string"), "url").alias("asked"))
+    return adapter.with_adapter(rows, setup, "asked", "said").select("page_id", "said", "outcome", "calls")
+
+
+# More of records, files and runs
+
+_RECORDS = f"""{_FLAT}, entries AS ({views.DICTIONARY}), names AS (SELECT lower(trim(canonical)) AS lower, max_by(trim(canonical), pos) AS canonical FROM entries GROUP BY 1), lines AS ({views.PRODUCT_ROWS})"""
+
+
+@query(f"""{_RECORDS}, p AS (SELECT rec_id, count(*) AS n, count_if(canonical IS NOT NULL)::BIGINT AS matched, sum(('0' || coalesce(nullif(regexp_replace(product_unit_price, '[^0-9]', '', 'g'), ''), '0'))::BIGINT)::BIGINT AS prices, sum(product_quantity::BIGINT)::BIGINT AS quantities FROM lines LEFT JOIN names ON lower(product_name) = lower GROUP BY 1)
+SELECT g.rec_id, lower(g.type) AS type, regexp_replace(g.date, '^(\\d{{2}})[-.](\\d{{2}})[-.](\\d{{4}})$', '\\1/\\2/\\3') AS date, regexp_replace(g.total_money, '[^0-9]', '', 'g') AS total_money, g.name, coalesce(n, 0)::BIGINT AS n, coalesce(matched, 0)::BIGINT AS matched, coalesce(prices, 0)::BIGINT AS prices, coalesce(quantities, 0)::BIGINT AS quantities FROM guess g LEFT JOIN p USING (rec_id)""")
+def postprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as they are stored: every field by its rule, product names by the dictionary, store names without one."""
+    records = views.perturbed(views.orders_flat(spark, sf_dir)).join(views.product_lists(spark, sf_dir), "rec_id", "left")
+    lines = F.transform("products", lambda p: F.struct(p["product_id"].alias("product_id"), p["product_name"].alias("product_name"), F.concat(F.lit(" "), p["product_unit_price"], F.lit(".000 đ")).alias("product_unit_price"), F.concat(p["product_quantity"], F.lit(",000")).alias("product_quantity"), F.lit("").alias("product_discount_money"), p["product_total_money"].alias("product_total_money")))
+    structs = records.select("rec_id", F.struct(*[c for c in records.columns if c not in ("rec_id", "file", "products")], lines.alias("products")).alias("record"))
+    stores = spark.createDataFrame([], "pos int, canonical string")
+    done = match.postprocessed(structs, stores, views.dictionary(spark, sf_dir), settings=DEFAULTS, scorer=edit_score)
+    known = match.canonical_names(views.dictionary(spark, sf_dir)).agg(F.collect_set("canonical").alias("known"))
+    total = lambda column, kept: F.aggregate(F.transform(column, kept), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    products = F.col("record.products")
+    return done.join(F.broadcast(known), F.lit(True)).select(
+        "rec_id", "record.type", "record.date", "record.total_money", "record.name", F.size(products).cast("bigint").alias("n"), F.size(F.filter(products, lambda p: F.array_contains("known", p["product_name"]))).cast("bigint").alias("matched"),
+        (total(products, lambda p: F.coalesce(p["product_unit_price"].try_cast("bigint"), F.lit(0))) / 1000).cast("bigint").alias("prices"), total(products, lambda p: p["product_quantity"].cast("bigint")).alias("quantities"),
+    )
+
+
+@query("""SELECT p_partkey AS part, p_name AS file, 'TYPE ' || p_partkey AS type, lower(trim(regexp_replace(strip_accents(p_name), '\\s+', ' ', 'g'))) AS name, lower(trim(regexp_replace(strip_accents(p_name), '\\s+', ' ', 'g'))) AS line, 'TYPE ' || p_partkey AS line_type FROM part""")
+def normalized_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with all texts folded at every level, but for the keys that are left as they are."""
+    name, padded = F.col("p_name"), F.concat(F.lit(" "), F.upper("p_name"), F.lit("  "))
+    kind = F.concat(F.lit("TYPE "), F.col("p_partkey").cast("string"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), name.alias("file"), kind.alias("type"), padded.alias("name"), F.array(F.struct(padded.alias("line"), kind.alias("type"))).alias("products"))
+    return curate.normalized_records(rows).select("part", "file", "type", "name", F.col("products")[0]["line"].alias("line"), F.col("products")[0]["type"].alias("line_type"))
+
+
+@query("SELECT part, i::INT AS i, CASE WHEN part % 2 = 0 THEN 'new' || part WHEN part % 3 = 0 THEN '' ELSE 'old' || part END AS product_id, CASE WHEN part % 5 = 0 THEN '' ELSE '2' END AS product_quantity FROM (SELECT p_partkey AS part, unnest([0, 1]) AS i FROM part)")
+def aliased_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Older labels under the current names."""
+    key = F.col("p_partkey")
+    code, text_ = lambda prefix: F.concat(F.lit(prefix), key.cast("string")), F.lit(None).cast("string")
+    line = F.struct(
+        F.when(key % 2 == 0, code("new")).when(key % 3 == 0, "").alias("product_id"), code("old").alias("product_code"), text_.alias("product_name"), text_.alias("product_unit_price"),
+        F.when(key % 5 == 0, "").alias("product_quantity"), F.lit("2").alias("product_amount"), text_.alias("product_total_money"),
+    )
+    rows = table(spark, sf_dir, "part").select(key.alias("part"), F.posexplode(score.alias_products(F.array(line, line))).alias("i", "p"))
+    return rows.select("part", "i", "p.product_id", "p.product_quantity")
+
+
+@query("SELECT (count(*) + 1)::BIGINT AS run, CASE WHEN count(*) >= 3 THEN 'budget' END AS refusal FROM region")
+def next_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of the next experiment and why it may not run."""
+    found = score.next_run(table(spark, sf_dir, "region").select(F.lit(False).alias("final")))
+    return spark.createDataFrame([(found["run"], found["refusal"])], "run long, refusal string")
+
+
+@query("SELECT c_custkey FROM (SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 10)")
+def first_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first records in order."""
+    return curate.head(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 10)
+
+
+@query("""WITH t AS (SELECT lower(lang) AS s, count(*) AS n FROM documents GROUP BY 1) SELECT count(*) AS n, (SELECT count(*) FROM documents) AS distinct_keys, (SELECT sum(floor(n * 0.3::DOUBLE))::BIGINT FROM t) AS test FROM documents""")
+def split_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both parts of a split together: every record once."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("golden_index"), F.col("lang").alias("type"), F.col("source").alias("file"), F.lit("verified_ok").alias("_verify_status"))
+    return curate.split_metadata(curate.stratified_split(rows, "doc_id")).agg(F.count("*").alias("n"), F.countDistinct("golden_index").alias("distinct_keys"), F.count_if(F.col("split") == "test").alias("test"))
+
+
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'dev' WHEN 1 THEN 'test' ELSE 'full' END AS label FROM pages")
+def split_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which part a file of labels holds, by its name."""
+    key = F.col("page_id")
+    path = F.concat(F.lit("/data/test.dev/"), F.when(key % 3 == 0, "golden_dev").when(key % 3 == 1, "test_set").otherwise("golden"), F.lit(".v2.json"))
+    return table(spark, sf_dir, "pages").select("page_id", text.split_label(path).alias("label"))
+
+
+def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
+
+
+@query("SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::INT AS golden_index, 'u/' || n_nationkey AS file, n_name AS name, NULL::VARCHAR AS type FROM nation")
+def json_array_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of a JSON array file, with their places."""
+    path = f"{streams.shared_folder(spark)}/gold"
+    records = F.transform(F.array_sort(F.collect_list(F.struct("k", "name"))), lambda r: F.struct(F.concat(F.lit("u/"), r["k"].cast("string")).alias("file"), r["name"].alias("name")))
+    _nations(spark, sf_dir).agg(F.to_json(records).alias("value")).write.text(path)
+    return files.json_array(spark, path).select("golden_index", "file", "name", "type")
+
+
+@query("SELECT (row_number() OVER (ORDER BY canonical) - 1)::INT AS pos, canonical FROM (SELECT DISTINCT trim(p_name) AS canonical FROM part)")
+def dictionary_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary built, written as a JSON array and read again."""
+    path = f"{streams.shared_folder(spark)}/dictionary"
+    files.write_dictionary(curate.name_dictionary(table(spark, sf_dir, "part"), "p_name"), path)
+    return files.dictionary(spark, path)
+
+
+@query("SELECT c_custkey, c_mktsegment AS type, CASE WHEN c_custkey % 3 = 0 THEN 'test' ELSE 'dev' END AS split FROM customer")
+def split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of a split as JSON files and back."""
+    folder = streams.shared_folder(spark)
+    files.write_split(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("type"), F.when(F.col("c_custkey") % 3 == 0, "test").otherwise("dev").alias("split")), folder)
+    return spark.read.schema("c_custkey long, type string, split string").json(f"{folder}/split")
+
+
+@query("SELECT c_custkey, c_name AS name, 'a, \"b\"' AS quoted FROM customer")
+def csv_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as CSV with a header and back."""
+    folder = f"{streams.shared_folder(spark)}/csv"
+    files.write_csv(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"), F.lit('a, "b"').alias("quoted")), folder)
+    return spark.read.option("header", True).option("escape", "\\").schema("c_custkey long, name string, quoted string").csv(folder)
+
+
+@query("SELECT field, sum(n)::BIGINT AS total, sum(n)::BIGINT AS by_type FROM (SELECT c_mktsegment AS field, count(*) AS n FROM customer GROUP BY 1) GROUP BY 1")
+def report_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An evaluation report written as JSON, found as the newest file and read as text."""
+    long = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("field"), F.when(F.col("c_custkey") % 2 == 0, "even").otherwise("odd").alias("type"), (F.col("c_custkey") % 3 == 0).alias("ok"))
+    accuracy = score.field_accuracy(long, by="type")
+    folder = streams.shared_folder(spark)
+    path = files.write_report(spark, files.report(spark.createDataFrame([(1,)], "n_total long"), accuracy, score.macro_average(accuracy.filter("scope = 'overall'")), "v1", "dev", "t"), folder)
+    body = files.prompt(spark, files.newest_file(spark, path, "*.txt"))
+    kinds = "map<string,struct<correct:bigint,total:bigint,pct:double>>"
+    read = spark.createDataFrame([(body,)], "value string").select(F.from_json("value", f"struct<field_accuracy:{kinds},by_type:map<string,{kinds}>>").alias("r"))
+    overall = read.select(F.explode("r.field_accuracy").alias("field", "a")).select("field", F.col("a.total").alias("total"))
+    each = read.select(F.explode("r.by_type").alias("type", "m")).select(F.explode("m").alias("field_", "a")).groupBy("field_").agg(F.sum("a.total").alias("by_type"))
+    return overall.join(each, F.col("field") == F.col("field_")).select("field", "total", "by_type")
+
+
+@query("SELECT '| ' || n_nationkey || ' | ' || n_name || ' |' AS line FROM nation UNION ALL SELECT '| k | name |' UNION ALL SELECT '|-|-|'")
+def markdown_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows appended to a Markdown table, in two goes."""
+    folder, rows = f"{streams.shared_folder(spark)}/log", _nations(spark, sf_dir)
+    files.append_markdown(rows.filter("k < 10"), folder, ["k", "name"])
+    files.append_markdown(rows.filter("k >= 10"), folder, ["k", "name"])
+    return spark.read.text(folder).select(F.col("value").alias("line"))
+
+
+@query("SELECT count(*) AS n, 3.5::DOUBLE AS rate, 8.0::DOUBLE AS burst FROM events")
+def stream_bucket_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rate configuration that batches of requests were run with; what it does not name has its default."""
+    config, folder = spark.createDataFrame([(3.5, None)], "rps double, burst double"), streams.shared_folder(spark)
+    apply = lambda batch, rate, burst: batch.agg(F.count("*").alias("n")).withColumns({"rate": F.lit(float(rate)), "burst": F.lit(float(burst))}).write.mode("append").parquet(f"{folder}/out")
+    run = streams.refreshed_bucket(streams.events(spark, f"{sf_dir}/event[s].parquet"), lambda: config, apply).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run.awaitTermination(streams.LONGEST_RUN_S)
+    return spark.read.parquet(f"{folder}/out").groupBy("rate", "burst").agg(F.sum("n").alias("n")).select("n", "rate", "burst")

@@ -67,17 +67,18 @@ FROM flat
 
 
 def product_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per receipt line, with its place ``pos`` in the receipt; equal lines are alike in all columns."""
+    """One row per receipt line; some line totals have no digit. Equal lines are alike in all columns."""
     line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     return line.join(part, line["l_partkey"] == part["p_partkey"]).select(
         F.col("l_orderkey").alias("rec_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").cast("string").alias("product_id"), F.col("p_name").alias("product_name"),
-        whole(F.col("p_retailprice")).alias("product_unit_price"), whole(F.col("l_quantity")).alias("product_quantity"), whole(F.col("l_extendedprice")).alias("product_total_money"),
+        whole(F.col("p_retailprice")).alias("product_unit_price"), whole(F.col("l_quantity")).alias("product_quantity"),
+        F.when((F.col("l_orderkey") + F.col("l_linenumber")) % 14 == 0, "abc").otherwise(whole(F.col("l_extendedprice"))).alias("product_total_money"),
     )
 
 
 PRODUCT_ROWS = """
 SELECT l_orderkey AS rec_id, l_linenumber AS line, l_partkey::VARCHAR AS product_id, p_name AS product_name, floor(p_retailprice)::BIGINT::VARCHAR AS product_unit_price,
-       floor(l_quantity)::BIGINT::VARCHAR AS product_quantity, floor(l_extendedprice)::BIGINT::VARCHAR AS product_total_money
+       floor(l_quantity)::BIGINT::VARCHAR AS product_quantity, CASE WHEN (l_orderkey + l_linenumber) % 14 = 0 THEN 'abc' ELSE floor(l_extendedprice)::BIGINT::VARCHAR END AS product_total_money
 FROM lineitem JOIN part ON l_partkey = p_partkey
 """
 _ORDER = ("line", "product_id", "product_unit_price", "product_quantity", "product_total_money", "product_name")
@@ -90,10 +91,11 @@ def product_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predicted_products(products: Column, key: Column) -> Column:
-    """Products as predicted: reversed, the first one lost, prices or names changed, by key."""
+    """Products as predicted: reversed, the first one lost, prices or names changed or written otherwise, by key."""
     changed = F.transform(products, lambda p, i: F.struct(
         p["product_id"].alias("product_id"), F.when((key + i) % 9 == 0, F.concat(p["product_name"], F.lit("."))).when((key + i) % 10 == 0, F.lit("")).otherwise(p["product_name"]).alias("product_name"),
-        F.when((key + i) % 8 == 0, F.lit("1")).otherwise(p["product_unit_price"]).alias("product_unit_price"), F.concat(p["product_quantity"], F.lit(",00")).alias("product_quantity"), p["product_total_money"].alias("product_total_money"),
+        F.when((key + i) % 8 == 0, F.lit("1")).when((key + i) % 8 == 3, F.concat(F.lit("-"), p["product_unit_price"])).when((key + i) % 8 == 5, F.concat(F.lit("00"), p["product_unit_price"], F.lit(" đ"))).otherwise(p["product_unit_price"]).alias("product_unit_price"),
+        F.concat(p["product_quantity"], F.lit(",00")).alias("product_quantity"), F.when(p["product_total_money"] == "abc", "n/a").otherwise(p["product_total_money"]).alias("product_total_money"),
     ))
     turned = F.when(key % 2 == 0, F.reverse(changed)).otherwise(changed)
     return F.when((key % 3 == 0) & (F.size(turned) > 1), F.slice(turned, 2, 1_000_000)).otherwise(turned)
@@ -113,10 +115,14 @@ def scored_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def job_status() -> Column:
+    """An event's type as a job's status."""
+    return F.when(F.col("event_type") == "view", "PENDING").when(F.col("event_type") == "click", "PROCESSING").when(F.col("event_type") == "purchase", "SUCCEEDED").when(F.col("event_type") == "error", "FAILED_TRANSIENT").otherwise("FAILED_PERMANENT")
+
+
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The job table out of events."""
-    event, key = table(spark, sf_dir, "events"), F.col("event_id")
-    status = F.when(F.col("event_type") == "view", "PENDING").when(F.col("event_type") == "click", "PROCESSING").when(F.col("event_type") == "purchase", "SUCCEEDED").when(F.col("event_type") == "error", "FAILED_TRANSIENT").otherwise("FAILED_PERMANENT")
+    event, key, status = table(spark, sf_dir, "events"), F.col("event_id"), job_status()
     return event.select(
         key.cast("string").alias("job_id"), status.alias("status"), F.when(key % 3 != 0, F.concat(F.lit("h"), (key % 500).cast("string"))).alias("phash"),
         F.concat(F.lit("https://img.example.com/"), key.cast("string")).alias("image_url"), F.when((status == "SUCCEEDED") & (key % 5 != 0), F.col("props")).alias("result"),

@@ -11,6 +11,7 @@ def _strings(*names: str) -> list[T.StructField]:
     return [T.StructField(n, T.StringType()) for n in names]
 
 
+#: Fields of a product and of a record (fixed values).
 PRODUCT_FIELDS = ("product_id", "product_name", "product_unit_price", "product_quantity", "product_discount_money", "product_total_money")
 BASE_FIELDS = ("name", "type", "date", "time", "pos_id", "receipt_number", "cashier", "total_money", "barcode")
 #: Product fields that scoring looks at: the discount is not one of them.
@@ -29,6 +30,7 @@ JOB = T.StructType([
 ])
 MESSAGE = T.StructType(_strings("job_id", "image_url"))
 
+#: States of a job (fixed values).
 PENDING, PROCESSING, SUCCEEDED = "PENDING", "PROCESSING", "SUCCEEDED"
 FAILED_PERMANENT, FAILED_TRANSIENT = "FAILED_PERMANENT", "FAILED_TRANSIENT"
 STATUSES = (PENDING, PROCESSING, SUCCEEDED, FAILED_PERMANENT, FAILED_TRANSIENT)
@@ -45,7 +47,7 @@ ERRORS = (
 
 @dataclass(frozen=True)
 class Settings:
-    """Thresholds and windows, with the service's defaults; passed on explicitly."""
+    """Thresholds and windows, with the service's defaults (fixed values); passed on explicitly."""
 
     cache_ttl_s: int = 86_400
     requeue_ttl_s: int = 3_600

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallywright.functions.text import basename
+from tallywright.operators.match import SENT_ENTRIES
 from tallywright.schemas import GOLD, INVOICE
 
 
@@ -83,8 +84,14 @@ def write_csv(rows: DataFrame, folder: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(folder)
 
 
-def write_dictionary(names: DataFrame, path: str) -> None:
-    """One JSON array of the names in order, as text; a dictionary fits into one value."""
+def write_dictionary(names: DataFrame, path: str, most: int = SENT_ENTRIES) -> None:
+    """One JSON array of the names in order, as text, which readers want in one piece.
+
+    It is one value of one task; a dictionary of more than ``most`` names is
+    refused: write its rows as a table instead.
+    """
+    if len(names.select(F.lit(1)).take(most + 1)) > most:
+        raise ValueError(f"a dictionary of more than {most} names has to be a table")
     names.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("pos", "canonical"))), lambda x: x["canonical"])).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 

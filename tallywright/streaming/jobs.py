@@ -4,12 +4,15 @@ Each stateful operator is a function of the stream, so it runs on any source;
 the ``run_`` forms drive it over a folder of events with a bounded trigger.
 Within a micro-batch a key's rows are put in order before they are folded into
 its state, so the result equals the batch form as long as batches arrive in order.
+A state that says no more than no state at all goes, by event time: an entry that
+is over, a bucket that is full again, a job that ended long ago.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,30 +20,43 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tallywright.operators.jobs import UUID, backpressure, swept
-from tallywright.schemas import DEFAULTS, MESSAGE, Settings
+from tallywright.operators.jobs import UUID, purge, purge_due, queue_depth, swept
+from tallywright.schemas import DEFAULTS, MESSAGE, TERMINAL, Settings
 
 EVENT = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType()),
     T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType()),
 ])
-#: Seconds after which a bounded run must be over.
-LONGEST_RUN_S = 600
+#: Seconds after which a bounded run must be over, and files that one micro-batch takes up at most.
+LONGEST_RUN_S, FILES_AT_ONCE = 600, 1_000
+#: How late rows may come, against those that came before, and still be counted.
+LATENESS = "1 day"
 
 
-def _fold(stream: DataFrame, key: str, out: str, state: str, step: Callable[[tuple | None, object], tuple[tuple, tuple]]) -> DataFrame:
-    """Rows of (key, at, seq) folded along each key: ``step(state, row)`` gives the new state and an output row."""
+def _fold(stream: DataFrame, key: str, out: str, state: str, step: Callable[[tuple | None, object], tuple[tuple, tuple]], life: Callable[[tuple], float | None]) -> DataFrame:
+    """Rows of (key, at, seq) folded along each key: ``step(state, row)`` gives the new state and an output row.
+
+    ``life(state)`` tells until when, in seconds of event time, the state is of
+    use; None is for good. Rows later than ``LATENESS`` are dropped.
+    """
 
     def advance(keys: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         rows = pd.concat(list(parts)).sort_values(["at", "seq"], kind="stable")
         now, made = (tuple(held.get) if held.exists else None), []
         for row in rows.itertuples(index=False):
             now, result = step(now, row)
             made.append((*keys, *result))
         held.update(now)
+        until = life(now)
+        if until is not None:
+            held.setTimeoutTimestamp(max(int(until * 1000), held.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(made, columns=[c.split()[0] for c in out.split(", ")])
 
-    return stream.groupBy(key).applyInPandasWithState(advance, out, state, "append", GroupStateTimeout.NoTimeout)
+    timed = stream.withColumn("ts", F.timestamp_seconds("at")).withWatermark("ts", LATENESS)
+    return timed.groupBy(key).applyInPandasWithState(advance, out, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def bounded_requeues(attempts: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -55,7 +71,7 @@ def bounded_requeues(attempts: DataFrame, settings: Settings = DEFAULTS) -> Data
         count, since = (now[0] + 1, now[1]) if alive else (1, row.at)
         return (count, since), (row.seq, count, "orphan_requeue_cap" if count > cap else "requeue")
 
-    return _fold(attempts, "job_id", "job_id string, event_id long, requeue_count int, outcome string", "n int, since double", step)
+    return _fold(attempts, "job_id", "job_id string, event_id long, requeue_count int, outcome string", "n int, since double", step, lambda now: None if ttl is None else now[1] + ttl)
 
 
 def token_bucket(requests: DataFrame, rate: float = DEFAULTS.rate_per_s, burst: float = DEFAULTS.burst) -> DataFrame:
@@ -66,7 +82,7 @@ def token_bucket(requests: DataFrame, rate: float = DEFAULTS.rate_per_s, burst:
         granted = tokens >= 1
         return (tokens - 1 if granted else tokens, row.at), (row.seq, granted)
 
-    return _fold(requests, "user_id", "user_id long, event_id long, granted boolean", "tokens double, at double", step)
+    return _fold(requests, "user_id", "user_id long, event_id long, granted boolean", "tokens double, at double", step, lambda now: now[1] + (float(burst) - now[0]) / float(rate))
 
 
 def ttl_cache(requests: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -77,24 +93,41 @@ def ttl_cache(requests: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
         hit = now is not None and row.at < now[0] + ttl
         return (now if hit else (row.at,)), (row.seq, hit)
 
-    return _fold(requests, "phash", "phash long, event_id long, hit boolean", "written double", step)
+    return _fold(requests, "phash", "phash long, event_id long, hit boolean", "written double", step, lambda now: now[0] + ttl)
 
 
-def job_states(log: DataFrame) -> DataFrame:
-    """(job_id, at, seq, status) to a row for each event with the job's state after it and its number of events."""
+def job_states(log: DataFrame, settings: Settings = DEFAULTS, keep_terminal: bool = False) -> DataFrame:
+    """(job_id, at, seq, status) to a row for each event with the job's state before and after it, its number of events, and whether it was ignored.
+
+    With ``keep_terminal`` a job that is over stays as it ended: events that come
+    later are ignored, for as long as ended jobs are retained.
+    """
+    retained = settings.retention_days * 86_400
 
     def step(now, row):
-        last, n = (None, 0) if now is None else (now[0], now[1])
-        return (row.status, n + 1), (row.seq, row.status, last, n + 1)
+        last, n, _ = now or (None, 0, 0.0)
+        ignored = keep_terminal and last in TERMINAL
+        status = last if ignored else row.status
+        return (status, n + 1, row.at), (row.seq, status, last, n + 1, ignored)
+
+    out = "job_id string, event_id long, status string, before string, n_events int, ignored boolean"
+    return _fold(log, "job_id", out, "status string, n int, at double", step, lambda now: now[2] + retained if keep_terminal and now[0] in TERMINAL else None)
 
-    return _fold(log, "job_id", "job_id string, event_id long, status string, before string, n_events int", "status string, n int", step)
+
+def parsed_messages(raw: DataFrame) -> DataFrame:
+    """JSON lines (``value``) as messages; ``valid`` tells those with a UUID and a URL, the others are to be logged."""
+    parsed = raw.select("value", F.from_json("value", MESSAGE).alias("m")).select("value", "m.*")
+    return parsed.withColumn("valid", F.coalesce(F.col("job_id").rlike(UUID) & (F.col("image_url") != ""), F.lit(False)))
 
 
 def messages(spark: SparkSession, folder: str) -> DataFrame:
-    """The queue as a stream of JSON lines; corrupt or invalid messages are dropped."""
-    raw = spark.readStream.format("text").load(folder)
-    parsed = raw.select(F.from_json("value", MESSAGE).alias("m")).select("m.*")
-    return parsed.filter(F.col("job_id").rlike(UUID) & F.col("image_url").isNotNull())
+    """The queue as a stream of JSON lines, without corrupt and invalid messages: see :func:`bad_messages`."""
+    return parsed_messages(spark.readStream.format("text").load(folder)).filter("valid").drop("value", "valid")
+
+
+def bad_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of the queue that :func:`messages` leaves out, as a stream for the log."""
+    return parsed_messages(spark.readStream.format("text").load(folder)).filter("not valid").select("value")
 
 
 def enqueue(frame: DataFrame, folder: str) -> None:
@@ -104,7 +137,7 @@ def enqueue(frame: DataFrame, folder: str) -> None:
 
 def events(spark: SparkSession, path: str) -> DataFrame:
     """The event table as a stream. A path with a wildcard may name a single file."""
-    return spark.readStream.schema(EVENT).parquet(path)
+    return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", FILES_AT_ONCE).parquet(path)
 
 
 def _seconds() -> Column:
@@ -112,9 +145,11 @@ def _seconds() -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base}/streams/{uuid.uuid4().hex}"
+    """A fresh folder that driver and executors share; only in local mode may ``spark.checkpoint.dir`` be unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return f"{base or spark.conf.get('spark.sql.warehouse.dir')}/streams/{uuid.uuid4().hex}"
 
 
 def drained(stream: DataFrame) -> DataFrame:
@@ -149,6 +184,19 @@ def run_job_states(spark: SparkSession, path: str) -> DataFrame:
     return drained(job_states(log)).groupBy("job_id").agg(F.max_by("status", "n_events").alias("status"), F.count("*").alias("n_events"))
 
 
+def run_state_machine(spark: SparkSession, path: str, status: Column) -> DataFrame:
+    """job_id, status, n_events, n_ignored of each job after the whole log, ended jobs staying as they ended."""
+    log = events(spark, path).select(F.col("user_id").cast("string").alias("job_id"), _seconds(), F.col("event_id").alias("seq"), status.alias("status"))
+    return drained(job_states(log, keep_terminal=True)).groupBy("job_id").agg(F.max_by("status", "n_events").alias("status"), F.count("*").alias("n_events"), F.count_if("ignored").alias("n_ignored"))
+
+
+def run_queue(spark: SparkSession, messages_: DataFrame) -> DataFrame:
+    """What comes out of a queue that a table of messages (job_id, image_url) went into."""
+    folder = f"{shared_folder(spark)}/queue"
+    enqueue(messages_, folder)
+    return drained(messages(spark, folder))
+
+
 def sweeping(ticks: DataFrame, read_jobs: Callable[[], DataFrame], write_jobs: Callable[[DataFrame], None], settings: Settings = DEFAULTS):
     """A stream writer that sweeps stale jobs at every batch of ``ticks`` (timestamp); start it with a trigger."""
 
@@ -160,14 +208,28 @@ def sweeping(ticks: DataFrame, read_jobs: Callable[[], DataFrame], write_jobs: C
     return ticks.writeStream.foreachBatch(sweep)
 
 
-def sampling_depth(queue: DataFrame, report: Callable[[int, str], None], settings: Settings = DEFAULTS):
-    """A stream writer that reports the number of waiting messages and the backpressure level at every batch."""
+def purging(ticks: DataFrame, read_jobs: Callable[[], DataFrame], write_jobs: Callable[[DataFrame], None], worker: str, leader: str, since: datetime, settings: Settings = DEFAULTS):
+    """A stream writer that purges old jobs once for every nightly hour that passes after ``since``; only the leader does."""
+    last = [since]
+
+    def purge_(batch: DataFrame, _: int) -> None:
+        latest = batch.agg(F.max("timestamp").alias("t")).first()["t"] if worker == leader else None
+        if latest is not None:
+            if batch.sparkSession.range(1).select(purge_due(F.lit(last[0]), F.lit(latest))).first()[0]:
+                write_jobs(purge(read_jobs(), F.lit(latest), settings)[0])
+            last[0] = latest
+
+    return ticks.writeStream.foreachBatch(purge_)
+
+
+def sampling_depth(ticks: DataFrame, read_enqueued: Callable[[], DataFrame], read_taken: Callable[[], DataFrame], report: Callable[[int, str], None], settings: Settings = DEFAULTS):
+    """A stream writer that reports, at every batch of ``ticks``, how many messages wait in the queue and the backpressure level that means."""
 
-    def sample(batch: DataFrame, _: int) -> None:
-        row = batch.agg(F.count("*").alias("depth")).select("depth", backpressure(F.col("depth"), settings)["level"].alias("level")).first()
+    def sample(_: DataFrame, __: int) -> None:
+        row = queue_depth(read_enqueued(), read_taken(), settings).first()
         report(row["depth"], row["level"])
 
-    return queue.writeStream.foreachBatch(sample)
+    return ticks.writeStream.foreachBatch(sample)
 
 
 def refreshed_bucket(requests: DataFrame, read_config: Callable[[], DataFrame], apply: Callable[[DataFrame, float, float], None], settings: Settings = DEFAULTS):

@@ -17,7 +17,13 @@ def align(spark, gold, pred):
     return frame.select(score.align_lines(F.col("g"), F.col("p")).alias("m")).first()["m"]
 
 
+def plain_money(value):
+    """Digits only, no leading zeros, 0 if none are left; empty stays empty."""
+    return "" if not value else "".join(c for c in value if c.isdigit()).lstrip("0") or "0"
+
+
 def plain_align(gold, pred):
+    gold, pred = ([(n, plain_money(a), plain_money(b)) for n, a, b in side] for side in (gold, pred))
     used, out = set(), []
     for g in gold:
         best, at = 0, None
@@ -36,8 +42,10 @@ def test_alignment(spark):
     assert align(spark, [("MILK", "10", ""), ("MILK", "20", ""), ("EGG", "5", "")], [("MILK", "20", ""), ("MILK", "10", ""), ("ZZ", "99", "")]) == [1, 0, None]
     assert align(spark, [("X", "1", "1")], []) == [None] and align(spark, [], [("X", "1", "1")]) == []
     assert align(spark, [("a", "10", ""), ("b", "10", "")], [("p", "10", ""), ("q", "10", "")]) == [0, 1]
+    for one, two in (("-24,000", "24000"), ("0059000", "59000"), ("abc", "n/a"), ("0", "free")):
+        assert align(spark, [("x", one, "")], [("y", two, "")]) == [0]
     rnd = random.Random(2)
-    pick = lambda: [(rnd.choice("abc"), rnd.choice(["", "1", "2"]), rnd.choice(["", "5", "6"])) for _ in range(rnd.randint(0, 5))]
+    pick = lambda: [(rnd.choice("abc"), rnd.choice(["", "1", "-1", "001", "2"]), rnd.choice(["", "5", "6", "abc", "0"])) for _ in range(rnd.randint(0, 5))]
     cases = [(pick(), pick()) for _ in range(200)]
     rows = spark.createDataFrame([(i, g, p) for i, (g, p) in enumerate(cases)], f"i int, g {LINE}, p {LINE}").select("i", score.align_lines(F.col("g"), F.col("p")).alias("m")).collect()
     assert all(r["m"] == plain_align(*cases[r["i"]]) for r in rows)
@@ -59,6 +67,8 @@ def test_comparisons(spark):
     got = {(r["idx"], r["field"]): r["ok"] for r in long.collect()}
     assert got == {(None, "name"): True, (None, "total_money"): True, (None, "barcode"): True, (None, "date"): False, (0, "product_id"): True, (0, "product_name"): True, (0, "product_unit_price"): True, (0, "product_quantity"): True, (0, "product_total_money"): False}
     assert {r["path"] for r in score.mismatches(long, "rec").collect()} == {"date", "product[0].product_total_money"}
+    odd = spark.createDataFrame([(1, record(name=" Shop "), record(name="\tOther "))], f"rec int, gold {RECORD}, pred {RECORD}")
+    assert [tuple(r) for r in score.mismatches(score.comparisons(odd, ["rec"]), "rec").collect()] == [(1, "name", "Shop", "Other")]
 
 
 def test_replay_diverges(spark):
@@ -145,12 +155,45 @@ def test_update_keeps_old_errors(spark):
     assert rows == {"a": ("SUCCEEDED", "stale_timeout", "now"), "b": ("PROCESSING", "c", "now")}
     strict = {r["job_id"]: r["status"] for r in jobs.update(table, changes, F.lit("now"), strict_terminal=True).collect()}
     assert strict == {"a": "FAILED_TRANSIENT", "b": "PROCESSING"}
+    twice = spark.createDataFrame([("a", "PROCESSING", "one", 1), ("a", "SUCCEEDED", None, 2)], "job_id string, status string, error_code string, turn int")
+    assert [tuple(r) for r in jobs.update(table, twice, F.lit("now"), order="turn").orderBy("job_id").collect()] == [("a", "SUCCEEDED", "one", "now"), ("b", "PENDING", None, "x")]
+
+
+def test_new_jobs_refuse_long_urls(spark):
+    frame = spark.createDataFrame([("a", "u" * 512), ("b", "u" * 513)], "job_id string, image_url string")
+    assert jobs.new_jobs(frame.filter("job_id = 'a'"), F.lit("now")).first()["image_url"] == "u" * 512
+    with pytest.raises(Exception, match="too long"):
+        jobs.new_jobs(frame, F.lit("now")).collect()
+
+
+def test_exceptions_and_hashes(spark):
+    rows = spark.createDataFrame([("DatabaseUnavailable",), ("StorageTransient",), ("KeyError",), (None,)], "e string").select(jobs.exception_status(F.col("e")).alias("s")).collect()
+    assert [r["s"] for r in rows] == [503, 503, 500, 500]
+    table = spark.createDataFrame([("a", "x"), ("b", None), ("c", "y")], "job_id string, phash string")
+    fresh = spark.createDataFrame([("a", "x"), ("b", "z"), ("c", "w"), ("d", "q")], "job_id string, phash string")
+    assert {tuple(r) for r in jobs.phash_changes(table, fresh).collect()} == {("b", "z"), ("c", "w")}
+
+
+def test_postprocess(spark):
+    """A record by all its rules; names by the dictionaries, a product name never by a scan."""
+    lines = [("7", "milk tea botle", "10.000", "10.000", "", "20,000"), ("8", "zzz", "", "0,47", "", "(5)")]
+    kind = "struct<name:string,type:string,date:string,time:string,pos_id:string,receipt_number:string,cashier:string,total_money:string,barcode:string,products:array<struct<product_id:string,product_name:string,product_unit_price:string,product_quantity:string,product_discount_money:string,product_total_money:string>>>"
+    record_ = ("aeon mall tân phú", " AEON ", "31-12-2025", " 10:00", " 1", "2 ", None, "24.000đ", "*1*", lines)
+    rows = spark.createDataFrame([(1, record_), (2, None), (3, (*record_[:9], None))], f"id int, record {kind}")
+    done = {r["id"]: r["record"] for r in match.postprocessed(rows, dictionary(spark, ["AEON Mall Tân Phú"]), dictionary(spark, ["Milk Tea Bottle", "Other"])).collect()}
+    assert tuple(done[1])[:9] == ("AEON Mall Tân Phú", "aeon", "31/12/2025", "10:00", "1", "2", "", "24000", "*1*") and done[2] is None and done[3]["products"] == []
+    assert [tuple(p) for p in done[1]["products"]] == [("7", "Milk Tea Bottle", "10000", "10", "", "20000"), ("8", "zzz", "", "0.47", "", "-5")]
+
+
+def test_records_are_folded_at_every_level(spark):
+    rows = spark.createDataFrame([("A  É", "KEEP", [("Đ  x", "Keep")], {"a": 1})], "name string, type string, products array<struct<n:string,file:string>>, other map<string,int>")
+    assert [tuple(r) for r in curate.normalized_records(rows).collect()] == [("a e", "KEEP", [("d x", "Keep")], {"a": 1})]
 
 
 def test_token_bucket(spark):
     at = [0.0] * 9 + [0.25, 100.0, *[100.0] * 8]
     frame = spark.createDataFrame([("k", t, i) for i, t in enumerate(at)], "k string, at double, seq int")
-    got = [r["granted"] for r in jobs.token_grants(frame, "k", "at", "seq", 4.0, 8.0).orderBy("seq").collect()]
+    got = [r["granted"] for r in jobs.token_grants(frame.repartition(3), "k", "at", "seq", 4.0, 8.0).orderBy("seq").collect()]
     assert got == [True] * 8 + [False, True] + [True] * 8 + [False]
 
 

@@ -1,6 +1,7 @@
 """Files in and out, and streams against their batch forms."""
 
 import json
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,7 +63,7 @@ def test_bucket_equals_batch(spark):
 
 def test_cache_equals_batch(spark):
     rows = spark.read.parquet(EVENTS).select("event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 700).alias("phash"))
-    batch = {(r["event_id"], r["hit"]) for r in jobs.cached_by_order(rows, ["phash"], "ts", ["event_id"]).collect()}
+    batch = {(r["event_id"], r["hit"]) for r in jobs.cached_by_order(rows, "phash", "ts", "event_id").collect()}
     assert {(r["event_id"], r["hit"]) for r in streams.run_ttl_cache(spark, EVENTS).collect()} == batch
 
 
@@ -80,6 +81,34 @@ def test_sweeping(spark, tmp_path):
     assert found[0] == {"a": "FAILED_TRANSIENT", "b": "SUCCEEDED"}
 
 
+def run_until(writer, done):
+    run = writer.start()
+    try:
+        for _ in range(100):
+            if done() or run.awaitTermination(0.2):
+                break
+    finally:
+        run.stop()
+
+
+def test_depth_and_purge_on_ticks(spark):
+    """The sampler counts what waits, not what a batch brings; only the leader purges, once for each night."""
+    queue = spark.range(300).select(F.col("id").cast("string").alias("job_id"), F.lit(1).alias("enqueued_at"))
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 5).load()
+    told = []
+    run_until(streams.sampling_depth(ticks, lambda: queue, lambda: queue.filter("job_id < '2'"), lambda n, level: told.append((n, level))), lambda: told)
+    assert told[0] == (queue.filter("job_id >= '2'").count(), "ok")
+    old = spark.createDataFrame([("a", "SUCCEEDED"), ("b", "PENDING")], "job_id string, status string").withColumn("updated_at", F.lit("2020-01-01").cast("timestamp"))
+    left = []
+    run_until(streams.purging(ticks, lambda: old, lambda df: left.append([r["job_id"] for r in df.collect()]), "w1", "w1", datetime(2020, 1, 1)), lambda: left)
+    assert left == [["b"]]
+
+
+def test_bad_messages_are_told(spark):
+    raw = spark.createDataFrame([("not json",), ('{"job_id": "x", "image_url": "u"}',), ('{"job_id": "0b8e2f4e-0d0c-4c56-8a2f-6a1d2f3b4c5d", "image_url": "u"}',)], "value string")
+    assert [r["valid"] for r in streams.parsed_messages(raw).collect()] == [False, False, True]
+
+
 def test_markdown(spark, tmp_path):
     for n in (1, 2):
         files.append_markdown(spark.createDataFrame([(n, 50.0)], "run int, pct double"), str(tmp_path / "log"), ["run", "pct"])
