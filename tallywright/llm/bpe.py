@@ -13,7 +13,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 from os.path import commonprefix
@@ -22,13 +21,14 @@ import pyarrow as pa
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywright.llm.common import text_chunks
+from tallywright.llm.common import text_pass
 
-#: Pieces, and pairs of tokens, that a worker keeps; beyond it each store starts anew.
-CACHED_PIECES = 1_000_000
+#: Bytes of pieces with their ids that a worker keeps, and pairs of tokens; beyond it each store starts anew.
+CACHED_BYTES, CACHED_PAIRS = 48 << 20, 200_000
+#: Bytes that an entry of the store of pieces takes besides its characters and ids.
+ENTRY_BYTES = 250
 
 #: Characters on which the standard library's classes agree with the Unicode
 #: properties that a splitting pattern names: ASCII and Latin letters.
@@ -63,13 +63,13 @@ class PrefixEncoding:
         old, shift = self.last[stop:], start + len(data)
         self.data = self.data[:start] + data + self.data[stop:]
         del self.last[start:]
-        self.codec.extend(self.data[:shift], self.last, start)
+        self.codec.extend(self.data, self.last, start, shift)
         same = 0
         for i, token in enumerate(old):
             if same >= self.codec.longest:
                 self.last.extend(old[i:])
                 return
-            self.codec.extend(self.data[: shift + i + 1], self.last, shift + i)
+            self.codec.extend(self.data, self.last, shift + i, shift + i + 1)
             same = same + 1 if self.last[-1] == token else 0
 
     def ids(self, stop: int | None = None) -> list[int]:
@@ -78,16 +78,25 @@ class PrefixEncoding:
 
 
 class _Pieces(dict):
-    """Ids by piece, filled as pieces are asked for, and emptied when it is full."""
+    """Ids by piece, filled as pieces are asked for, and emptied when it holds ``CACHED_BYTES``."""
 
     def __init__(self, codec: BytePairCodec) -> None:
         super().__init__()
-        self.codec = codec
+        self.codec, self.held = codec, 0
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) >= CACHED_PIECES:
+        return self.put(piece, self.codec.encode_piece(piece))
+
+    def put(self, piece: str, ids: tuple[int, ...]) -> tuple[int, ...]:
+        """Store ``ids``, unless they alone would be a large part of what may be held."""
+        cost = ENTRY_BYTES + 4 * len(piece) + 8 * len(ids)
+        if cost * 16 > CACHED_BYTES:
+            return ids
+        if self.held + cost > CACHED_BYTES:
             self.clear()
-        self[piece] = ids = self.codec.encode_piece(piece)
+            self.held = 0
+        self.held += cost
+        self[piece] = ids
         return ids
 
 
@@ -134,7 +143,7 @@ class BytePairCodec:
         """
         key = left << 32 | right
         if (known := self.beside.get(key)) is None:
-            if len(self.beside) >= CACHED_PIECES:
+            if len(self.beside) >= CACHED_PAIRS:
                 self.beside.clear()
             known = self.beside[key] = self._touch(left, right)
         return known
@@ -155,10 +164,10 @@ class BytePairCodec:
             else:
                 bound, right = right + 1, b[0]
 
-    def extend(self, data: bytes, last: list[int], begin: int) -> None:
-        """Append to ``last`` the last token of every prefix longer than ``begin``."""
+    def extend(self, data: bytes, last: list[int], begin: int, stop: int | None = None) -> None:
+        """Append to ``last`` the last token of every prefix longer than ``begin``, up to ``stop`` (all by default)."""
         token_of, known, tails = self.usable.get, self.beside.get, self.tails
-        for end in range(begin + 1, len(data) + 1):
+        for end in range(begin + 1, (len(data) if stop is None else stop) + 1):
             start = end - 1
             tail = data[start:end]
             while True:
@@ -178,19 +187,17 @@ class BytePairCodec:
 
     def learn(self, pieces: set[str]) -> None:
         """Encode ``pieces`` into the store; in sorted order each shares its prefix's entries with the one before."""
-        if len(self.pieces) + len(pieces) > CACHED_PIECES:
-            self.pieces.clear()
         before, last = b"", []
         for piece in sorted(pieces):
             data = piece.encode("utf-8", "surrogatepass")
             whole = self.ranks.get(data)
             if whole is not None:
-                self.pieces[piece] = (whole,)
+                self.pieces.put(piece, (whole,))
                 continue
             same = len(commonprefix((before, data)))
             del last[same:]
             self.extend(data, last, same)
-            self.pieces[piece] = tuple(self.walk_back(last, len(data)))
+            self.pieces.put(piece, tuple(self.walk_back(last, len(data))))
             before = data
 
     def walk_back(self, last: list[int], stop: int) -> list[int]:
@@ -312,29 +319,22 @@ def encode_documents(docs: DataFrame, ranks_file: str, pattern: str, text: str =
     """
     docs.sparkSession.sparkContext.addFile(ranks_file)
     name = ranks_file.rsplit("/", 1)[-1]
-    types = {"ids": T.ArrayType(T.IntegerType()), "n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
-    arrow = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in outputs]
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(o, types[o]) for o in outputs])
-    carried = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
+    types = {"ids": (T.ArrayType(T.IntegerType()), pa.list_(pa.int32())), "n_tokens": (T.LongType(), pa.int64()), "ids_sha256": (T.StringType(), pa.string()), "decoded_sha256": (T.StringType(), pa.string())}
 
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work():
         codec = _codec(SparkFiles.get(name), pattern)
-        decimal = {i: str(i) for i in codec.bytes_of}
-        for one in batches:
-            found: dict[str, list] = {o: [] for o in outputs}
-            texts = one.column(one.num_columns - 1).to_pylist()
-            for ids in chain.from_iterable(codec.encode_all(part) for _, part in text_chunks(texts)):
-                for o, column in found.items():
-                    if o == "ids":
-                        column.append(ids)
-                    elif o == "n_tokens":
-                        column.append(len(ids))
-                    elif o == "ids_sha256":
-                        column.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
-                    else:
-                        column.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-            columns = [one.column(i) for i in range(len(kept))] + [pa.array(found[o], arrow[o]) for o in outputs]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *outputs])
-
-    return carried.mapInArrow(encoded, schema)
+        decimal = {i: str(i) for i in codec.bytes_of} if "ids_sha256" in outputs else {}
+        made = {
+            "ids": lambda ids: ids,
+            "n_tokens": len,
+            "ids_sha256": lambda ids: hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest(),
+            "decoded_sha256": lambda ids: hashlib.sha256(codec.decode(ids)).hexdigest(),
+        }
+
+        def encoded(texts: list[str]) -> list[list]:
+            each = codec.encode_all(texts)
+            return [list(map(made[o], each)) for o in outputs]
+
+        return encoded
+
+    return text_pass(docs, text, keep, [(T.StructField(o, types[o][0]), types[o][1]) for o in outputs], work)

@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows whose crc32(doc_id as text) mod FOLDS is 0 are held out of training.
 FOLDS = 5
+#: Bytes of text that an operator takes up at a time: what it works out of them leaves before it goes on.
+SLICE_BYTES = 1 << 18
+#: The same where texts step on together, word by word or line by line, and a step should have many.
+STEPPED_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +34,32 @@ def held_out(doc_id: Column) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in a local test, a folder below the warehouse.
+    Only in local mode, where there is one machine, may it be unset: then it is a
+    folder below the warehouse. On a cluster that would be a folder of one of many.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+
+
+#: Tables that are written within a :func:`scratch`, innermost last.
+_WRITTEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, what :func:`cut` has written within: results that are read after it have to be written before.
+
+    Operators give their results as plans that read such tables, so they can't
+    delete them themselves.
+    """
+    _WRITTEN.append([])
+    try:
+        yield
+    finally:
+        for path in _WRITTEN.pop():
+            delete(spark, path)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -41,16 +71,23 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever the cluster's file systems have it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop_cut(*frames: DataFrame) -> None:
     """Deletes tables that :func:`cut` wrote, when nothing reads them any more."""
     for df in frames:
         for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+            delete(df.sparkSession, path)
 
 
 def partitions(spark: SparkSession, least: int = 1) -> int:
@@ -66,17 +103,39 @@ def bounded_rows(df: DataFrame, keys: list[str], rows: int, seed: int) -> DataFr
     return df.orderBy(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), *keys).limit(rows)
 
 
-def text_chunks(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
-    """Slices of ``texts`` of about ``most`` characters, each with the index it starts at; nulls are empty."""
-    start, size, part = 0, 0, []
-    for i, text in enumerate(texts):
-        part.append(text or "")
-        size += len(part[-1])
-        if size >= most:
-            yield start, part
-            start, size, part = i + 1, 0, []
-    if part:
-        yield start, part
+def sliced(one: pa.RecordBatch, at: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of ``one``, without a copy, of about ``most`` bytes in the column ``at``, and of a row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(one.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 8)
+    start = 0
+    while start < one.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        yield one.slice(start, stop - start)
+        start = stop
+
+
+def text_pass(docs: DataFrame, text: str, keep: list[str] | None, outputs: list[tuple[T.StructField, pa.DataType]], work: Callable[[], Callable[[list[str]], Sequence]], most: int = SLICE_BYTES) -> DataFrame:
+    """``docs`` with ``outputs`` made from ``text``, in one pass without a shuffle.
+
+    ``work`` is called once in a task and gives what turns texts (a null is '')
+    into the columns of the outputs. ``keep`` names the columns that stay (all by
+    default); one that has the name of an output is replaced. The text is sent
+    once, stays or not, and is taken up by slices of ``SLICE_BYTES``, so what a
+    task holds besides an Arrow batch does not grow with the batch; a longer
+    text is a slice of its own.
+    """
+    names = [f.name for f, _ in outputs]
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    sent = kept if text in kept else [*kept, text]
+    at = sent.index(text)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = work()
+        for one in batches:
+            for part in sliced(one, at, most):
+                found = of([t or "" for t in part.column(at).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(kept))), *(pa.array(c, t) for c, (_, t) in zip(found, outputs))], names=[*kept, *names])
+
+    return docs.select(*[F.col(f"`{c}`") for c in sent]).mapInArrow(made, T.StructType([docs.schema[c] for c in kept] + [f for f, _ in outputs]))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
