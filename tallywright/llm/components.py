@@ -20,7 +20,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     to the components' smallest nodes. No node's neighbours are ever gathered:
     the smallest comes from an aggregate with partial sums in each task, and the
     join back can split a node of many edges, as both of its sides are written
-    tables. It ends when the edges are stars. Loops, repeated edges and rows
+    tables. The result is a table that :func:`~tallywright.llm.common.cut` wrote. It ends when the edges are stars. Loops, repeated edges and rows
     with a null end are left out; no edges give no rows.
     """
     ends = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("a") != F.col("b")))
@@ -37,7 +37,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         pointing = cut(moved.unionByName(near.select(F.col("node").alias("a"), F.col("least").alias("b"))).distinct())
         drop_cut(large, near)
     roots = pointing.select(F.col("b").alias("node")).distinct()
-    return pointing.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+    found = cut(pointing.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component"))))
+    drop_cut(pointing)
+    return found
 
 
 def _settled(pointing: DataFrame) -> bool:
