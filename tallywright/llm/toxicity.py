@@ -1,8 +1,8 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-A document's features are the words, word pairs, and word pairs with one and two
-words skipped that occur in it, each hashed to one of ``2**BITS`` places. The
-learner keeps per place the sum of squared gradients, from which its own rate
+A document's features are the words, the beginnings of longer words (inflected
+and compound forms share them), word pairs, and word pairs with one and two words
+skipped that occur in it, each hashed to one of ``2**BITS`` places. The learner keeps per place the sum of squared gradients, from which its own rate
 follows, and the L1 term leaves places without steady evidence at exactly zero.
 So the weights to send out are few, at most one per place whatever the corpus.
 """
@@ -17,15 +17,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywright.llm.common import bounded_rows, code_points, held_out, mix64, runs, span_hashes, text_chunks
+from tallywright.llm.common import bounded_rows, code_points, held_out, mix64, runs, sliced, span_hashes, text_pass
 
 BITS = 20
-#: Labelled documents that the classifier is fitted on, at most, and passes over them.
-TRAIN_ROWS, PASSES = 32_768, 4
-#: L1 is above PASSES, so that a feature of a single document, whose gradients add up to that at most, stays at zero.
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 5.0, 0.0
+#: Labelled documents that the classifier is fitted on and their distinct places together, at most; passes over them.
+TRAIN_ROWS, TRAIN_PLACES, PASSES = 16_384, 32_000_000, 4
+#: L1 is twice PASSES, so that a feature of two documents, whose gradients add up to that at most, stays at zero.
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.0
 THRESHOLD = 0.5
 _GAPS = (1, 2, 3)
+#: Lengths of the beginnings of words that are longer.
+STEMS = (5, 6, 7)
 _WORDLIKE = None
 
 
@@ -49,6 +51,10 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     hashes = span_hashes(units, begin, end)
     owner = np.searchsorted(starts, begin, "right") - 1
     places, owners = [hashes], [owner]
+    for length in STEMS:
+        longer = end - begin > length
+        places.append(mix64(span_hashes(units, begin[longer], begin[longer] + length) + np.uint64(length)))
+        owners.append(owner[longer])
     for gap in _GAPS:
         same = owner[gap:] == owner[:-gap] if len(owner) > gap else np.zeros(0, bool)
         first, second = hashes[: len(same)][same], hashes[gap:][: len(same)][same]
@@ -89,15 +95,16 @@ class FtrlProximal:
         return kept, w[kept]
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS, passes: int = PASSES, seed: int = 11) -> list[tuple[int, float]]:
-    """The non-zero weights as (place, weight), the bias at place ``2**BITS``.
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS, passes: int = PASSES, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """The places and the weights that are not zero; the bias is at place ``2**BITS``.
 
     Learns from at most ``rows`` labelled rows outside the held-out fold, the
     first by a seeded hash. Their features are worked out where the texts lie;
     one task gets the places alone, four bytes for each distinct one, and goes
-    over them ``passes`` times. Rows without label, key or document are not
-    examples; a row labelled twice is two examples. Without examples the list is
-    empty.
+    over them ``passes`` times. It takes rows up in that order until they have
+    ``TRAIN_PLACES`` places, so it holds 128 MB at most however long the texts
+    are. Rows without label, key or document are not examples; a row labelled
+    twice is two examples. Without examples the arrays are empty.
     """
     chosen = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("int").alias("y")).filter(F.col("k").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("k")))
     sample = bounded_rows(chosen, ["k", "y"], rows, seed)
@@ -106,16 +113,21 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for one in batches:
-            found = []
-            for _, part in text_chunks(one.column(3).to_pylist()):
-                places, owners = features(part)
-                order = np.argsort(owners, kind="stable")
-                borders = np.searchsorted(owners[order], np.arange(len(part) + 1))
-                found.extend(np.unique(places[order[a:b]]).astype(np.uint32).tobytes() for a, b in zip(borders, borders[1:]))
-            yield pa.RecordBatch.from_arrays([one.column(0), one.column(2).cast(pa.int32()), pa.array(found, pa.binary())], names=["h", "y", "places"])
+            for part in sliced(one, 3):
+                places, owners = features([t or "" for t in part.column(3).to_pylist()])
+                pairs = np.unique(owners * (1 << BITS) + places)
+                borders = np.searchsorted(pairs >> BITS, np.arange(part.num_rows + 1))
+                each = (pairs & ((1 << BITS) - 1)).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2).cast(pa.int32()), pa.array([each[a:b].tobytes() for a, b in zip(borders, borders[1:])], pa.binary())], names=["h", "y", "places"])
 
     def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples = [(y, np.frombuffer(places, np.uint32)) for one in batches for y, places in zip(one.column(0).to_pylist(), one.column(1).to_pylist())]
+        examples, held = [], 0
+        for one in batches:
+            if held < TRAIN_PLACES:
+                fresh = [(y, np.frombuffer(places, np.uint32)) for y, places in zip(one.column(0).to_pylist(), one.column(1).to_pylist())]
+                ends = held + np.cumsum([len(places) for _, places in fresh])
+                examples.extend(fresh[: int(np.searchsorted(ends, TRAIN_PLACES, "right"))])
+                held = int(ends[-1]) if fresh else held
         learner = FtrlProximal()
         for turn in range(passes):
             for i in np.random.default_rng((seed, turn)).permutation(len(examples)):
@@ -124,42 +136,35 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(weights, pa.float64())], names=["place", "weight"])
 
     spread = labelled.mapInArrow(placed, "h long, y int, places binary")
-    found = spread.repartition(1).sortWithinPartitions("h", "y", "places").select("y", "places").mapInArrow(learnt, "place long, weight double")
-    return [(r["place"], r["weight"]) for r in found.collect()]
+    found = spread.repartition(1).sortWithinPartitions("h", "y", "places").select("y", "places").mapInArrow(learnt, "place long, weight double").toPandas()
+    return found["place"].to_numpy(np.int64), found["weight"].to_numpy(np.float64)
 
 
-def score_texts(texts: list[str | None], weights: np.ndarray, bias: float) -> np.ndarray:
+def score_texts(texts: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
     """The probability of each text; each distinct feature counts once."""
-    total = np.full(len(texts), bias)
-    for start, part in text_chunks(texts):
-        places, owners = features(part)
-        hit = weights[places] != 0
-        pairs = np.unique(owners[hit] * (1 << BITS) + places[hit])
-        np.add.at(total, start + (pairs >> BITS), weights[pairs & ((1 << BITS) - 1)])
+    places, owners = features(texts)
+    hit = weights[places] != 0
+    pairs = np.unique(owners[hit] * (1 << BITS) + places[hit])
+    total = bias + np.bincount(pairs >> BITS, weights[pairs & ((1 << BITS) - 1)], len(texts))
     return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
 
 
-def score(docs: DataFrame, model: list[tuple[int, float]], text: str = "text", output: str = "toxicity") -> DataFrame:
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "text", output: str = "toxicity") -> DataFrame:
     """``docs`` with the probability ``output`` (a column of that name is replaced), in one pass.
 
     A null text counts as empty and has the bias alone. With an empty model
-    every probability is 0: nothing is known to be toxic.
+    every probability is 0: nothing is known to be toxic. Equal texts, repeated
+    rows among them, have equal probabilities. A text is worked out as a whole,
+    so a very long one takes memory in proportion to its length.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c != output]
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(output, T.DoubleType())])
-    carried = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = np.zeros(1 << BITS), 0.0
-        for place, weight in sent.value:
-            if place == 1 << BITS:
-                bias = weight
-            else:
-                weights[place] = weight
-        for one in batches:
-            texts = one.column(len(kept)).to_pylist()
-            found = score_texts(texts, weights, bias) if sent.value else np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([*(one.column(i) for i in range(len(kept))), pa.array(found, pa.float64())], names=[*kept, output])
 
-    return carried.mapInArrow(scored, schema)
+    def work():
+        weights = np.zeros((1 << BITS) + 1)
+        places, values = sent.value
+        weights[places] = values
+        if not len(places):
+            return lambda texts: [np.zeros(len(texts))]
+        return lambda texts: [score_texts(texts, weights[:-1], weights[-1])]
+
+    return text_pass(docs, text, None, [(T.StructField(output, T.DoubleType()), pa.float64())], work)
