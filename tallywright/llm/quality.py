@@ -3,7 +3,9 @@
 Every line is good or bad. A line's features are shape figures of its own and
 of the lines before and after it; the chain adds the changes from line to line.
 Forward-backward gives each line's probability of being good, and a document's
-quality is their mean, weighted by length.
+quality is their mean, weighted by length. Labels are known of documents only, so
+the lines' labels are hidden in training: the field is fitted so that the weighted
+mean tells the document's label, and which lines bring it about is left to it.
 """
 
 from __future__ import annotations
@@ -16,11 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywright.llm.common import bounded_rows, code_points, held_out, runs, span_hashes, text_chunks
+from tallywright.llm.common import STEPPED_BYTES, bounded_rows, code_points, held_out, runs, sliced, span_hashes, text_pass
 
-#: Labelled documents that the field is fitted on, at most.
-TRAIN_ROWS = 8_192
-STEPS, RATE, DECAY = 150, 0.1, 1e-3
+#: Labelled documents that the field is fitted on and their lines together, at most; documents of more lines than EACH are no examples.
+TRAIN_ROWS, TRAIN_LINES, EACH = 4_096, 40_000, 256
+STEPS, RATE, DECAY = 150, 0.05, 1e-3
+#: Evidence for staying as it is that training starts from.
+STAY = 0.5
+#: Step of the difference that the mean's slope is taken by.
+NUDGE = 1e-3
 THRESHOLD = 0.3
 #: Figures of a line.
 FIGURES = 15
@@ -115,7 +121,7 @@ class LineField:
     """The field's weights: features' evidence for good, and the four changes [from, to] (0 bad, 1 good)."""
 
     def __init__(self, packed: np.ndarray | None = None) -> None:
-        packed = np.concatenate((np.zeros(WIDTH + 4), (0.0, 1.0))) if packed is None else np.asarray(packed, float)
+        packed = np.concatenate((np.zeros(WIDTH), (STAY, 0.0, 0.0, STAY), (0.0, 1.0))) if packed is None else np.asarray(packed, float)
         self.weights, self.changes = packed[:WIDTH].copy(), packed[WIDTH : WIDTH + 4].reshape(2, 2).copy()
         #: Shift and slope that turn the log-odds of the weighted mean into those of the label.
         self.scale = packed[WIDTH + 4 :].copy()
@@ -137,10 +143,13 @@ class LineField:
             self.scale += np.clip(np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(2), slope), -1, 1)
             self.scale[1] = max(self.scale[1], 0.1)
 
-    def marginals(self, features: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probability of good for each line, and each text's expected changes [text, 2, 2]; all texts step together."""
+    def marginals(self, features: np.ndarray, lengths: np.ndarray, tilt: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of good for each line, and each text's expected changes [text, 2, 2]; all texts step together.
+
+        ``tilt`` is added to the lines' evidence for good.
+        """
         n, texts = len(features), len(lengths)
-        evidence = features @ self.weights
+        evidence = features @ self.weights + tilt
         order = np.argsort(-lengths, kind="stable")
         sizes = lengths[order]
         steps = int(sizes[0]) if texts else 0
@@ -169,68 +178,89 @@ class LineField:
             np.add.at(pairs, owner[inner], joint)
         return good, pairs
 
-    def fit(self, features: np.ndarray, lengths: np.ndarray, labels: np.ndarray) -> None:
-        """Gradient steps (Adam) on the mean log-likelihood per text; every line of a text has the text's label.
+    def fit(self, features: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> None:
+        """Gradient steps (Adam) on the mean log-likelihood of the texts' labels; the lines' labels are summed out.
 
-        A text's share is divided by its number of lines, so long texts don't outweigh.
+        ``sizes`` are the lines' lengths in characters. The slope of a text's
+        weighted mean along any weight is the covariance of the two under the
+        field: what the weight's expectation changes by when the lines' evidence
+        is tilted a little by their shares. One tilt that way and one the other,
+        scaled by what each text wants, give the slopes of all weights at once.
         """
         owner = np.repeat(np.arange(len(lengths)), lengths)
-        share = 1 / lengths / len(lengths)
-        truth = labels[owner].astype(float)
-        stays = np.zeros((2, 2))
-        for label in (0, 1):
-            stays[label, label] = ((lengths - 1) * share)[labels == label].sum()
-        state = np.zeros((2, WIDTH + 4))
+        share = (sizes + 1) / np.bincount(owner, sizes + 1)[owner]
+        start, state = self.changes.copy(), np.zeros((2, WIDTH + 6))
         for step in range(1, STEPS + 1):
-            good, pairs = self.marginals(features, lengths)
-            gradient = np.concatenate((((truth - good) * share[owner]) @ features - DECAY * self.weights, (stays - (pairs * share[:, None, None]).sum(axis=0) - DECAY * 10 * self.changes).ravel()))
+            good, _ = self.marginals(features, lengths)
+            mean = np.clip(np.bincount(owner, share * good), 1e-4, 1 - 1e-4)
+            short = labels - self.calibrated(mean)
+            wish = np.clip(short * self.scale[1] / (mean * (1 - mean)), -30, 30)
+            tilt = NUDGE * share * wish[owner]
+            (more, pairs), (less, fewer) = self.marginals(features, lengths, tilt), self.marginals(features, lengths, -tilt)
+            scale = 2 * NUDGE * len(lengths)
+            gradient = np.concatenate((
+                (more - less) / scale @ features - DECAY * self.weights, ((pairs - fewer).sum(axis=0) / scale - DECAY * 10 * (self.changes - start)).ravel(),
+                (short.mean(), (short * _log_odds(mean)).mean()),
+            ))
             state[0] = 0.9 * state[0] + 0.1 * gradient
             state[1] = 0.99 * state[1] + 0.01 * gradient**2
             move = RATE * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-8)
             self.weights += move[:WIDTH]
-            self.changes += move[WIDTH:].reshape(2, 2)
+            self.changes += move[WIDTH : WIDTH + 4].reshape(2, 2)
+            self.scale += move[WIDTH + 4 :]
+            self.scale[1] = max(self.scale[1], 0.1)
 
 
-def text_quality(field: LineField, texts: list[str | None]) -> tuple[np.ndarray, list[np.ndarray]]:
+def text_quality(field: LineField, texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
     """Quality of each text, and each one's probabilities by line."""
-    quality, lines = np.zeros(len(texts)), []
-    for start, part in text_chunks(texts):
-        figures, length, owner = line_figures(part)
-        counts = np.bincount(owner, minlength=len(part))
-        good, _ = field.marginals(with_neighbours(figures, owner), counts)
-        quality[start : start + len(part)] = field.calibrated(weighted_mean(good, length, owner, len(part)))
-        lines.extend(np.split(good, np.cumsum(counts)[:-1]))
-    return quality, lines
+    figures, length, owner = line_figures(texts)
+    counts = np.bincount(owner, minlength=len(texts))
+    good, _ = field.marginals(with_neighbours(figures, owner), counts)
+    return field.calibrated(weighted_mean(good, length, owner, len(texts))), np.split(good, np.cumsum(counts)[:-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = TRAIN_ROWS, seed: int = 13) -> LineField | None:
     """The field fitted on at most ``rows`` labelled rows outside the held-out fold, the first by a seeded hash.
 
-    The sample goes to one task, which keeps the lines' figures only. Rows
-    without label, key or document are no examples; a row labelled twice is two.
-    None if there is no example.
+    The lines' figures are worked out where the texts lie, and one task gets them
+    alone, 60 bytes a line, until it has ``TRAIN_LINES``; documents of more than
+    ``EACH`` lines are left out. Rows without label, key or document are no
+    examples; a row labelled twice is two. None if there is no example.
     """
     chosen = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("int").alias("y")).filter(F.col("k").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("k")))
     sample = bounded_rows(chosen, ["k", "y"], rows, seed)
-    texts = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).join(F.broadcast(sample), "k")
-    ordered = texts.repartition(1).sortWithinPartitions("k", "y", "t").select("t", "y")
+    texts = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).join(F.broadcast(sample), "k").select(F.xxhash64(F.lit(seed), "k").alias("h"), "y", "t")
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one in batches:
+            for part in sliced(one, 2):
+                figures, length, owner = line_figures([t or "" for t in part.column(2).to_pylist()])
+                borders = np.searchsorted(owner, np.arange(part.num_rows + 1))
+                few = np.diff(borders) <= EACH
+                spans = [(a, b) for a, b, k in zip(borders, borders[1:], few) if k]
+                kept = part.filter(pa.array(few))
+                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1).cast(pa.int32()), pa.array([figures[a:b].astype("<f4").tobytes() for a, b in spans], pa.binary()), pa.array([length[a:b].astype("<i8").tobytes() for a, b in spans], pa.binary())], names=["h", "y", "figures", "lengths"])
 
     def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features, lengths, labels, sizes = [], [], [], []
+        figures, sizes, marks, held = [], [], [], 0
         for one in batches:
-            labels.extend(one.column(1).to_pylist())
-            for _, part in text_chunks(one.column(0).to_pylist()):
-                figures, length, owner = line_figures(part)
-                sizes.append(length)
-                features.append(with_neighbours(figures, owner))
-                lengths.append(np.bincount(owner, minlength=len(part)))
-        if labels:
-            field, lines, counts, marks = LineField(), np.concatenate(features), np.concatenate(lengths), np.array(labels)
-            field.fit(lines, counts, marks)
+            for y, shape, length in zip(*(one.column(i).to_pylist() for i in range(3))):
+                held += len(length) // 8
+                if held <= TRAIN_LINES:
+                    marks.append(y)
+                    figures.append(np.frombuffer(shape, "<f4").reshape(-1, FIGURES).astype(np.float64))
+                    sizes.append(np.frombuffer(length, "<i8"))
+        if marks:
+            counts = np.array([len(x) for x in sizes])
+            owner, length = np.repeat(np.arange(len(counts)), counts), np.concatenate(sizes)
+            field, lines, truth = LineField(), with_neighbours(np.concatenate(figures), owner), np.array(marks, float)
+            field.fit(lines, counts, length, truth)
             good, _ = field.marginals(lines, counts)
-            field.calibrate(weighted_mean(good, np.concatenate(sizes), np.repeat(np.arange(len(counts)), counts), len(counts)), marks)
+            field.calibrate(weighted_mean(good, length, owner, len(counts)), truth)
             yield pa.RecordBatch.from_arrays([pa.array(field.packed(), pa.float64())], names=["weight"])
 
+    spread = texts.mapInArrow(measured, "h long, y int, figures binary, lengths binary")
+    ordered = spread.repartition(1).sortWithinPartitions("h", "y", "figures").select("y", "figures", "lengths")
     weights = [r["weight"] for r in ordered.mapInArrow(learnt, "weight double").collect()]
     return LineField(np.array(weights)) if weights else None
 
@@ -240,19 +270,9 @@ def score(docs: DataFrame, field: LineField | None, text: str = "text", output:
 
     Columns of those names are replaced. A null text counts as empty: one line
     of no length. Without a field every quality is 0.5, and so is every line's.
+    Equal texts, repeated rows among them, have equal qualities; a text is worked
+    out as a whole, so a very long one takes memory in proportion to its length.
     """
     sent = docs.sparkSession.sparkContext.broadcast(field or LineField())
-    added = [T.StructField(output, T.DoubleType())] + ([T.StructField(lines, T.ArrayType(T.DoubleType()))] if lines else [])
-    kept = [c for c in docs.columns if c not in {f.name for f in added}]
-    schema = T.StructType([docs.schema[c] for c in kept] + added)
-    carried = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for one in batches:
-            quality, each = text_quality(sent.value, one.column(len(kept)).to_pylist())
-            columns = [*(one.column(i) for i in range(len(kept))), pa.array(quality, pa.float64())]
-            if lines:
-                columns.append(pa.array([x.tolist() for x in each], pa.list_(pa.float64())))
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-    return carried.mapInArrow(scored, schema)
+    added = [(T.StructField(output, T.DoubleType()), pa.float64())] + ([(T.StructField(lines, T.ArrayType(T.DoubleType())), pa.list_(pa.float64()))] if lines else [])
+    return text_pass(docs, text, None, added, lambda: lambda texts: text_quality(sent.value, texts), STEPPED_BYTES)
