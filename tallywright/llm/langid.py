@@ -8,6 +8,8 @@ change of language, labels spans; the language with most letters labels the text
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywright.llm.common import code_points, held_out, mix64, runs
+from tallywright.llm.common import STEPPED_BYTES, code_points, held_out, mix64, partitions, text_pass
 
 ORDERS, BITS = (1, 2, 3), 14
 #: Documents of each language that the model is fitted on, about, and of all at most.
@@ -28,29 +30,31 @@ SWITCH, SCRIPT_SHARE = 12.0, 0.01
 SCORES_AT_ONCE = 12_000_000
 UNDETERMINED = "und"
 
-#: First code point of each script range, and the script (fixed values of the Unicode blocks; 0 is any other).
-SCRIPT_RANGES = (
-    (0x0000, 1), (0x0370, 2), (0x0400, 3), (0x0530, 4), (0x0590, 5), (0x0600, 6), (0x0700, 0), (0x0750, 6), (0x0780, 0),
-    (0x0900, 7), (0x0980, 8), (0x0A00, 0), (0x0B80, 9), (0x0C00, 0), (0x0E00, 10), (0x0E80, 0), (0x10A0, 11), (0x1100, 12), (0x1200, 13),
-    (0x13A0, 0), (0x1E00, 1), (0x1F00, 2), (0x2000, 0), (0x2C60, 1), (0x2C80, 0), (0x3040, 14), (0x3100, 0), (0x3400, 15), (0xA000, 0),
-    (0xAC00, 12), (0xD7B0, 0), (0xF900, 15), (0xFB00, 1), (0xFB1D, 5), (0xFB50, 6), (0xFE00, 0), (0xFF21, 1), (0xFF66, 14), (0x10000, 0), (0x20000, 15),
-)
-SCRIPTS = 16
-_LETTERS = None
+_SCRIPTS: tuple[np.ndarray, list[str]] | None = None
 
 
-def _letters() -> np.ndarray:
-    """By code point of the first plane: whether it is a letter."""
-    global _LETTERS
-    if _LETTERS is None:
-        _LETTERS = np.fromiter((chr(c).isalpha() for c in range(0x10000)), np.bool_, 0x10000)
-    return _LETTERS
+def _scripts() -> tuple[np.ndarray, list[str]]:
+    """By code point, the script's number (0: no letter), and the scripts' names.
+
+    A letter's script is the first word of its Unicode name that is no width:
+    LATIN, GREEK, CJK, DEVANAGARI and so on, for all planes.
+    """
+    global _SCRIPTS
+    if _SCRIPTS is None:
+        letters = [c for c in range(sys.maxunicode + 1) if chr(c).isalpha()]
+        words = [unicodedata.name(chr(c), "UNNAMED").split(" ", 2) for c in letters]
+        named = [w[1] if w[0] in ("FULLWIDTH", "HALFWIDTH") and len(w) > 1 else w[0].split("-")[0] for w in words]
+        names = ["", *sorted(set(named))]
+        number = {name: i for i, name in enumerate(names)}
+        table = np.zeros(sys.maxunicode + 1, np.uint16)
+        table[letters] = [number[n] for n in named]
+        _SCRIPTS = table, names
+    return _SCRIPTS
 
 
 def scripts_of(units: np.ndarray) -> np.ndarray:
-    """The script of each code point."""
-    firsts = np.array([a for a, _ in SCRIPT_RANGES])
-    return np.array([s for _, s in SCRIPT_RANGES])[np.searchsorted(firsts, units, "right") - 1]
+    """The number of each code point's script; 0 for what is no letter."""
+    return _scripts()[0][units]
 
 
 @dataclass
@@ -66,13 +70,16 @@ class Words:
 
 
 def words_of(texts: list[str]) -> Words:
-    """Words are runs of letters; n-grams take in the border before and after a word, and don't cross it."""
+    """Words are runs of letters of one script; n-grams take in the border before and after a run of letters, and don't cross it."""
     lowered = [t.lower() for t in texts]
     # Lowering may change a text's length: then its letters are lowered one by one.
     lowered = [a if len(a) == len(t) else "".join(c.lower()[:1] for c in t) for a, t in zip(lowered, texts)]
     units, starts, _ = code_points(lowered)
-    letter = _letters()[np.minimum(units, 0xFFFF)] | (units > 0xFFFF)
-    begin, end = runs(letter)
+    script = scripts_of(units)
+    letter = script > 0
+    starts_here = letter & np.concatenate(([True], script[1:] != script[:-1]))
+    stops_here = letter & np.concatenate((script[1:] != script[:-1], [True]))
+    begin, end = np.flatnonzero(starts_here), np.flatnonzero(stops_here) + 1
     marked = np.where(letter, units, 32).astype(np.uint64)
     back1 = np.concatenate(([32], marked[:-1])).astype(np.uint64)
     back2 = np.concatenate(([32, 32], marked[:-2])).astype(np.uint64)[: len(marked)]
@@ -95,7 +102,7 @@ class LanguageModel:
         count = len(self.languages)
         scores = np.zeros((len(words.begin), count), np.float32)
         if len(words.begin):
-            # A word's n-grams end from its first letter to the border behind it.
+            # A word's n-grams end from its first letter to the border behind it, or the next script's first letter.
             edges = np.stack((words.begin, words.end + 1), 1).ravel()
             for order, places in enumerate(words.grams):
                 each = self.logs[order][np.append(places, 0)]
@@ -169,7 +176,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     shares = {r["l"]: r["count"] for r in totals.collect()}
     languages = sorted(shares)
     if not languages:
-        return LanguageModel([], np.zeros((len(ORDERS), 1 << BITS, 0), np.float32), np.zeros((SCRIPTS, 0), bool))
+        return LanguageModel([], np.zeros((len(ORDERS), 1 << BITS, 0), np.float32), np.zeros((len(_scripts()[1]), 0), bool))
     wanted = min(per_language, max(1, rows // len(languages)))
     table = docs.sparkSession.createDataFrame([(name, wanted / n) for name, n in shares.items()], "l string, share double")
     # A seeded hash draws each row by itself: no sort, and no task gathers the sample.
@@ -180,7 +187,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(ORDERS), width), np.int64)
-        letters = np.zeros(SCRIPTS * len(languages), np.int64)
+        letters = np.zeros(len(_scripts()[1]) * len(languages), np.int64)
         for one in batches:
             tongues, texts = one.column(1).to_pylist(), one.column(2).to_pylist()
             for i in range(0, len(texts), 64):
@@ -193,19 +200,19 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
                 tongue = np.repeat(owner, sizes)
                 for order, grams in enumerate(words.grams):
                     counts[order] += np.bincount(grams[place] * len(languages) + tongue, minlength=width)
-                letters += np.bincount(scripts_of(words.units[words.begin]) * len(languages) + owner, words.end - words.begin, SCRIPTS * len(languages)).astype(np.int64)
+                letters += np.bincount(scripts_of(words.units[words.begin]) * len(languages) + owner, words.end - words.begin, len(letters)).astype(np.int64)
         for order in range(len(ORDERS)):
             seen = np.flatnonzero(counts[order])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), order), pa.int32()), pa.array(seen, pa.int64()), pa.array(counts[order][seen], pa.int64())], names=["o", "place", "n"])
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(letters), len(ORDERS)), pa.int32()), pa.array(np.arange(len(letters)), pa.int64()), pa.array(letters, pa.int64())], names=["o", "place", "n"])
 
-    spread = sample.repartition(8, "k")
+    spread = sample.repartition(partitions(docs.sparkSession), "k")
     summed = spread.mapInArrow(counted, "o int, place long, n long").groupBy("o", "place").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((len(ORDERS) + 1, width))
     counts[summed["o"], summed["place"]] = summed["n"]
     grams = counts[:-1].reshape(len(ORDERS), 1 << BITS, len(languages))
     logs = np.log((grams + 0.05) / (grams.sum(axis=1, keepdims=True) + 0.05 * (1 << BITS)))
-    letters = counts[-1][: SCRIPTS * len(languages)].reshape(SCRIPTS, len(languages))
+    letters = counts[-1][: len(_scripts()[1]) * len(languages)].reshape(-1, len(languages))
     # n-grams of several orders tell the same thing more than once: they are averaged.
     return LanguageModel(languages, (logs / len(ORDERS)).astype(np.float32), letters >= SCRIPT_SHARE * np.maximum(letters.sum(axis=0), 1))
 
@@ -270,16 +277,14 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: li
     script that no learnt language is written in leaves all of them open.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    outputs = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", SPANS)]
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in {f.name for f in outputs}]
-    schema = T.StructType([docs.schema[c] for c in kept] + outputs)
-    carried = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
+    outputs = [(T.StructField("lang_pred", T.StringType()), pa.string()), (T.StructField("score", T.DoubleType()), pa.float64()), (T.StructField("spans", SPANS), span)]
 
-    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for one in batches:
-            found = list(label_texts(sent.value, one.column(len(kept)).to_pylist(), price))
-            spans = [[{"start": a, "end": b, "lang": c} for a, b, c in s] for _, _, s in found]
-            yield pa.RecordBatch.from_arrays([*(one.column(i) for i in range(len(kept))), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array(spans, span)], names=schema.names)
+    def work():
+        def labelled(texts: list[str]) -> list[list]:
+            found = list(label_texts(sent.value, texts, price))
+            return [[f[0] for f in found], [f[1] for f in found], [[{"start": a, "end": b, "lang": c} for a, b, c in f[2]] for f in found]]
+
+        return labelled
 
-    return carried.mapInArrow(labelled, schema)
+    return text_pass(docs, text, keep, outputs, work, 4 * STEPPED_BYTES)
