@@ -6,8 +6,11 @@ meet in the buckets of their blocks' values. A bucket is sorted by Gray rank,
 where neighbours share long runs of bits, and cut into a tree by Gray prefix.
 Every node keeps the bits that all below it share, as a mask and a pattern.
 Going down the tree with itself, two nodes whose shared bits already differ more
-often than allowed are dropped with all they hold. What is linked is merged to a
-spanning forest right there, and the forests' components are found together.
+often than allowed are dropped with all they hold. A large bucket is cut into
+tiles along its Gray order, with a tree of tiles above them that is gone down in
+the same way, so that only tiles meet whose shared bits are near enough. What is
+linked is merged to a spanning forest right there, and the forests' components
+are found together.
 """
 
 from __future__ import annotations
@@ -21,15 +24,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywright.llm.common import cut, partitions
+from tallywright.llm.common import cut, drop_cut, partitions, text_pass
 from tallywright.llm.components import connected_components, local_forest
+from tallywright.operators.curate import spread_rank
 
 SHINGLE, SEED, RADIUS, BLOCKS = 3, 42, 3, 4
 BLOCK_BITS = 64 // BLOCKS
 #: Prefix lengths of the tree's levels below the block.
 LEVELS = (24, 32, 40, 48, 56, 64)
-#: Fingerprints of a bucket that one unit of work takes; larger buckets become pairs of tiles.
-TILE = 2048
+#: Fingerprints of a bucket that one unit of work takes; larger buckets become tiles of as many. Tiles, and nodes of them, below one node.
+TILE, FAN = 2048, 32
 #: Pairs of nodes looked at together.
 PAIRS_AT_ONCE = 200_000
 
@@ -52,17 +56,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def with_fingerprints(docs: DataFrame, text: str = "text", output: str = "fp", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with the fingerprint as a bigint (two's complement); a column of that name is replaced."""
-    kept = [c for c in (docs.columns if keep is None else keep) if c != output]
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(output, T.LongType())])
-    carried = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
+    """``docs`` with the fingerprint as a bigint (two's complement); a column of that name is replaced.
 
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for one in batches:
-            found = np.array([fingerprint(t) for t in one.column(len(kept)).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([*(one.column(i) for i in range(len(kept))), pa.array(found.view(np.int64))], names=[*kept, output])
-
-    return carried.mapInArrow(marked, schema)
+    A null text counts as empty. Equal texts, repeated rows among them, have
+    equal fingerprints; a very long text is worked through by portions of hashes.
+    """
+    work = lambda: lambda texts: [np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)]
+    return text_pass(docs, text, keep, [(T.StructField(output, T.LongType()), pa.int64())], work)
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -167,26 +167,79 @@ def _unit_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(held)
 
 
+def _turned(fp: Column, bucket: Column) -> Column:
+    """The fingerprint rotated so that the bucket's block comes first."""
+    block = F.shiftright(bucket, BLOCK_BITS)
+    by = lambda k: F.when(block == k, F.shiftleft(fp, k * BLOCK_BITS).bitwiseOR(F.shiftrightunsigned(fp, 64 - k * BLOCK_BITS)))
+    return F.coalesce(*[by(k) for k in range(1, BLOCKS)], fp)
+
+
+def _rank(code: Column) -> Column:
+    """:func:`gray_rank` natively. Within a bucket the sign is the same, so the order is that of unsigned numbers."""
+    for shift in (1, 2, 4, 8, 16, 32):
+        code = code.bitwiseXOR(F.shiftrightunsigned(code, shift))
+    return code
+
+
+def _tile_units(large: DataFrame) -> DataFrame:
+    """(bucket, i, j, tile, fp): units of large buckets (bucket, fp), a tile with itself or two whose shared bits differ little enough.
+
+    Tiles are stretches of the bucket's Gray order. Going down the tree of tiles,
+    pairs of nodes are dropped whose shared bits differ more often than allowed.
+    """
+    coded = large.withColumn("code", _turned(F.col("fp"), F.col("bucket")))
+    # Each bucket is ranked in parts, by the dozen bits behind its own.
+    ranked = coded.select("bucket", "fp", "code", _rank(F.col("code")).alias("rank"))
+    placed = cut(spread_rank(ranked, ["bucket"], F.shiftrightunsigned("rank", 64 - BLOCK_BITS - 12), [F.col("rank")], "place").select("bucket", "fp", "code", F.floor((F.col("place") - 1) / TILE).cast("int").alias("tile")))
+    levels = [cut(placed.groupBy("bucket", F.col("tile").alias("node")).agg(F.bit_and("code").alias("every"), F.bit_or("code").alias("some")))]
+    while levels[-1].agg(F.max("node").alias("most")).first()["most"] >= FAN:
+        levels.append(cut(levels[-1].groupBy("bucket", F.floor(F.col("node") / FAN).cast("int").alias("node")).agg(F.bit_and("every").alias("every"), F.bit_or("some").alias("some"))))
+    shared = [level.select("bucket", "node", F.floor(F.col("node") / FAN).cast("int").alias("above"), F.bitwise_not(F.col("every").bitwiseXOR(F.col("some"))).alias("mask"), F.col("every").alias("bits")) for level in levels]
+    near = F.bit_count(F.col("bits").bitwiseXOR(F.col("bits_")).bitwiseAND(F.col("mask")).bitwiseAND(F.col("mask_"))) <= RADIUS
+    second = lambda nodes: nodes.select(F.col("bucket").alias("bucket_"), F.col("node").alias("j"), F.col("above").alias("above_"), F.col("mask").alias("mask_"), F.col("bits").alias("bits_"))
+    first = shared[-1].withColumnRenamed("node", "i")
+    pairs = first.join(second(shared[-1]), (F.col("bucket") == F.col("bucket_")) & (F.col("i") <= F.col("j")) & near).select("bucket", "i", "j")
+    for nodes in reversed(shared[:-1]):
+        pairs = cut(pairs.select("bucket", F.col("i").alias("above"), F.col("j").alias("with")).join(nodes.withColumnRenamed("node", "i"), ["bucket", "above"])).join(second(nodes), (F.col("bucket") == F.col("bucket_")) & (F.col("with") == F.col("above_")) & (F.col("i") <= F.col("j")) & near).select("bucket", "i", "j")
+    pairs = cut(pairs)
+    both = pairs.select("bucket", F.col("i").alias("tile"), "i", "j").unionByName(pairs.filter("i < j").select("bucket", F.col("j").alias("tile"), "i", "j"))
+    return placed.join(both, ["bucket", "tile"]).select("bucket", "i", "j", "tile", "fp")
+
+
 def links(fingerprints: DataFrame) -> DataFrame:
     """Edges ``a``, ``b`` whose components are those of all links, from distinct fingerprints ``fp``.
 
     Every bucket becomes units of bounded size: one, or, if it holds more than
-    ``TILE`` fingerprints, one for each pair of its tiles, so that all pairs still
-    meet. The sizes sent to all tasks are at most 4 * 65536 rows.
+    ``TILE`` fingerprints, those pairs of its tiles that may hold links. The sizes
+    sent to all tasks are at most 4 * 65536 rows.
     """
     spark = fingerprints.sparkSession
     value = lambda k: F.shiftrightunsigned("fp", 64 - BLOCK_BITS * (k + 1)).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
     # Block and value in one number, so that the sizes are sent as a compact table.
     keyed = fingerprints.select("fp", F.explode(F.array(*[(value(k) + F.lit(k << BLOCK_BITS)).cast("long") for k in range(BLOCKS)])).alias("bucket"))
-    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    met = keyed.join(F.broadcast(sizes), "bucket")
-    tile = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    met = met.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    units = met.select(F.shiftright("bucket", BLOCK_BITS).cast("int").alias("block"), "bucket", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "fp")
+    sizes = cut(keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > 1))
+    of = lambda which: keyed.join(F.broadcast(sizes.filter(which).select("bucket")), "bucket")
+    none = F.lit(0)
+    units = of(F.col("n") <= TILE).select("bucket", none.alias("i"), none.alias("j"), none.alias("tile"), "fp")
+    if not sizes.filter(F.col("n") > TILE).isEmpty():
+        units = units.unionByName(_tile_units(of(F.col("n") > TILE)))
+    units = units.select(F.shiftright("bucket", BLOCK_BITS).cast("int").alias("block"), "bucket", "i", "j", "tile", "fp")
     unit = ["block", "bucket", "i", "j"]
     return units.repartition(partitions(spark), *unit).sortWithinPartitions(*unit).mapInArrow(_unit_links, "a long, b long")
 
 
+def _grouped(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(key, fp) of each row, and (fp_, component, component_id) of each fingerprint."""
+    marks = cut(with_fingerprints(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), keep=["key"]))
+    single = cut(marks.groupBy("fp").agg(F.min("key").alias("least")))
+    found = connected_components(links(single.select("fp")))
+    grouped = cut(single.join(found, single["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component")))
+    ids = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = cut(grouped.join(ids, "component").select(F.col("fp").alias("fp_"), "component", "component_id"))
+    drop_cut(single, found, grouped)
+    return marks, named
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``fp`` (bigint) and ``component_id`` of every row of ``docs``.
 
@@ -196,13 +249,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     of none but null keys has a null id. Copies share a fingerprint, so they
     count once in the search, however many there are.
     """
-    marks = cut(with_fingerprints(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), keep=["key"]))
-    single = cut(marks.groupBy("fp").agg(F.min("key").alias("least")))
-    found = cut(connected_components(links(single.select("fp"))))
-    grouped = single.join(found, single["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    grouped = cut(grouped)
-    ids = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = cut(grouped.join(ids, "component").select(F.col("fp").alias("fp_"), "component_id"))
+    marks, named = _grouped(docs, key, text)
     return marks.join(named, marks["fp"] == named["fp_"]).select(F.col("key").alias(key), "fp", "component_id")
 
 
@@ -212,6 +259,29 @@ def hex_fingerprint(fp: Column) -> Column:
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group: the rows of ``docs`` whose key is their group's id, and those with a null key."""
-    kept = near_duplicates(docs, key, text).filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("__kept")).distinct()
-    return docs.join(kept, docs[key] == F.col("__kept"), "left_semi").unionByName(docs.filter(F.col(f"`{key}`").isNull()))
+    """One row of each group of ``docs``: one whose key is the group's id or, in a group without any key, one of its rows.
+
+    Where rows share that key, repeated rows among them, one stays: the least by
+    the text's hash; of rows with equal texts any. Most keys occur once, and
+    their rows are only looked up; those of keys that repeat and those without a
+    key are reduced to one by hash.
+    """
+    marks, named = _grouped(docs, key, text)
+    met = marks.join(named, marks["fp"] == named["fp_"])
+    heads = cut(met.filter(F.col("key") == F.col("component_id")).groupBy("key").agg(F.count("*").alias("n")).select(F.col("key").alias("__kept"), "n"))
+    one = docs.join(heads.filter("n = 1").select("__kept"), docs[key] == F.col("__kept"), "left_semi")
+    columns = docs.columns
+    groups = named.select(F.col("fp_").alias("__of"), F.col("component").alias("__group"), F.col("component_id").alias("__id"))
+    least = lambda rows, by: rows.groupBy(by).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in columns]), F.xxhash64(F.col(f"`{text}`"))).alias("__row")).select("__row.*")
+    repeated = heads.filter("n > 1").select("__kept")
+    found = one
+    if not repeated.isEmpty():
+        # A key's rows may be of more groups than its own.
+        several = with_fingerprints(docs.join(repeated, docs[key] == F.col("__kept"), "left_semi").withColumn("__text", F.col(f"`{text}`")), "__text", "__fp")
+        own = several.join(groups, (F.col("__fp") == F.col("__of")) & (F.col(f"`{key}`") == F.col("__id")))
+        found = found.unionByName(least(own, "__group"))
+    unknown = docs.filter(F.col(f"`{key}`").isNull())
+    if not met.filter(F.col("key").isNull() & F.col("component_id").isNull()).isEmpty():
+        without = with_fingerprints(unknown.withColumn("__text", F.col(f"`{text}`")), "__text", "__fp").join(groups.filter(F.col("__id").isNull()), F.col("__fp") == F.col("__of"))
+        found = found.unionByName(least(without, "__group"))
+    return found
