@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywright.llm.common import mix64, partitions
+from tallywright.llm.common import mix64, partitions, text_pass
 
 #: Characters of a gram, and grams of a window: runs of 31 characters are always found.
 GRAM, WINDOW = 16, 16
@@ -86,17 +86,19 @@ def fingerprints(docs: DataFrame, text: str = "text", k: int = GRAM, w: int = WI
     """``docs`` with ``hashes`` (array<bigint>, two's complement) and ``places`` (array<bigint>) of each text.
 
     A null or empty text has empty arrays. Columns of those names are replaced.
+    Equal texts, repeated rows among them, have equal arrays; a very long text
+    is worked out as a whole.
     """
-    kept = [c for c in docs.columns if c not in ("hashes", "places")]
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(c, T.ArrayType(T.LongType())) for c in ("hashes", "places")])
-    carried = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
+    outputs = [(T.StructField(c, T.ArrayType(T.LongType())), pa.list_(pa.int64())) for c in ("hashes", "places")]
 
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for one in batches:
-            found = [winnow(t or "", k, w) for t in one.column(len(kept)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(one.column(i) for i in range(len(kept))), pa.array([h.view(np.int64) for h, _ in found], pa.list_(pa.int64())), pa.array([p for _, p in found], pa.list_(pa.int64()))], names=[*kept, "hashes", "places"])
+    def work():
+        def marked(texts: list[str]) -> list[list]:
+            found = [winnow(t, k, w) for t in texts]
+            return [[h.view(np.int64) for h, _ in found], [p for _, p in found]]
+
+        return marked
 
-    return carried.mapInArrow(marked, schema)
+    return text_pass(docs, text, None, outputs, work)
 
 
 def with_followers(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -115,7 +117,7 @@ def with_followers(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
     tasks = partitions(spark)
     count = tasks * BUCKETS_PER_TASK
     ids = docs.select(F.col(f"`{key}`").alias("k"))
-    cuts = ids.agg(F.percentile_approx("k", [i / count for i in range(1, count)], 100 * count).alias("c")).first()["c"]
+    cuts = ids.agg(F.percentile_approx("k", _numbers([i / count for i in range(1, count)], "double"), 100 * count).alias("c")).first()["c"]
     cuts = sorted(set(cuts or []))
     bucket = rank_among(F.col(f"`{key}`"), cuts)
     firsts = {r["b"]: r["f"] for r in ids.select(rank_among(F.col("k"), cuts).alias("b"), "k").groupBy("b").agg(F.min(F.struct(F.col("k").isNotNull().alias("known"), "k"))["k"].alias("f")).collect()}
@@ -133,11 +135,16 @@ def with_followers(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return rows.unionByName(guests).repartition(tasks, "__bucket")
 
 
+def _numbers(values: list, kind: str) -> Column:
+    """An array of numbers that is one literal of the plan, however many there are."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
 def rank_among(value: Column, cuts: list) -> Column:
     """How many of the sorted ``cuts`` are at or below ``value`` (0 for null), by halving."""
     if not cuts:
         return F.lit(0)
-    table = F.array(*[F.lit(c) for c in cuts])
+    table = _numbers(cuts, "bigint") if all(type(c) is int for c in cuts) else F.array(*[F.lit(c) for c in cuts])
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
     try_at = lambda low, step: F.when((low + step <= len(cuts)) & (F.try_element_at(table, low + step) <= value), low + step).otherwise(low)
     return F.aggregate(steps, F.lit(0), try_at)
