@@ -1,19 +1,25 @@
 """Surrogates for personal data, in DataFrame operations only.
 
 Entities are found by patterns. Each distinct entity of the corpus gets one
-replacement of its own kind, drawn by a keyed hash: letters stay letters of the
-same script and case, digits stay digits, card numbers pass the check sum,
-addresses stay in reserved domains, and names follow the gender that their title
-tells. A replacement that another entity has got too, or that occurs in the
+replacement of its own kind, drawn by a keyed hash (HMAC-SHA-256): letters stay
+letters of the same script and case, digits stay digits, card numbers pass the
+check sum, mail addresses move to reserved domains (one for each domain), hosts to
+ranges that belong to nobody, phone numbers keep their country, and names follow
+the gender that their title tells and the script they are written in. A replacement that another entity has got too, or that occurs in the
 corpus itself, is drawn anew, so distinct entities stay distinct, and one entity
 has the same replacement wherever and however it is written. A name is found by a
 title; where its document repeats it or a part of it, with another title or none,
 the same replacement or its part stands there. Its gender is what all its titles
-in the corpus tell.
+in the corpus tell. The supply of replacements grows with the draw, so no number
+of entities uses it up.
+
+Who knows the key can try out which original a replacement may stand for, so there
+is no default: keep it secret, or draw a fresh one and throw it away.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -22,7 +28,6 @@ from pyspark.sql.window import Window
 
 from tallywright.llm.common import cut
 
-KEY = "corpus-surrogates"
 #: Draws after which a collision must be a fault.
 MOST_DRAWS = 64
 
@@ -39,11 +44,12 @@ _TITLE = "|".join(sorted((t for v in TITLES.values() for t in v), key=len, rever
 PATTERNS = (
     ("email", r"(?<![\p{L}\p{N}._%+\-@])[\p{L}\p{N}_%+\-]++(?:\.[\p{L}\p{N}_%+\-]+)*+@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]+)*\.\p{L}{2,}"),
     ("secret", r"(?i:(?<![\p{L}\p{N}])(?:token|api[_\-]?key|secret)\s{0,3}[=:]\s{0,3}[\"']?)(?-i:[A-Za-z0-9_\-+/]{12,})|(?i:(?<![\p{L}\p{N}])(?:password|passwd)\s{0,3}[=:]\s{0,3}[\"']?)(?:[^\s\"']*[^\s\"'.,;)\]}]|[^\s\"']+)"),
+    ("ip6", r"(?<![\p{L}\p{N}:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\p{L}\p{N}:])"),
     ("ip", r"(?<![\d.])" + rf"(?:{_OCTET}\.){{3}}{_OCTET}" + r"(?!\.?\d)"),
     ("ssn", _LEFT + r"\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])"),
     ("phone", r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\p{L}\p{N}])"),
     ("card", r"(?<![\p{L}\p{N}])\d(?:[ \-]?\d){12,18}(?![\p{L}\p{N}])"),
-    ("person", rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.?[ ]\p{{Lu}}[\p{{L}}'’\-]+(?: \p{{Lu}}[\p{{L}}'’\-]+){{0,2}}"),
+    ("person", rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.?[ ](?:\p{{Lu}}[\p{{L}}'’\-]+(?: \p{{Lu}}[\p{{L}}'’\-]+){{0,2}}|[\p{{Lo}}\p{{IsGeorgian}}][\p{{L}}\p{{M}}]+)"),
 )
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
 #: What a text with an entity must have.
@@ -51,15 +57,29 @@ HINT = rf"[\d@]|[=:]|(?:{_TITLE})\.? "
 _SECRET_HEAD = r"(?i)^(?:token|api[_\-]?key|secret|password|passwd)\s{0,3}[=:]\s{0,3}[\"']?"
 _TITLE_HEAD = rf"^(?:{_TITLE})\.? "
 
-#: Alphabets by script (fixed values): a letter is replaced by one of its own.
+#: Country codes of phone numbers (fixed values): one or two digits, else three.
+_COUNTRY = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+
+#: Alphabets by script (fixed values): a letter is replaced by one of its own, the first that knows it. Any other letter becomes a Latin one.
 ALPHABETS = (
-    ("abcdefghijklmnopqrstuvwxyz", r"^[a-z]$"), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"^[A-Z]$"), ("0123456789", r"^\d$"),
+    ("abcdefghijklmnopqrstuvwxyz", r"^[a-z]$"), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"^[A-Z]$"), ("0123456789", r"^\p{N}$"),
     ("àâäáãåçèéêëìíîïñòóôöõùúûüÿß", r"^[\x{DF}-\x{FF}&&\p{L}]$"), ("ÀÂÄÁÃÅÇÈÉÊËÌÍÎÏÑÒÓÔÖÕÙÚÛÜ", r"^[\x{C0}-\x{DE}&&\p{L}]$"),
+    ("ąćčďęěłńňőřśšťůűźżžğışțăđ", r"^[\p{IsLatin}&&\p{Ll}]$"), ("ĄĆČĎĘĚŁŃŇŐŘŚŠŤŮŰŹŻŽĞİŞȚĂĐ", r"^[\p{IsLatin}&&\p{Lu}]$"),
     ("абвгдежзиклмнопрстуфхцчшэюя", r"^[\p{IsCyrillic}&&\p{Ll}]$"), ("АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", r"^[\p{IsCyrillic}&&\p{Lu}]$"),
     ("αβγδεζηθικλμνξοπρστυφχψω", r"^[\p{IsGreek}&&\p{Ll}]$"), ("ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", r"^[\p{IsGreek}&&\p{Lu}]$"),
+    ("աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրց", r"^[\p{IsArmenian}&&\p{Ll}]$"), ("ԱԲԳԴԵԶԷԸԹԺԻԼԽԾԿՀՁՂՃՄՅՆՇՈՉՊՋՌՍՎՏՐՑ", r"^[\p{IsArmenian}&&\p{Lu}]$"),
     ("天地玄黄宇宙洪荒日月盈昃辰宿列张", r"^\p{IsHan}$"), ("あいうえおかきくけこさしすせそ", r"^\p{IsHiragana}$"), ("アイウエオカキクケコサシスセソ", r"^\p{IsKatakana}$"),
     ("가나다라마바사아자차카타파하", r"^\p{IsHangul}$"), ("ابتثجحخدذرزسشصضطظعغفقكلمنهوي", r"^\p{IsArabic}$"), ("אבגדהוזחטיכלמנסעפצקרשת", r"^\p{IsHebrew}$"),
+    ("กขคงจชซดตทนบปผพมยรลวสหอฮ", r"^\p{IsThai}$"), ("कखगघचछजटडतथदधनपबमयरलवशसह", r"^\p{IsDevanagari}$"), ("აბგდევზთიკლმნოპრსტუფქღშჩცძწჭხჯ", r"^\p{IsGeorgian}$"),
+    ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"^\p{Lu}$"), ("abcdefghijklmnopqrstuvwxyz", r"^\p{L}$"),
 )
+#: Scripts of names, each with what shows it; the first that shows counts, Latin if none does.
+SCRIPTS = (
+    ("cyrillic", r"\p{IsCyrillic}"), ("greek", r"\p{IsGreek}"), ("armenian", r"\p{IsArmenian}"), ("georgian", r"\p{IsGeorgian}"), ("kana", r"\p{IsHiragana}|\p{IsKatakana}"), ("han", r"\p{IsHan}"),
+    ("hangul", r"\p{IsHangul}"), ("arabic", r"\p{IsArabic}"), ("hebrew", r"\p{IsHebrew}"), ("thai", r"\p{IsThai}"), ("devanagari", r"\p{IsDevanagari}"),
+)
+#: Scripts whose names are written in one piece.
+UNSPACED = ("kana", "han", "hangul", "thai")
 #: Given names by script and gender, and family names by script (fixed values).
 GIVEN = {
     ("latin", "m"): "Adrian Bruno Clemens Dario Emil Fabian Gregor Hugo Ivo Jasper Konrad Lorenz Marius Nils Oscar Paul Quentin Robin Stefan Tobias Viktor Walter",
@@ -68,11 +88,28 @@ GIVEN = {
     ("cyrillic", "m"): "Андрей Борис Виктор Глеб Денис Егор Захар Игорь Кирилл Леонид Максим Никита Олег Павел Роман Степан Тимур Фёдор",
     ("cyrillic", "f"): "Анна Вера Галина Дарья Елена Жанна Зоя Ирина Кира Лариса Мария Нина Ольга Полина Раиса Софья Тамара Юлия",
     ("cyrillic", "n"): "Саша Женя Валя Слава Шура",
-}
+    ("greek", "m"): "Ανδρέας Γιώργος Νίκος Πέτρος", ("greek", "f"): "Άννα Ελένη Μαρία Σοφία", ("greek", "n"): "Αλέξης Παρασκευάς Χάρις",
+    ("armenian", "m"): "Արամ Տիգրան Հայկ", ("armenian", "f"): "Անահիտ Մարիամ Նարե", ("armenian", "n"): "Արշալույս Հրանտ",
+    ("georgian", "m"): "გიორგი ლევან ნიკა", ("georgian", "f"): "ანა მარიამ ნინო", ("georgian", "n"): "საბა შოთა",
+    ("kana", "m"): "たけし ひろし けんじ", ("kana", "f"): "さくら ゆみこ はなこ", ("kana", "n"): "あおい ひかる", ("han", "m"): "伟 强 军", ("han", "f"): "芳 娜 敏", ("han", "n"): "文 宁",
+    ("hangul", "m"): "민준 서준 도윤", ("hangul", "f"): "서연 지우 하은", ("hangul", "n"): "지원 수민", ("arabic", "m"): "أحمد خالد سامي", ("arabic", "f"): "فاطمة ليلى مريم", ("arabic", "n"): "نور صباح",
+    ("hebrew", "m"): "דוד יוסף משה", ("hebrew", "f"): "שרה רחל לאה", ("hebrew", "n"): "טל נועם", ("thai", "m"): "สมชาย อนันต์", ("thai", "f"): "มาลี สุดา", ("thai", "n"): "กมล วันดี",
+    ("devanagari", "m"): "राम मोहन अमित", ("devanagari", "f"): "सीता राधा नेहा", ("devanagari", "n"): "किरण सुमन",
+}
 FAMILY = {
     "latin": "Albrecht Barlow Castell Delmar Eriksen Falkner Garland Holloway Isenberg Jarvis Kestrel Lindqvist Marlowe Norwood Ostrander Pellier Quillan Rosgard Sandoval Thornhill Ulrich Valdane Westerly Yardley Zeller",
     "cyrillic": "Белых Грач Дымко Ершенко Живаго Зимних Коваль Лысенко Мороз Нечай Орлик Петренко Рудых Седых Тихих Ушак Чернык Шевчук",
-}
+    "greek": "Βλάχος Δημητρίου Καραγιάννης Λάμπρου Μακρής Οικονόμου Σταύρου Φωτίου", "armenian": "Գրիգորյան Հակոբյան Պետրոսյան Սարգսյան", "georgian": "ბერიძე კაპანაძე მაისურაძე ლომიძე",
+    "kana": "すずき たなか さとう やまだ", "han": "欧阳 司马 诸葛 上官", "hangul": "남궁 황보 선우 제갈", "arabic": "الحداد النجار الخطيب الصباغ", "hebrew": "כהן לוי מזרחי פרץ", "thai": "ศรีสุข ทองดี ใจงาม", "devanagari": "शर्मा वर्मा गुप्ता",
+}
+
+
+def keyed(message: Column, key: str) -> Column:
+    """HMAC-SHA-256 of a text under ``key``, in hex."""
+    raw = key.encode()
+    block = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    inner, outer = (F.lit(bytearray(b ^ pad for b in block)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
 
 
 def kind_of(entity: Column) -> Column:
@@ -134,10 +171,17 @@ def gender_of(entity: Column) -> Column:
 
 
 def canonical(kind: Column, entity: Column) -> Column:
-    """What tells entities apart: an address in lower case, a number's digits, a secret's value, a name with its gender."""
+    """What tells entities apart: an address in lower case, a number's digits, a secret's value, a name with its gender.
+
+    A phone number is its country code and the rest; one without a code has that
+    of the numbering plan whose form it has, 1.
+    """
+    number = digits(entity)
+    country = F.when(entity.startswith("+"), F.regexp_extract(number, _COUNTRY, 1)).otherwise("")
     return (
-        F.when(kind == "email", F.lower(entity))
-        .when(kind.isin("phone", "card", "ssn"), digits(entity))
+        F.when(kind.isin("email", "ip6"), F.lower(entity))
+        .when(kind == "phone", F.concat(F.when(country != "", country).otherwise("1"), F.lit(":"), F.substring(number, F.length(country) + 1, F.length(number))))
+        .when(kind.isin("card", "ssn"), number)
         .when(kind == "secret", F.regexp_replace(entity, _SECRET_HEAD, ""))
         .when(kind == "person", F.concat(gender_of(entity), F.lit(":"), F.lower(F.regexp_replace(entity, _TITLE_HEAD, ""))))
         .otherwise(entity)
@@ -163,42 +207,60 @@ def like_digits(value: Column, seed: Column, kept: int) -> Column:
     return F.array_join(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c, i: F.when(i < kept, c).when(i == kept, (_drawn(seed, i, 8) + 2).cast("string")).otherwise(_drawn(seed, i, 10).cast("string"))), "")
 
 
+def _rest(canon: Column) -> Column:
+    """A name's canonical form without its gender."""
+    return F.substring(canon, F.lit(3), F.length(canon))
+
+
 def _named(seed: Column, canon: Column, draw: Column) -> Column:
     """A name of as many words, of the gender and script told; later draws have family names of more and more parts."""
-    gender, words = F.substring(canon, 1, 1), F.split(F.substring(canon, 3, 1_000), " ")
-    script = F.when(canon.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    gender, words = F.substring(canon, 1, 1), F.split(_rest(canon), " ")
+    script = reduce(lambda chain, sp: chain.when(canon.rlike(sp[1]), sp[0]), SCRIPTS[1:], F.when(canon.rlike(SCRIPTS[0][1]), SCRIPTS[0][0])).otherwise("latin")
+
+    def pick(names: str, place: Column) -> Column:
+        return F.element_at(F.array(*map(F.lit, names.split())), _drawn(seed, place, len(names.split())) + 1)
 
     def family(place: Column) -> Column:
-        lists = [(s, v.split()) for s, v in FAMILY.items()]
-        return reduce(lambda chain, sv: chain.when(script == sv[0], F.element_at(F.array(*map(F.lit, sv[1])), _drawn(seed, place, len(sv[1])) + 1)), lists[1:], F.when(script == lists[0][0], F.element_at(F.array(*map(F.lit, lists[0][1])), _drawn(seed, place, len(lists[0][1])) + 1)))
+        return F.coalesce(*[F.when(script == s, pick(v, place)) for s, v in FAMILY.items()])
 
-    picks = [((script == s) & (gender == g), F.element_at(F.array(*map(F.lit, v.split())), _drawn(seed, F.lit(0), len(v.split())) + 1)) for (s, g), v in GIVEN.items()]
-    given = reduce(lambda chain, cv: chain.when(*cv), picks[1:], F.when(*picks[0]))
+    given = F.coalesce(*[F.when((script == s) & (gender == g), pick(v, F.lit(0))) for (s, g), v in GIVEN.items()])
     parts = F.when(draw < 2, 1).when(draw < 6, 2).otherwise((draw + 6) / 4).cast("int")
     last = F.array_join(F.transform(F.sequence(F.lit(1), parts), family), "-")
     middle = F.when(F.size(words) > 2, F.concat(F.lit(" "), family(F.lit(4)))).otherwise("")
-    return F.when(F.size(words) > 1, F.concat(given, middle, F.lit(" "), last)).otherwise(last)
+    whole = F.when(script.isin(*UNSPACED), F.concat(F.replace(last, F.lit("-"), F.lit("")), given)).otherwise(last)
+    return F.when(F.size(words) > 1, F.concat(given, middle, F.lit(" "), last)).otherwise(whole)
+
 
+def surrogate(kind: Column, canon: Column, draw: Column, key: str) -> Column:
+    """The replacement, in canonical form, that the keyed hash draws at the given try.
 
-def surrogate(kind: Column, canon: Column, draw: Column, key: str = KEY) -> Column:
-    """The replacement, in canonical form, that the keyed hash draws at the given try."""
-    seed = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, draw.cast("string")), 256)
+    Later draws are longer, or from larger ranges, so the supply has no end: only
+    social security numbers and cards keep their length, being no more than there
+    are numbers.
+    """
+    seed = keyed(F.concat_ws("\x1f", kind, canon, draw.cast("string")), key)
+    longer = lambda value, after: F.concat(value, F.when(draw > after, F.repeat(F.lit("a"), draw - after)).otherwise(""))
     local, domain = F.regexp_extract(canon, "^([^@]*)@", 1), F.regexp_extract(canon, "@(.*)$", 1)
-    host = F.regexp_extract(domain, r"^(.*?)\.?[^.]+\.[^.]+$", 1)
-    top = F.regexp_extract(domain, r"\.(com|org|net)$", 1)
-    reserved = F.concat(F.when(host != "", F.concat(like_letters(host, F.concat(seed, F.lit("host"))), F.lit("."))).otherwise(""), F.lit("example."), F.when(top != "", top).otherwise("org"))
-    octets = [(_drawn(seed, F.lit(i), n) + low).cast("string") for i, (n, low) in enumerate(((222, 1), (256, 0), (256, 0), (254, 1)))]
+    host, top = F.regexp_extract(domain, r"^(.*)\.[^.]+$", 1), F.regexp_extract(domain, r"\.(com|org|net)$", 1)
+    # A domain has one replacement, so addresses of one stay together.
+    reserved = F.concat(like_letters(host, keyed(F.concat(F.lit("domain\x1f"), domain), key)), F.lit(".example."), F.when(top != "", top).otherwise("org"))
+    octet = lambda i, n, low: (_drawn(seed, F.lit(i), n) + low).cast("string")
+    documented = F.concat(F.element_at(F.array(*map(F.lit, ("192.0.2.", "198.51.100.", "203.0.113."))), _drawn(seed, F.lit(0), 3) + 1), octet(3, 254, 1))
+    unassigned = F.concat_ws(".", octet(0, 15, 240), octet(1, 256, 0), octet(2, 256, 0), octet(3, 254, 1))
+    six = F.concat_ws(":", F.lit("2001:db8"), *[F.lower(F.hex(_drawn(seed, F.lit(10 + i), 65_535) + 1)) for i in range(6)])
     body = F.regexp_replace(like_digits(canon, seed, 1), r".$", "")
     check = (F.lit(10) - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
-    # Short secrets have few others of their length, so later draws are longer.
-    secret = F.concat(canon, F.when(draw > 7, F.repeat(F.lit("a"), draw - 7)).otherwise(""))
+    country, number = F.substring_index(canon, ":", 1), F.substring_index(canon, ":", -1)
+    national = F.concat(number, F.when(draw > 8, F.repeat(F.lit("0"), draw - 8)).otherwise(""))
+    secret = longer(canon, 7)
     hexed = lambda letters: F.array_join(F.transform(F.filter(F.split(secret, ""), lambda c: c != ""), lambda _, i: F.substring(F.lit(letters), _drawn(seed, i, 16) + 1, F.lit(1))), "")
     return (
-        F.when(kind == "email", F.concat(like_letters(local, seed), F.lit("@"), reserved))
-        .when(kind == "phone", like_digits(canon, seed, 1))
+        F.when(kind == "email", F.concat(like_letters(longer(local, 2), seed), F.lit("@"), reserved))
+        .when(kind == "phone", F.concat(country, F.lit(":"), like_digits(national, seed, 0)))
         .when(kind == "ssn", like_digits(canon, seed, 0))
         .when(kind == "card", F.concat(body, check.cast("string")))
-        .when(kind == "ip", F.concat_ws(".", *octets))
+        .when((kind == "ip6") | ((kind == "ip") & (draw > 12)), six)
+        .when(kind == "ip", F.when(draw < 2, documented).otherwise(unassigned))
         .when(kind == "secret", F.when(canon.rlike("^[0-9a-f]+$"), hexed("0123456789abcdef")).when(canon.rlike("^[0-9A-F]+$"), hexed("0123456789ABCDEF")).otherwise(like_letters(secret, seed)))
         .when(kind == "person", _named(seed, canon, draw))
     )
@@ -207,16 +269,19 @@ def surrogate(kind: Column, canon: Column, draw: Column, key: str = KEY) -> Colu
 def rendered(kind: Column, entity: Column, chosen: Column) -> Column:
     """The replacement as the entity is written: its case, separators, title or heading."""
     places = F.filter(F.split(entity, ""), lambda c: c != "")
+    # A phone number is written with its country code where the entity has one.
+    number = F.when(kind != "phone", chosen).when(entity.startswith("+"), F.replace(chosen, F.lit(":"), F.lit(""))).otherwise(F.substring_index(chosen, ":", -1))
     filled = F.aggregate(
         places, F.struct(F.lit("").alias("out"), F.lit(0).alias("n")),
-        lambda a, c: F.when(c.rlike("^[0-9]$"), F.struct(F.concat(a["out"], F.substring(chosen, a["n"] + 1, F.lit(1))).alias("out"), (a["n"] + 1).alias("n"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["n"].alias("n"))),
+        lambda a, c: F.when(c.rlike("^[0-9]$"), F.struct(F.concat(a["out"], F.substring(number, a["n"] + 1, F.lit(1))).alias("out"), (a["n"] + 1).alias("n"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["n"].alias("n"))),
     )["out"]
+    filled = F.concat(filled, F.substring(number, F.length(digits(entity)) + 1, F.length(number)))
     shouted = (F.upper(entity) == entity) & (F.lower(entity) != entity)
     head = F.when(kind == "secret", F.regexp_extract(entity, _SECRET_HEAD, 0)).when(kind == "person", F.regexp_extract(entity, _TITLE_HEAD, 0)).otherwise("")
     return F.when(kind.isin("phone", "card", "ssn"), filled).when(kind == "secret", F.concat(head, chosen)).otherwise(F.concat(head, F.when(shouted, F.upper(chosen)).otherwise(chosen)))
 
 
-def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
+def assign(entities: DataFrame, key: str) -> DataFrame:
     """``kind``, ``canon``, ``chosen``: a replacement for each distinct entity, no two the same, none one of the entities.
 
     Of those that draw the same, the first keeps it and the others draw again,
@@ -224,7 +289,7 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
     """
     everyone = cut(entities.select("kind", "canon").distinct())
     # A name's canonical form has its gender in front; what may not be drawn is the name.
-    taken = everyone.select("kind", F.when(F.col("kind") == "person", F.substring("canon", 3, 1_000)).otherwise(F.col("canon")).alias("chosen_")).distinct()
+    taken = everyone.select("kind", F.when(F.col("kind") == "person", _rest(F.col("canon"))).otherwise(F.col("canon")).alias("chosen_")).distinct()
     settled, open_ = None, everyone.withColumn("draw", F.lit(0))
     for draw in range(MOST_DRAWS):
         drawn = open_.withColumn("chosen", surrogate(F.col("kind"), F.col("canon"), F.col("draw"), key))
@@ -242,20 +307,24 @@ def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
     raise RuntimeError("replacements keep colliding")
 
 
-def pseudonymised(docs: DataFrame, text: str = "text", key: str = KEY, entities: str = "entities") -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str, text: str = "text", entities: str = "entities") -> DataFrame:
     """``docs`` with the entities of ``text`` replaced, and ``entities``: the kinds replaced, in order (array<string>).
 
     Texts without an entity, null and empty ones among them, come through as
-    they are with an empty array. Repeated rows get the same replacements. A
-    column named ``entities`` is replaced. Texts that hold entities meet their
-    replacements by a hash of the text, so that copies are worked out once.
+    they are with an empty array. Repeated rows get the same replacements, and
+    so does any run with the same ``key`` over the same rows. A column named
+    ``entities`` is replaced. Texts are searched once to find those that hold
+    entities, which are written with what was found in them, and once to pass
+    on the others. They meet their replacements by a hash of the text, so that
+    copies are worked out once.
     """
-    source = docs.drop(entities).withColumn("__hash", F.sha2(F.when(F.col(f"`{text}`").rlike(HINT), F.when(F.col(f"`{text}`").rlike(ANY), F.col(f"`{text}`"))), 256))
+    own = F.col(f"`{text}`")
+    source = docs.drop(entities)
+    hit = F.coalesce(own.rlike(HINT) & own.rlike(ANY), F.lit(False))
     columns = [c for c in docs.columns if c != entities]
-    held = source.filter(F.col("__hash").isNotNull())
-    pattern = mentions(names_in(F.col(f"`{text}`")))
-    told = held.select("__hash", F.col(f"`{text}`").alias("__text"), names_in(F.col(f"`{text}`")).alias("__names")).withColumn("__any", mentions(F.col("__names")))
-    found = told.select("__hash", "__names", F.posexplode(F.regexp_extract_all("__text", F.col("__any"), F.lit(0))).alias("place", "entity"))
+    named = source.filter(hit).withColumns({"__hash": F.sha2(own.cast("binary"), 256), "__names": names_in(own)}).withColumn("__any", mentions(F.col("__names")))
+    held = cut(named.withColumn("__found", F.regexp_extract_all(own, F.col("__any"), F.lit(0))))
+    found = held.select("__hash", "__names", F.posexplode("__found").alias("place", "entity"))
     found = found.select("__hash", "place", "entity", whole_name(F.col("__names"), F.col("entity")).alias("whole"), F.col("entity").rlike(r"^\p{L}").alias("letters"))
     once = found.groupBy("__hash", "place").agg(*[F.first(c).alias(c) for c in ("entity", "whole", "letters")])
     # What is of no kind and no number is a name without its title.
@@ -266,17 +335,16 @@ def pseudonymised(docs: DataFrame, text: str = "text", key: str = KEY, entities:
     canon = F.when(F.col("kind") == "person", F.concat(F.coalesce("gender", F.lit("n")), F.lit(":"), "whole")).otherwise(canonical(F.col("kind"), F.col("entity")))
     spotted = cut(resolved.select("__hash", "place", "entity", "kind", canon.alias("canon")))
     chosen = cut(assign(spotted.filter(F.col("kind").isNotNull()), key)).withColumnsRenamed({"kind": "kind_", "canon": "canon_"})
-    named = spotted.join(chosen, (F.col("kind") == F.col("kind_")) & (F.col("canon") == F.col("canon_")), "left")
+    met = spotted.join(chosen, (F.col("kind") == F.col("kind_")) & (F.col("canon") == F.col("canon_")), "left")
     # A part of a name gets the words at its places.
-    own = F.lower(_name(F.col("entity")))
-    before = F.split(F.call_function("substring_index", F.concat(F.lit(" "), F.substring("canon", 3, 1_000), F.lit(" ")), F.concat(F.lit(" "), own, F.lit(" ")), F.lit(1)), " ")
-    some = F.array_join(F.slice(F.split("chosen", " "), F.size(F.filter(before, lambda w: w != "")) + 1, F.size(F.split(own, " "))), " ")
+    mention = F.lower(_name(F.col("entity")))
+    before = F.split(F.call_function("substring_index", F.concat(F.lit(" "), _rest(F.col("canon")), F.lit(" ")), F.concat(F.lit(" "), mention, F.lit(" ")), F.lit(1)), " ")
+    some = F.array_join(F.slice(F.split("chosen", " "), F.size(F.filter(before, lambda w: w != "")) + 1, F.size(F.split(mention, " "))), " ")
     part = F.when(F.col("kind") == "person", some).otherwise(F.col("chosen"))
-    written = named.select("__hash", "place", "kind", F.when(F.col("kind").isNull(), F.col("entity")).otherwise(rendered(F.col("kind"), F.col("entity"), part)).alias("entity"))
+    written = met.select("__hash", "place", "kind", F.when(F.col("kind").isNull(), F.col("entity")).otherwise(rendered(F.col("kind"), F.col("entity"), part)).alias("entity"))
     lists = written.groupBy(F.col("__hash").alias("__of")).agg(F.sort_array(F.collect_list(F.struct("place", "entity", "kind"))).alias("__new"))
-    between = F.split(F.col(f"`{text}`"), pattern, -1)
+    between = F.split(own, F.col("__any"), -1)
     pieces = F.transform(between, lambda part, i: F.concat(part, F.coalesce(F.get(F.col("__new"), i)["entity"], F.lit(""))))
-    met = held.join(lists, F.col("__hash") == F.col("__of"))
-    replaced = met.select(*[F.array_join(pieces, "").alias(c) if c == text else F.col(f"`{c}`") for c in columns], F.filter(F.col("__new")["kind"], lambda k: k.isNotNull()).alias(entities))
-    rest = source.filter(F.col("__hash").isNull()).select(*[F.col(f"`{c}`") for c in columns], F.array().cast("array<string>").alias(entities))
+    replaced = held.join(lists, F.col("__hash") == F.col("__of")).select(*[F.array_join(pieces, "").alias(c) if c == text else F.col(f"`{c}`") for c in columns], F.filter(F.col("__new")["kind"], lambda k: k.isNotNull()).alias(entities))
+    rest = source.filter(~hit).select(*[F.col(f"`{c}`") for c in columns], F.array().cast("array<string>").alias(entities))
     return replaced.unionByName(rest)

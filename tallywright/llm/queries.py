@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 import public_tokenizers
@@ -11,12 +12,19 @@ from pyspark.sql import functions as F
 from tallywright.llm import bpe, langid, lines, mixing, neighbours, pii, quality, simhash, toxicity, winnowing
 from tallywright.llm.common import held_out, table
 
+#: Session setting that holds the key of replacements.
+SURROGATE_KEY = "spark.tallywright.surrogateKey"
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its personal data replaced: doc_id, text, n_entities, kinds."""
-    done = pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Every document with its personal data replaced: doc_id, text, n_entities, kinds.
+
+    The key is the session's ``SURROGATE_KEY`` setting; without one a fresh key is
+    drawn and forgotten, so that nobody can try out originals.
+    """
+    key = spark.conf.get(SURROGATE_KEY, None) or secrets.token_hex(32)
+    done = pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
     return done.select("doc_id", "text", F.size("entities").alias("n_entities"), F.array_join("entities", ",").alias("kinds"))
 
 
