@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
@@ -109,8 +110,9 @@ def test_simhash_links_find_all(spark, monkeypatch):
     i, j = np.triu_indices(len(codes), 1)
     close = np.bitwise_count(codes[i] ^ codes[j]) <= 3
     expected = components.local_forest(len(codes), i[close], j[close])
-    for tile in (simhash.TILE, 40):  # the second makes pairs of tiles
+    for tile, fan in ((simhash.TILE, simhash.FAN), (40, simhash.FAN), (7, 3)):  # the second makes pairs of tiles, the third trees of them
         monkeypatch.setattr(simhash, "TILE", tile)
+        monkeypatch.setattr(simhash, "FAN", fan)
         frame = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "fp long")
         edges = np.array([(r["a"], r["b"]) for r in simhash.links(frame).collect()], np.int64).view(np.uint64)
         found = components.local_forest(len(codes), np.searchsorted(codes, edges[:, 0]), np.searchsorted(codes, edges[:, 1]))
@@ -249,13 +251,25 @@ def test_language_accuracy_and_spans(spark):
 
 
 def test_language_scripts():
-    assert langid.scripts_of(np.array([ord(c) for c in "aяα漢あ한ب"])).tolist() == [1, 3, 2, 15, 14, 12, 6]
+    found = langid.scripts_of(np.array([ord(c) for c in "aяα漢あ한بગ𐐀ａÿ𝒳1🙂 "])).tolist()
+    assert len(set(found[:9])) == 9 and found[9] == found[10] == found[0] and found[-3:] == [0, 0, 0] and found[8] > 0 and found[11] > 0
+
+
+def test_language_runs_end_where_scripts_change():
+    words = langid.words_of(["日本語English да, ok"])
+    assert list(zip(words.begin.tolist(), words.end.tolist())) == [(0, 3), (3, 10), (11, 13), (15, 17)]
+
+
+def test_language_of_symbols(spark):
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(["plain words of it"] * 20 + ["🙂🙂", "𝟘𝟙 1", "𐐀𐐁"])], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs, langid.fit(docs)).collect()}
+    assert got[20] == got[21] == ("und", 0.0) and got[22] == ("en", 1.0)
 
 
 def test_toxicity_accuracy(spark):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     joined = queries.op6_toxicity(spark, "/root/testdata/sf0.1").join(labels, "doc_id").filter("held_out").select("toxic", "predicted").toPandas()
-    assert (joined.predicted[joined.toxic == 0] == 0).mean() > 0.99 and (joined.predicted[joined.toxic == 1] == 1).mean() > 0.7
+    assert (joined.predicted[joined.toxic == 0] == 0).mean() > 0.99 and (joined.predicted[joined.toxic == 1] == 1).mean() > 0.87
 
 
 def test_ftrl_is_sparse_and_learns():
@@ -273,6 +287,34 @@ def test_quality_accuracy(spark):
     assert joined.filter("quality = predicted").count() / joined.count() > 0.93
 
 
+def test_quality_finds_the_line_where_it_changes(spark):
+    """Lines' labels are hidden in training; in a text made of a good and a bad one, nearly all lines get their half's label."""
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    labels = spark.read.parquet(f"{MIDDLE}/labels.parquet")
+    field = quality.fit(docs, labels)
+    rows = docs.join(labels, "doc_id").filter(queries.held_out(F.col("doc_id"))).orderBy("doc_id").select("text", "quality").collect()
+    some = lambda label: [x for x in (r["text"].split("\n")[:8] for r in rows if r["quality"] == label) if len(x) >= 4]
+    right = []
+    for good, bad in zip(some(1), some(0)):
+        _, (lines_,) = quality.text_quality(field, ["\n".join(good + bad)])
+        right.append((np.concatenate((lines_[: len(good)] > 0.5, lines_[len(good) :] <= 0.5))).mean())
+    assert len(right) >= 5 and np.mean(right) > 0.8
+
+
+def test_quality_slopes(spark):
+    """The tilt's difference is the slope of the likelihood: a step along it raises the likelihood of the labels."""
+    rng = np.random.default_rng(6)
+    lengths = rng.integers(1, 6, 80)
+    owner, labels = np.repeat(np.arange(80), lengths), rng.integers(0, 2, 80).astype(float)
+    features = rng.normal(size=(len(owner), quality.WIDTH)) / 8
+    features[:, 0] += labels[owner] - 0.5
+    sizes = rng.integers(0, 50, len(owner))
+    field = quality.LineField()
+    field.fit(features, lengths, sizes, labels)
+    mean = quality.weighted_mean(field.marginals(features, lengths)[0], sizes, owner, 80)
+    assert ((field.calibrated(mean) > 0.5) == labels).mean() > 0.9
+
+
 def test_quality_marginals():
     rng = np.random.default_rng(4)
     field = quality.LineField()
@@ -355,32 +397,47 @@ def test_nearest_keeps_recall_as_blocks_shrink(spark, monkeypatch):
     assert plain_recall(neighbours.nearest(table, every=100).toPandas(), x, 100) >= 0.97
 
 
+KEY = "a key of the tests"
+
+
+def pseudonymised(spark, texts):
+    """The texts after the operator, in order."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r["text"] for r in pii.pseudonymised(docs, KEY).orderBy("doc_id").collect()]
+
+
 def test_pii_keeps_distinct_and_alike(spark):
     texts = [f"Mail user{i}@corp{i % 5}.com or USER{i}@CORP{i % 5}.COM, call +1 (706) 555-{1000 + i}, host 10.0.{i}.7." for i in range(60)]
-    texts += ["Mr. John Smith and Frau Müller; Mr. John Smith again", "card 4644348398010899 and 4644 3483 9801 0899, not 1234567812345678", 'token = "0123456789abcdef01234567"', "г-н Иванов"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    done = [r["text"] for r in pii.pseudonymised(docs).orderBy("doc_id").collect()]
+    texts += ["Mr. John Smith and Frau Müller; Mr. John Smith again", "card 4644348398010899 and 4644 3483 9801 0899, not 1234567812345678", 'token = "0123456789abcdef01234567"', "г-н Иванов", "(706) 555-1007 and +49 30 1234567, fe80::1:2 and FE80::1:2"]
+    done = pseudonymised(spark, texts)
     mails = [re.findall(r"\S+@\S+?(?=[ ,])", t) for t in done[:60]]
     assert all(a.upper() == b for a, b in mails) and len({a for a, _ in mails}) == 60
-    assert all(a.split("@")[1].split(".")[-2] == "example" for a, _ in mails)
-    assert len({re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", t).group() for t in done[:60]}) == 60
-    assert not any(t in " ".join(done) for t in ("Smith", "Müller", "4644348398010899", "0123456789abcdef", "Иванов", "555-1000"))
+    assert all(a.split("@")[1].split(".")[-2] == "example" for a, _ in mails) and len({a.split("@")[1] for a, _ in mails}) == 5
+    phones = [re.search(r"\+1 \((\d{3})\) (\d{3}-\d{4})", t).groups() for t in done[:60]]
+    assert len(set(phones)) == 60
+    assert not any(t in " ".join(done) for t in ("Smith", "Müller", "4644348398010899", "0123456789abcdef", "Иванов", "555-1000", "fe80"))
     one, two = re.findall(r"Mr\. (\S+ \S+?)(?=[ ;])", done[60] + " ")
     assert one == two
     card, spaced = re.search(r"card (\d{16}) and ([\d ]{19}), not 1234567812345678", done[61]).groups()
     assert card == spaced.replace(" ", "") and sum(int(c) if i % 2 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(card)) % 10 == 0
     assert re.fullmatch(r'token = "[0-9a-f]{24}"', done[62]) and re.fullmatch(r"г-н [А-ЯЁ][а-яё-]+", done[63])
+    same, german, six, again = re.fullmatch(r"(\(\d{3}\) \d{3}-\d{4}) and \+49 (\d\d \d{7}), ([0-9a-f:]+) and ([0-9A-F:]+)", done[64]).groups()
+    assert same == "({}) {}".format(*phones[7]) and german != "30 1234567" and six.startswith("2001:db8:") and six.upper() == again
+    hosts = [re.search(r"host (\d+)\.(\d+)\.(\d+)\.\d+\.", t).groups() for t in done[:60]]
+    assert all(h in {("192", "0", "2"), ("198", "51", "100"), ("203", "0", "113")} or int(h[0]) >= 240 for h in hosts)
+    other = pii.pseudonymised(spark.createDataFrame([(0, texts[0])], "doc_id long, text string"), "another key").first()["text"]
+    assert other != done[0]
 
 
 def test_pii_draws_again(spark):
     many = spark.createDataFrame([("person", f"m:name{i}") for i in range(400)], "kind string, canon string")
-    rows = pii.assign(many).collect()
+    rows = pii.assign(many, KEY).collect()
     assert len({r["chosen"] for r in rows}) == 400
 
 
 def test_pii_follows_names_and_passwords(spark):
     texts = ["Dr. Maria Silva came. Maria Silva said so, Ms Silva too, and SILVA; Silvano stays.", "Dr. Anna Weber and Frau Anna Weber", "password: hunter2! and passwd=ab.", "Maria stays."]
-    done = [r["text"] for r in pii.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    done = pseudonymised(spark, texts)
     given, family, *others = re.fullmatch(r"Dr\. (\S+) (\S+) came\. (\S+) (\S+) said so, Ms (\S+) too, and (\S+); Silvano stays\.", done[0]).groups()
     assert others == [given, family, family, family.upper()] and family != "Silva" and given in pii.GIVEN["latin", "f"].split()
     one, two = re.fullmatch(r"Dr\. (.+) and Frau (.+)", done[1]).groups()
@@ -389,18 +446,67 @@ def test_pii_follows_names_and_passwords(spark):
     assert done[3] == texts[3]
 
 
-def test_pii_names_do_not_run_out(spark):
-    """More names of one word than there are of three family parts and fewer."""
-    many = spark.range(17_000).select(F.lit("person").alias("kind"), F.concat(F.lit("m:name"), "id").alias("canon"))
-    assert pii.assign(many).select("chosen").distinct().count() == 17_000
+def test_pii_scripts(spark):
+    """Replacements are of the entity's script, and no letter of it stays where it was."""
+    done = pseudonymised(spark, ["żółw@łódź.pl", "Dr. Νίκος Παπαδόπουλος", "Mr 王小明 。", "Dr. ქეთევან", "Mr. John Smith, Dr. John Smith"])
+    local, host = re.fullmatch(r"(\S{4})@(\S{4})\.example\.org", done[0]).groups()
+    assert not any(a == b for a, b in zip(local + host, "żółwłódź") if a not in "ółwdz")
+    greek = re.fullmatch(r"Dr\. (\S+) (\S+)", done[1]).groups()
+    assert greek[0] in " ".join(v for (s, _), v in pii.GIVEN.items() if s == "greek") and greek[1].split("-")[0] in pii.FAMILY["greek"]
+    assert re.fullmatch(r"Mr [\u4e00-\u9fff]+ 。", done[2]) and "王小明" not in done[2]
+    assert re.fullmatch(r"Dr\. [\u10d0-\u10ff]+.*", done[3]) and "ქეთევან" not in done[3]
+    one, two = re.fullmatch(r"Mr\. (.+), Dr\. (.+)", done[4]).groups()
+    assert one == two
+
+
+def test_pii_supply_does_not_end(spark):
+    """More one-letter addresses of a domain than there are letters, more names of one word than of three family parts, short numbers."""
+    letters = [chr(c) for c in range(0x61, 0x7B)] + [chr(c) for c in range(0x430, 0x450)] + [chr(c) for c in range(0x5D0, 0x5EA)] + [chr(c) for c in range(0x4E00, 0x4E00 + 916)]
+    mails = [("email", f"{c}@gmail.com") for c in letters]
+    phones = [("phone", f"1:{n:04}") for n in range(2000, 3000)]
+    short = spark.createDataFrame(mails + phones, "kind string, canon string")
+    names = spark.range(50_000).select(F.lit("person").alias("kind"), F.concat(F.lit("m:name"), "id").alias("canon"))
+    found = pii.assign(short.unionByName(names), KEY)
+    counts = {r["kind"]: (r["n"], r["d"]) for r in found.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("chosen").alias("d")).collect()}
+    assert counts == {"email": (len(mails),) * 2, "phone": (1000, 1000), "person": (50_000, 50_000)}
+    assert found.join(short.select("kind", F.col("canon").alias("chosen")), ["kind", "chosen"]).count() == 0
+
+
+def plain_spans(text):
+    """Spans of a text's entities as plain regular expressions find them: all kinds, then the names told by titles and their parts."""
+    names = []
+    for m in regex.finditer(pii.ANY, text):
+        if regex.fullmatch(dict(pii.PATTERNS)["person"], m.group()):
+            name = regex.sub(pii._TITLE_HEAD, "", m.group())
+            names += [name] if name not in names else []
+    words = dict.fromkeys(names + [w for n in names for w in n.split(" ") if len(w) > 1])
+    forms = sorted(dict.fromkeys([*words, *(w.upper() for w in words)]), key=len, reverse=True)
+    every = pii.ANY + (r"|(?<![\p{L}\p{N}])(?:" + "|".join(forms) + r")(?![\p{L}\p{N}])" if forms else "")
+    found = []
+    for m in regex.finditer(every, text):
+        kind = next((k for k, p in pii.PATTERNS if regex.fullmatch(p, m.group())), "person")
+        number = [int(c) for c in m.group() if c in "0123456789"][::-1]
+        if kind != "card" or sum(n if i % 2 == 0 else sum(divmod(2 * n, 10)) for i, n in enumerate(number)) % 10 == 0:
+            found.append((m.start(), m.end(), kind))
+    return found
 
 
 def test_pii_query(spark):
+    """The query against plain expressions: exactly their spans are replaced, alike entities alike and others otherwise."""
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    told = {}
     for r in queries.op1_pii(spark, SMALL).collect():
-        assert (r["text"] == docs[r["doc_id"]]) == (r["n_entities"] == 0)
-        for mail in re.findall(r"[\w.]+@[\w.]+\.com", docs[r["doc_id"]]):
-            assert mail not in r["text"]
+        text = docs[r["doc_id"]]
+        spans = plain_spans(text or "")
+        assert r["kinds"].split(",") == ([k for _, _, k in spans] or [""]) and r["n_entities"] == len(spans)
+        borders = [0, *(x for a, b, _ in spans for x in (a, b)), len(text or "")]
+        between = [text[a:b] for a, b in zip(borders[::2], borders[1::2])] if text else []
+        met = re.fullmatch("(.+?)".join(map(re.escape, between)), r["text"] or "", re.DOTALL)
+        assert met, r["doc_id"]
+        for (a, b, kind), new in zip(spans, met.groups()):
+            if kind in ("email", "ip", "ssn", "secret"):
+                assert new != text[a:b] and told.setdefault((kind, text[a:b].lower()), new.lower()) == new.lower()
+    assert len(told) >= 5 and len({(k[0], v) for k, v in told.items()}) == len(told)
 
 
 def test_folds(spark):

@@ -61,8 +61,9 @@ def test_toxicity(docs, labels, none):
     model = toxicity.fit(docs, labels)
     rows = toxicity.score(docs, model, output="score").collect()
     assert len(rows) == len(ROWS) and all(0 <= r["score"] <= 1 for r in rows)
-    assert toxicity.fit(none, labels) == [] and toxicity.fit(docs, labels.filter(F.lit(False))) == []
-    assert {r["toxicity"] for r in toxicity.score(docs, []).collect()} == {0.0}
+    empty = toxicity.fit(none, labels)
+    assert len(empty[0]) == len(empty[1]) == len(toxicity.fit(docs, labels.filter(F.lit(False)))[0]) == 0
+    assert {r["toxicity"] for r in toxicity.score(docs, empty).collect()} == {0.0}
     assert toxicity.score(none, model).count() == 0
 
 
@@ -97,10 +98,19 @@ def test_simhash(docs, none):
     assert kept.columns == docs.columns and kept.filter("doc_id in (3, 4, 7)").count() == 0 and kept.filter("doc_id is null").count() == 1
 
 
+def test_simhash_keeps_one_row(spark):
+    """Of rows that share the key that stays, one does, and of groups without a key one row."""
+    one, two, three = ("one two three four five six", "seven eight nine ten eleven", "quite another text of some words")
+    docs = spark.createDataFrame([(1, one), (1, one), (1, two), (2, one), (None, two), (None, three), (None, three), (3, two)], "doc_id long, text string").withColumn("component", F.lit("x")).withColumn("fp_", F.lit("y"))
+    rows = sorted(((r["doc_id"], r["text"]) for r in simhash.deduplicated(docs).collect()), key=str)
+    assert rows == [(1, one), (1, two), (None, three)]
+    assert simhash.deduplicated(docs.filter(F.lit(False))).count() == 0
+
+
 def test_lines(docs, none):
     rows = lines.line_groups(docs).collect()
     assert {(r["doc_id"], r["no"], r["kept"]) for r in rows if r["doc_id"] in (1, 7)} == {(1, 0, True), (7, 0, False)}
-    assert not [r for r in rows if r["doc_id"] in (2, 3, 4, None)]
+    assert not [r for r in rows if r["doc_id"] in (2, 3, 4)] and [(r["no"], r["kept"]) for r in rows if r["doc_id"] is None] == [(0, True)]
     cleaned = lines.deduplicated(docs)
     assert cleaned.columns == docs.columns
     left = [r["doc_id"] for r in cleaned.collect()]
@@ -108,6 +118,15 @@ def test_lines(docs, none):
     assert lines.line_groups(none).count() == 0 and lines.deduplicated(none).count() == 0
 
 
+def test_lines_without_keys(spark):
+    """Rows without a key are documents by their texts, behind those that have one."""
+    rows = [(None, "a line that two of them have\nown line of the first"), (None, "a line that two of them have\nown line of the other"), (5, "a line that two of them have"), (None, "own line of the other, again\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["text"] for r in lines.deduplicated(docs).collect()) == ["a line that two of them have", "own line of the first", "own line of the other", "own line of the other, again\n"]
+    again = lines.deduplicated(docs.unionByName(docs.filter("text like '%first'")))
+    assert sorted(r["text"] for r in again.collect()).count("own line of the first") == 2
+
+
 def test_mixing(docs, none):
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(ROWS)
@@ -115,15 +134,18 @@ def test_mixing(docs, none):
     assert {r["size"] for r in rows if r["key"] in (2, 3, 4)} == {0}
     assert mixing.mix(none).count() == 0 and mixing.mixed_documents(none).count() == 0
     assert mixing.mixed_documents(docs).columns == docs.columns
+    again = docs.unionByName(docs).unionByName(docs)
+    taken = sum(r["copies"] for r in mixing.mix(again).collect())
+    assert mixing.mixed_documents(again).count() == taken
     blank = mixing.mix(docs.filter("doc_id in (2, 3)")).collect()
     assert [r["taken"] for r in blank] == [0, 0] and {r["target"] for r in blank} == {0.0}
 
 
 def test_pii(docs, none):
-    done = pii.pseudonymised(docs)
+    done = pii.pseudonymised(docs, "key")
     assert done.columns[-1] == "entities" and set(done.columns) == set(docs.columns)
     assert {(r["doc_id"], r["text"]) for r in done.collect()} == {(i, t) for i, t, *_ in ROWS}
-    assert pii.pseudonymised(none).count() == 0
+    assert pii.pseudonymised(none, "key").count() == 0
 
 
 def test_neighbours(spark):

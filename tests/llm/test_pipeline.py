@@ -7,6 +7,7 @@ import public_tokenizers
 import tiktoken
 from pyspark.sql import functions as F
 
+from tallywright.llm import common
 from tallywright.llm import bpe, lines, mixing, simhash, toxicity
 
 SMALL = "/root/testdata/sf0.001"
@@ -57,3 +58,36 @@ def test_run_is_registered(spark):
 
     assert __spark_entry__.queries()["pipeline"] == corpus_pipeline.run
     assert corpus_pipeline.run(spark, SMALL).count() > 0
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated rows and keys, further columns and empty tables, through all stages."""
+    one = spark.read.parquet(f"{SMALL}/documents.parquet")
+    long = "one two three four five six seven " * 2000
+    odd = [(None, "a text that has no key", "en", "s", 1), (None, None, None, None, None), (900001, None, "en", "s", 0), (900002, "", None, None, 0), (900003, " \n\t", "en", "s", 3), (900004, long, "en", "t", 9), (900005, "said twice by one key", "en", "s", 5), (900005, "and once otherwise", "en", "s", 5)]
+    rows = spark.createDataFrame(odd + odd[:1] + odd[6:7], one.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    docs = one.select(*rows.columns).limit(60).unionByName(rows).withColumns({"key": F.lit("k"), "fp": F.lit("f"), "size": F.lit("s"), "no": F.lit("n"), "node": F.lit("x")})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SMALL}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    for start in (docs, docs.filter(F.lit(False))):
+        kept, columns = start, start.columns
+        for place, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            with common.scratch(spark):
+                found = stage(spark, kept, str(tmp_path)).collect()
+            assert place == 4 or not found or list(found[0].asDict()) == columns, name
+            if place < 4:
+                kept = spark.createDataFrame(found, start.schema)
+        assert bool(found) == (start is docs)
+        if place == 4 and found:
+            assert all((r["n_tokens"] > 0) == bool(r["text"]) for r in found)
+
+
+def test_run_leaves_its_result_alone(spark, tmp_path, monkeypatch):
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared")
+    try:
+        rows = corpus_pipeline.run(spark, SMALL)
+        assert rows.count() > 0 and {"ids", "n_tokens"} <= set(rows.columns)
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
+    left = [p.name for p in (tmp_path / "shared").iterdir()]
+    assert len(left) == 1 and [p.name for p in (tmp_path / "shared" / left[0]).iterdir()] == ["4"]
