@@ -3,6 +3,13 @@
 A stage takes (spark, docs, sf_dir) and returns a table, which is written as
 Parquet and read again as the next stage's ``docs``. All but the last return the
 columns of ``documents``.
+
+Every stage takes null and empty texts, null and repeated keys, repeated rows and
+further columns; an empty table gives an empty one. A null text is not toxic, has
+no lines, shares the fingerprint of empty texts, has no words and no tokens. Rows
+that share a key count as one document for line dedup, those without one as many
+as they have different texts; near dedup leaves one row of each group; the mix
+takes each remaining row for itself.
 """
 
 from __future__ import annotations
@@ -14,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.llm import bpe, lines, mixing, simhash, toxicity
-from tallywright.llm.common import shared_folder
+from tallywright.llm.common import delete, scratch, shared_folder
 
 #: SQL can express neither the classifier nor the similarity stages.
 ORACLE_SQL = None
@@ -29,7 +36,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without near-repeated lines; ``n_chars`` follows the text."""
-    return lines.deduplicated(docs).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType))).select(*docs.columns)
+    return lines.deduplicated(docs).withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,10 +64,17 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written below the shared checkpoint folder."""
+    """All stages over ``documents``; each result is written below the shared checkpoint folder.
+
+    What a stage wrote on its way goes when its result is written, and each
+    result when the next one is; the last one stays.
+    """
     folder = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for place, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{place}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{place}")
+        if place:
+            delete(spark, f"{folder}/{place - 1}")
         docs = spark.read.parquet(f"{folder}/{place}")
     return docs

@@ -107,16 +107,16 @@ def spread_rank(rows: DataFrame, groups: list[str], bucket: Column, order: list[
     a group, and each row's place is that sum and its place in its own bucket. So
     a group that holds most rows is ranked by as many tasks as it has buckets.
     """
-    keyed = rows.withColumn("__bucket", bucket)
-    ahead = Window.partitionBy(*groups).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = keyed.groupBy(*groups, "__bucket").agg(F.count("*").alias("__n"))
-    shifts = counts.select(*[F.col(g).alias(f"__{g}") for g in groups], F.col("__bucket").alias("__of"), F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__shift"))
-    same = F.col("__bucket").eqNullSafe(F.col("__of"))
-    for g in groups:
-        same = same & F.col(g).eqNullSafe(F.col(f"__{g}"))
-    own = F.row_number().over(Window.partitionBy(*groups, "__bucket").orderBy(*order))
-    placed = keyed.withColumn("__own", own).join(shifts, same)
-    return placed.withColumn(output, F.col("__shift") + F.col("__own")).select(*rows.columns, output)
+    keyed = rows.withColumn("__part", bucket)
+    earlier = Window.partitionBy(*groups).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = keyed.groupBy(*groups, "__part").agg(F.count("*").alias("__n"))
+    ahead = counts.select(*[F.col(g).alias(f"__group{i}") for i, g in enumerate(groups)], F.col("__part").alias("__of"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__ahead"))
+    same = F.col("__part").eqNullSafe(F.col("__of"))
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"__group{i}"))
+    own = F.row_number().over(Window.partitionBy(*groups, "__part").orderBy(*order))
+    placed = keyed.withColumn("__own", own).join(ahead, same)
+    return placed.withColumn(output, F.col("__ahead") + F.col("__own")).select(*rows.columns, output)
 
 
 def name_dictionary(names: DataFrame, column: str) -> DataFrame:
