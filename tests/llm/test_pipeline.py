@@ -83,11 +83,9 @@ def test_stages_on_odd_rows(spark, tmp_path):
 
 
 def test_run_leaves_its_result_alone(spark, tmp_path, monkeypatch):
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared")
-    try:
-        rows = corpus_pipeline.run(spark, SMALL)
-        assert rows.count() > 0 and {"ids", "n_tokens"} <= set(rows.columns)
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    for module in (common, corpus_pipeline):
+        monkeypatch.setattr(module, "shared_folder", lambda _: f"file://{tmp_path}/shared")
+    rows = corpus_pipeline.run(spark, SMALL)
+    assert rows.count() > 0 and {"ids", "n_tokens"} <= set(rows.columns)
     left = [p.name for p in (tmp_path / "shared").iterdir()]
     assert len(left) == 1 and [p.name for p in (tmp_path / "shared" / left[0]).iterdir()] == ["4"]
