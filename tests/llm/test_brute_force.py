@@ -175,6 +175,18 @@ def test_lines_of_one_large_group(spark, monkeypatch, sent):
     assert [r["doc_id"] for r in lines.deduplicated(docs).orderBy("doc_id").collect()] == [0, 100]
 
 
+def test_lines_in_a_chain(spark, monkeypatch):
+    """Each line is near the next ones only, and the chain spans over fifty tiles: one component all the same, and nothing else in it."""
+    monkeypatch.setattr(lines, "TILE", 4)
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(300)]
+    chain = [" ".join(words[i : i + 40]) for i in range(220)]
+    apart = [" ".join(rnd.sample(words, 40)) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(chain + apart)), "doc_id long, text string")
+    rows = {r["doc_id"]: r["first_key"] for r in lines.line_groups(docs).collect()}
+    assert {rows[i] for i in range(220)} == {0} and all(rows[i] == i for i in range(220, 240))
+
+
 def test_winnowing_query(spark, texts):
     rows = {r["doc_id"]: r for r in queries.op7_winnowing(spark, SMALL).collect()}
     prints = {}
