@@ -80,22 +80,31 @@ WITH lines AS ({views.PRODUCT_ROWS}), gold AS (
          CASE WHEN product_total_money = 'abc' THEN 'n/a' ELSE product_total_money END AS product_total_money,
          CASE WHEN rec_id % 2 = 0 THEN n - 1 - i ELSE i END - CASE WHEN rec_id % 3 = 0 AND n > 1 THEN 1 ELSE 0 END AS j
   FROM gold
-), pairs AS (
+)
+"""
+
+
+def _aligned_sql(pred: str, s: str = "") -> str:
+    """Common table expressions that align the gold lines to those of ``pred`` as ``aligned`` with the suffix ``s``."""
+    return f""", pairs{s} AS (
   SELECT g.rec_id, g.i, p.j,
          CASE WHEN {_MONEY.format('g.product_unit_price')} = {_MONEY.format('p.product_unit_price')} THEN 2 ELSE 0 END + CASE WHEN {_MONEY.format('g.product_total_money')} = {_MONEY.format('p.product_total_money')} THEN 2 ELSE 0 END + CASE WHEN lower(g.product_name) = lower(p.product_name) THEN 3 ELSE 0 END AS s
-  FROM gold g JOIN changed p ON g.rec_id = p.rec_id AND p.j >= 0
-), options AS (
-  SELECT rec_id, i, list({{'s': s, 'j': j}} ORDER BY s DESC, j) FILTER (WHERE s > 0) AS o FROM pairs GROUP BY rec_id, i
-), steps AS (
-  SELECT g.rec_id, list({{'o': coalesce(o, []), 'chosen': []::BIGINT[]}} ORDER BY g.i) AS l FROM gold g LEFT JOIN options USING (rec_id, i) GROUP BY g.rec_id
-), folded AS (
-  SELECT rec_id, list_reduce(l, lambda a, x: {{'o': x.o, 'chosen': list_append(a.chosen, coalesce(list_filter(x.o, lambda y: NOT list_contains(a.chosen, y.j))[1].j, -1))}}, {{'o': l[1].o, 'chosen': []::BIGINT[]}}).chosen AS chosen FROM steps
-), aligned AS (
-  SELECT g.rec_id, g.i, chosen[g.i + 1] AS j FROM gold g JOIN folded USING (rec_id)
+  FROM gold g JOIN {pred} p ON g.rec_id = p.rec_id AND p.j >= 0
+), options{s} AS (
+  SELECT rec_id, i, list({{'s': s, 'j': j}} ORDER BY s DESC, j) FILTER (WHERE s > 0) AS o FROM pairs{s} GROUP BY rec_id, i
+), steps{s} AS (
+  SELECT g.rec_id, list({{'o': coalesce(o, []), 'chosen': []::BIGINT[]}} ORDER BY g.i) AS l FROM gold g LEFT JOIN options{s} USING (rec_id, i) GROUP BY g.rec_id
+), folded{s} AS (
+  SELECT rec_id, list_reduce(l, lambda a, x: {{'o': x.o, 'chosen': list_append(a.chosen, coalesce(list_filter(x.o, lambda y: NOT list_contains(a.chosen, y.j))[1].j, -1))}}, {{'o': l[1].o, 'chosen': []::BIGINT[]}}).chosen AS chosen FROM steps{s}
+), aligned{s} AS (
+  SELECT g.rec_id, g.i, chosen[g.i + 1] AS j FROM gold g JOIN folded{s} USING (rec_id)
 )
 """
 
 
+_LINES += _aligned_sql("changed")
+
+
 @query(f"{_LINES} SELECT rec_id, i AS line_index, nullif(j, -1) AS matched_index FROM aligned")
 def line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy alignment of labelled to predicted lines."""
@@ -103,15 +112,29 @@ def line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("rec_id", F.posexplode(score.align_lines(F.col("gold.products"), F.col("pred.products"))).alias("line_index", "matched_index"))
 
 
-def _all_sql(select: str) -> str:
-    same = {
-        "product_name": "lower(p.product_name) = lower(g.product_name) OR (g.product_name || '.' = p.product_name AND 2.0 * length(g.product_name) / (2 * length(g.product_name) + 1) > 0.95)",
-        "product_quantity": "g.product_quantity || ',00' = p.product_quantity",
-        **{f: f"{_MONEY.format(f'p.{f}')} = {_MONEY.format(f'g.{f}')}" for f in ("product_unit_price", "product_total_money")},
-    }
-    rows = [f"SELECT g.rec_id, '{f}' AS field, CASE WHEN g.{f} = '' THEN NULL WHEN coalesce(p.{f}, '') = '' THEN false ELSE {same.get(f, f'p.{f} = g.{f}')} END AS ok FROM gold g JOIN aligned a USING (rec_id, i) LEFT JOIN changed p ON p.rec_id = g.rec_id AND p.j = a.j AND a.j >= 0" for f in score.SCORED_PRODUCT_FIELDS]
+#: When a predicted field of a line (p) is equal to the labelled one (g); the views have no other names that are similar enough.
+_SAME_LINE = {
+    "product_id": "p.product_id = g.product_id",
+    "product_name": "(lower(p.product_name) = lower(g.product_name) OR (g.product_name || '.' = p.product_name AND 2.0 * length(g.product_name) / (2 * length(g.product_name) + 1) > 0.95))",
+    "product_quantity": "regexp_replace(p.product_quantity, ',00$', '') = g.product_quantity",
+    **{f: f"{_MONEY.format(f'p.{f}')} = {_MONEY.format(f'g.{f}')}" for f in ("product_unit_price", "product_total_money")},
+}
+
+
+def _product_sql(pred: str, s: str = "") -> str:
+    """Comparisons of the product fields, null where the label is empty."""
+    return " UNION ALL ".join(f"SELECT g.rec_id, '{f}' AS field, CASE WHEN g.{f} = '' THEN NULL WHEN coalesce(p.{f}, '') = '' THEN false ELSE {_SAME_LINE[f]} END AS ok FROM gold g JOIN aligned{s} a USING (rec_id, i) LEFT JOIN {pred} p ON p.rec_id = g.rec_id AND p.j = a.j AND a.j >= 0" for f in score.SCORED_PRODUCT_FIELDS)
+
+
+def _all_sql(select: str, replayed: bool = False) -> str:
+    """Comparisons of all fields; ``replayed``, against what labels and mismatches give for the predictions."""
     base = _base_sql("SELECT rec_id, type, field, ok FROM judged")
-    return f"{_LINES}, base AS ({base}), types AS (SELECT rec_id, type FROM ({views.ORDERS_FLAT})), product AS ({' UNION ALL '.join(rows)}), judged AS (SELECT * FROM base UNION ALL SELECT rec_id, type, field, ok FROM product JOIN types USING (rec_id) WHERE ok IS NOT NULL) {select}"
+    product, more = _product_sql("changed"), ""
+    if replayed:
+        values = ", ".join(f"CASE WHEN g.{f} = '' THEN g.{f} WHEN coalesce(p.{f}, '') <> '' AND {_SAME_LINE[f]} THEN g.{f} ELSE coalesce(p.{f}, '') END AS {f}" for f in score.SCORED_PRODUCT_FIELDS)
+        more = f", rebuilt AS (SELECT g.rec_id, g.i AS j, {values} FROM gold g JOIN aligned a USING (rec_id, i) LEFT JOIN changed p ON p.rec_id = g.rec_id AND p.j = a.j AND a.j >= 0)" + _aligned_sql("rebuilt", "_again")
+        product = _product_sql("rebuilt", "_again")
+    return f"{_LINES}{more}, base AS ({base}), types AS (SELECT rec_id, type FROM ({views.ORDERS_FLAT})), product AS ({product}), judged AS (SELECT * FROM base UNION ALL SELECT rec_id, type, field, ok FROM product JOIN types USING (rec_id) WHERE ok IS NOT NULL) {select}"
 
 
 @query(_all_sql(f"SELECT CASE WHEN grouping(type) = 1 THEN 'overall' ELSE 'by_type' END AS scope, type, field, {_ROLL} GROUP BY GROUPING SETS ((field), (type, field))"))
@@ -147,7 +170,7 @@ def mismatch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.mismatches(long, "rec_id").groupBy(text.mismatch_field(F.col("path"))["field"].alias("field")).agg(F.count("*").alias("n"), F.count_if(padded).alias("unstripped"))
 
 
-@query()
+@query(_all_sql(f"SELECT field, {_ROLL} GROUP BY field", replayed=True))
 def replayed_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy as a report without predictions would give it."""
     records = views.scored_records(spark, sf_dir)
