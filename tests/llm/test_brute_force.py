@@ -14,9 +14,9 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from tallywright.llm import bpe, components, langid, lines, mixing, neighbours, pii, quality, queries, simhash, toxicity, winnowing
+from tallywright.llm import bpe, common, components, langid, lines, mixing, neighbours, pii, quality, queries, simhash, toxicity, winnowing
 
-SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+SMALL, MIDDLE, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
 
 @pytest.fixture(scope="module")
@@ -262,6 +262,54 @@ def test_language_accuracy_and_spans(spark):
     assert {s[2] for s in spans} >= {"de", "es"} and lang in ("de", "es")
 
 
+M64 = (1 << 64) - 1
+
+
+def plain_mix(x):
+    """The splitmix64 finalizer on a whole number."""
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & M64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & M64
+    return x ^ x >> 31
+
+
+def test_language_plainly(spark):
+    """Whole texts, word by word and n-gram by n-gram, against the operator."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model, number = langid.fit(docs), lambda c: int(langid.scripts_of(np.array([ord(c)]))[0])
+    for text in [r["text"] for r in docs.filter("n_chars < 1500").orderBy("doc_id").limit(25).collect()] + ["日本語English да", "ok 12"]:
+        lower, runs = text.lower(), []
+        for i, c in enumerate(lower):
+            if number(c):
+                if runs and runs[-1][1] == i and number(lower[i - 1]) == number(c):
+                    runs[-1][1] = i + 1
+                else:
+                    runs.append([i, i + 1])
+        at = lambda i: ord(lower[i]) if 0 <= i < len(lower) and number(lower[i]) else 32  # noqa: E731, B023
+        scores = []
+        for a, b in runs:
+            total = np.zeros(len(model.languages))
+            for i in range(a, b + 1):
+                one, two, three = at(i), at(i - 1), at(i - 2) if at(i - 1) != 32 else 32
+                for order, key in enumerate((one, one | two << 21, one | two << 21 | three << 42)):
+                    total += model.logs[order][plain_mix(key + order + 1 & M64) >> 64 - langid.BITS]
+            allowed = model.allowed[number(lower[a])]
+            scores.append(total - (1e6 * ~allowed if allowed.any() else 0))
+        (lang, share, _), = langid.label_texts(model, [text])
+        if not runs:
+            assert (lang, share) == ("und", 0.0)
+            continue
+        best, came = scores[0], []
+        for s in scores[1:]:
+            jump = best.max() - langid.SWITCH
+            came.append(np.where(best < jump, best.argmax(), np.arange(len(best))))
+            best = np.maximum(best, jump) + s
+        path = [int(best.argmax())]
+        for back in reversed(came):
+            path.append(int(back[path[-1]]))
+        letters = np.bincount(path[::-1], [b - a for a, b in runs], len(model.languages))
+        assert lang == model.languages[letters.argmax()] and abs(share - letters.max() / letters.sum()) < 1e-9
+
+
 def test_language_scripts():
     found = langid.scripts_of(np.array([ord(c) for c in "aяα漢あ한بગ𐐀ａÿ𝒳1🙂 "])).tolist()
     assert len(set(found[:9])) == 9 and found[9] == found[10] == found[0] and found[-3:] == [0, 0, 0] and found[8] > 0 and found[11] > 0
@@ -284,6 +332,24 @@ def test_toxicity_accuracy(spark):
     assert (joined.predicted[joined.toxic == 0] == 0).mean() > 0.99 and (joined.predicted[joined.toxic == 1] == 1).mean() > 0.87
 
 
+def test_toxicity_plainly(spark):
+    """Scores of whole texts, feature by feature, against the operator."""
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    places, weights = toxicity.fit(docs, spark.read.parquet(f"{MIDDLE}/labels.parquet"))
+    of = dict(zip(places.tolist(), weights.tolist()))
+
+    def hashed(word):
+        units = np.array([ord(c) for c in word], np.uint32)
+        return int(common.span_hashes(units, np.array([0]), np.array([len(word)]))[0])
+
+    for r in toxicity.score(docs.filter("n_chars < 3000").orderBy("doc_id").limit(40), (places, weights)).collect():
+        words = re.findall(r"[^\W_]+", r["text"].lower())
+        found = {hashed(w) for w in words} | {plain_mix(hashed(w[:n]) + n & M64) for w in words for n in toxicity.STEMS if len(w) > n}
+        found |= {plain_mix(hashed(a) * 0xD6E8FEB86659FD93 + hashed(b) + gap & M64) for gap in (1, 2, 3) for a, b in zip(words, words[gap:])}
+        total = sum(of.get(p, 0.0) for p in {h >> 64 - toxicity.BITS for h in found}) + of.get(1 << toxicity.BITS, 0.0)
+        assert abs(r["toxicity"] - 1 / (1 + np.exp(-total))) < 1e-9
+
+
 def test_ftrl_is_sparse_and_learns():
     rnd, learner = random.Random(0), toxicity.FtrlProximal()
     for _ in range(600):
@@ -345,8 +411,9 @@ def test_quality_marginals():
 
 
 def test_nearest_recall(spark):
-    rows = queries.op4_nearest(spark, MIDDLE).toPandas()
-    table = spark.read.parquet(f"{MIDDLE}/embeddings.parquet").orderBy("vec_id").toPandas()
+    """Against all vectors, with the constants as they are shipped."""
+    rows = queries.op4_nearest(spark, LARGE).toPandas()
+    table = spark.read.parquet(f"{LARGE}/embeddings.parquet").orderBy("vec_id").toPandas()
     x = np.array(table.embedding.tolist(), np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     hits = total = 0
@@ -357,7 +424,7 @@ def test_nearest_recall(spark):
         hits, total = hits + len(set(best) & set(group.vec_id)), total + 5
         assert group["rank"].sort_values().tolist() == [1, 2, 3, 4, 5]
         assert np.allclose(group.score, near[group.vec_id])
-    assert total == 5 * len(range(0, len(table), 50)) and hits / total >= 0.9
+    assert total == 5 * len(range(0, len(table), 50)) and hits / total >= 0.95
 
 
 def test_nearest_over_blocks(spark, monkeypatch):
