@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import SLICE_BYTES, code_points, cut, drop_cut, mix64, partitions, sliced
+from tallywright.llm.common import SLICE_BYTES, code_points, cut, drop_cut, give_back, mix64, partitions, sliced
 from tallywright.llm.components import connected_components
 
 SHINGLE, SIMILARITY = 10, 0.8
@@ -188,6 +188,8 @@ def _packed(buckets: int):
                     held, size, turn = [], 0, turn + 1
         if held:
             yield dealt()
+            held = []
+        give_back()
 
     return packed
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywright.llm.common import bounded_rows, code_points, held_out, mix64, runs, sliced, span_hashes, text_pass
+from tallywright.llm.common import bounded_rows, code_points, give_back, held_out, mix64, runs, sliced, span_hashes, text_pass
 
 BITS = 20
 #: Labelled documents that the classifier is fitted on and their distinct places together, at most; passes over them.
@@ -121,19 +121,24 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2).cast(pa.int32()), pa.array([each[a:b].tobytes() for a, b in zip(borders, borders[1:])], pa.binary())], names=["h", "y", "places"])
 
     def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples, held = [], 0
+        every, borders, marks, full = np.empty(TRAIN_PLACES, np.uint32), [0], [], False
         for one in batches:
-            if held < TRAIN_PLACES:
-                fresh = [(y, np.frombuffer(places, np.uint32)) for y, places in zip(one.column(0).to_pylist(), one.column(1).to_pylist())]
-                ends = held + np.cumsum([len(places) for _, places in fresh])
-                examples.extend(fresh[: int(np.searchsorted(ends, TRAIN_PLACES, "right"))])
-                held = int(ends[-1]) if fresh else held
+            for y, places in zip(one.column(0).to_pylist(), one.column(1)):
+                part = np.frombuffer(places.as_buffer(), np.uint32)
+                # The sample ends at the first that has no room, whatever comes behind it.
+                full = full or borders[-1] + len(part) > TRAIN_PLACES
+                if not full:
+                    every[borders[-1] : borders[-1] + len(part)] = part
+                    borders.append(borders[-1] + len(part))
+                    marks.append(y)
         learner = FtrlProximal()
         for turn in range(passes):
-            for i in np.random.default_rng((seed, turn)).permutation(len(examples)):
-                learner.learn(examples[i][1], examples[i][0])
+            for i in np.random.default_rng((seed, turn)).permutation(len(marks)):
+                learner.learn(every[borders[i] : borders[i + 1]], marks[i])
         places, weights = learner.model() if learner.seen else (np.zeros(0, np.int64), np.zeros(0))
         yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(weights, pa.float64())], names=["place", "weight"])
+        del every, learner
+        give_back()
 
     spread = labelled.mapInArrow(placed, "h long, y int, places binary")
     found = spread.repartition(1).sortWithinPartitions("h", "y", "places").select("y", "places").mapInArrow(learnt, "place long, weight double").toPandas()
