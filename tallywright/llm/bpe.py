@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from tallywright.llm.common import text_pass
 
-#: Bytes of pieces with their ids that a worker keeps, and pairs of tokens; beyond it each store starts anew.
-CACHED_BYTES, CACHED_PAIRS = 48 << 20, 200_000
+#: Bytes of pieces with their ids that a worker keeps, and pairs of tokens; beyond it what is not in use goes, and pairs start anew.
+CACHED_BYTES, CACHED_PAIRS = 128 << 20, 500_000
 #: Bytes that an entry of the store of pieces takes besides its characters and ids.
 ENTRY_BYTES = 250
 
@@ -78,21 +78,28 @@ class PrefixEncoding:
 
 
 class _Pieces(dict):
-    """Ids by piece, filled as pieces are asked for, and emptied when it holds ``CACHED_BYTES``."""
+    """Ids by piece, filled as pieces are asked for.
+
+    There are two generations. When this one holds half of ``CACHED_BYTES`` it
+    becomes the old one, whose pieces come back when they are asked for again; so
+    what is in use stays, and what is not goes.
+    """
 
     def __init__(self, codec: BytePairCodec) -> None:
         super().__init__()
-        self.codec, self.held = codec, 0
+        self.codec, self.held, self.old = codec, 0, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        return self.put(piece, self.codec.encode_piece(piece))
+        ids = self.old.get(piece)
+        return self.put(piece, self.codec.encode_piece(piece) if ids is None else ids)
 
     def put(self, piece: str, ids: tuple[int, ...]) -> tuple[int, ...]:
         """Store ``ids``, unless they alone would be a large part of what may be held."""
         cost = ENTRY_BYTES + 4 * len(piece) + 8 * len(ids)
-        if cost * 16 > CACHED_BYTES:
+        if cost * 32 > CACHED_BYTES:
             return ids
-        if self.held + cost > CACHED_BYTES:
+        if 2 * (self.held + cost) > CACHED_BYTES:
+            self.old = dict(self)
             self.clear()
             self.held = 0
         self.held += cost
@@ -231,8 +238,8 @@ class BytePairCodec:
     def encode_all(self, texts: list[str]) -> list[list[int]]:
         """The ids of each text; pieces that are new are learnt together."""
         split = [self.split(text) for text in texts]
-        known = self.pieces
-        fresh = {piece for pieces in split for piece in pieces if piece not in known}
+        known, old = self.pieces, self.pieces.old
+        fresh = {piece for pieces in split for piece in pieces if piece not in known and piece not in old}
         if fresh:
             self.learn(fresh)
         return [list(chain.from_iterable(map(known.__getitem__, pieces))) for pieces in split]
