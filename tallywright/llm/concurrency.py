@@ -32,6 +32,8 @@ GRAIN_S, CHUNK = 60, 720
 OPEN_DAYS = 7
 #: Nation of a client without one or of no known client, and of all sales together (fixed values).
 UNKNOWN, ALL = -1, -2
+#: A client with more than one in so many sales is frequent: there are fewer such clients than this.
+FREQUENT = 1_000
 #: Chunks that a task of the scan has in a row, as a power of two: three levels hold 2**24 chunks, which is 22,000 years.
 FAN = 8
 #: Levels of a chunk's tree: its centres are the numbers 1 to 1023.
@@ -62,6 +64,26 @@ def grain_of(df: DataFrame, column: str) -> Column:
     return _div(micros, GRAIN_S * 1_000_000)
 
 
+def _frequent(sales: DataFrame, nations: DataFrame) -> DataFrame:
+    """``nations`` of the clients that more than one in ``FREQUENT`` sales have, which fewer than ``FREQUENT`` clients can."""
+    least = sales.count() // FREQUENT
+    often = sales.filter(F.col("client_id").isNotNull()).groupBy("client_id").agg(F.count("*").alias("n")).filter(F.col("n") > least)
+    return often.join(nations, F.col("client_id") == F.col("__client")).select(F.col("__client").alias("__often"), F.col("__nation").alias("__of_often"))
+
+
+def _with_nation(rows: DataFrame, nations: DataFrame, frequent: DataFrame) -> DataFrame:
+    """``rows`` (client_id, start, end, ...) with ``__nation``.
+
+    Frequent clients' nations are sent to the tasks. In the join with the others,
+    their rows, and those without a client, have keys of many kinds that no client
+    has, so that no task gets all of them.
+    """
+    known = rows.join(F.broadcast(frequent), F.col("client_id") == F.col("__often"), "left")
+    kind = F.when(F.col("client_id").isNull() | F.col("__often").isNotNull(), F.pmod(F.xxhash64("start", "end"), F.lit(1 << 20)) + 1).otherwise(0)
+    joined = known.withColumn("__kind", kind).join(nations.withColumn("__own", F.lit(0).cast("long")), (F.col("client_id") == F.col("__client")) & (F.col("__kind") == F.col("__own")), "left")
+    return joined.withColumn("__nation", F.coalesce("__of_often", "__nation"))
+
+
 def sale_intervals(sales: DataFrame, sale_lines: DataFrame, clients: DataFrame) -> DataFrame:
     """nation, start, end, n, cents: open sales by nation and minute, each as of its nation and of ``ALL``; a null end is never."""
     lines = sale_lines.select("sale_id", grain_of(sale_lines, "shipped_at").alias("shipped"))
@@ -73,7 +95,7 @@ def sale_intervals(sales: DataFrame, sale_lines: DataFrame, clients: DataFrame)
     # A client's equal intervals are one before they meet the client.
     merged = alive.groupBy("client_id", "start", "end").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))
     nations = clients.filter(F.col("client_id").isNotNull()).groupBy(F.col("client_id").alias("__client")).agg(F.min("nation_id").alias("__nation"))
-    placed = merged.join(nations, F.col("client_id") == F.col("__client"), "left")
+    placed = _with_nation(merged, nations, _frequent(sales, nations))
     each = F.explode(F.array(F.coalesce(F.col("__nation").cast("int"), F.lit(UNKNOWN)), F.lit(ALL))).alias("nation")
     return placed.select(each, "start", "end", "n", "cents")
 
