@@ -6,6 +6,7 @@ Callers score distinct pairs only and test what native bounds can settle first.
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
@@ -13,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallywright.functions.text import WHITE
+
 
 @lru_cache(maxsize=200_000)
 def block_ratio(a: str, b: str) -> float:
@@ -111,12 +114,58 @@ def _weighted(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else weighted_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-def weighted_score(a: Column, b: Column) -> Column:
-    """:func:`weighted_ratio` of two columns."""
-    return _weighted(a, b)
-
-
-def edit_score(a: Column, b: Column) -> Column:
-    """Native scorer: 100 less the edit distance in percent of the longer string."""
+def _edit(a: Column, b: Column) -> Column:
     longer = F.greatest(F.char_length(a), F.char_length(b))
     return F.when(longer == 0, 100.0).otherwise(100.0 * (longer - F.levenshtein(a, b)) / longer)
+
+
+def letters(value: Column) -> Column:
+    """The characters as a set of numbers, the second ``a`` being another one than the first: what two such sets share, the strings share in letters.
+
+    White space counts as one letter of whatever kind it is.
+    """
+    sorted_ = F.array_sort(F.filter(F.split(F.translate(value, WHITE, " " * len(WHITE)), ""), lambda c: c != ""))
+    # An array of one stands for a name: else the sorted letters would be worked out anew for each of them.
+    return F.transform(F.array(sorted_), lambda s: F.transform(s, lambda c, i: F.ascii(c).cast("long") * (1 << 32) + i - F.array_position(s, c)))[0]
+
+
+def words(value: Column) -> Column:
+    """The distinct words."""
+    return F.array_distinct(F.filter(F.split(value, r"(?U)[\s\x1c-\x1f]+"), lambda w: w != ""))
+
+
+class Scorer:
+    """A similarity of 0 to 100 with what is known of it before it is worked out.
+
+    ``bound(shared, a, b)`` is at least the score of two strings that share so many
+    letters; ``a`` and ``b`` are structs with their length ``n`` and the length
+    ``u`` of their distinct words. ``share(t)`` is the part of the smaller ``u``
+    that has to be shared for a score of ``t``. ``by_word`` tells what any common word
+    gives by itself: a score, with the least and the most that one string may be
+    longer than the other, as (score, from, to).
+    """
+
+    def __init__(self, score: Callable[[Column, Column], Column], bound: Callable[[Column, Column, Column], Column], share: Callable[[float], float], by_word: tuple[tuple[float, float, float], ...] = ()) -> None:
+        self.score, self.bound, self.share, self.by_word = score, bound, share, by_word
+
+    def __call__(self, a: Column, b: Column) -> Column:
+        return self.score(a, b)
+
+
+def _weighted_bound(shared: Column, a: Column, b: Column) -> Column:
+    """By letters: a common subsequence has shared letters only, and so has any stretch of words that two strings have in common.
+
+    Where one string is much longer, a common word gives a score by itself, of
+    which this bound does not speak.
+    """
+    plain = 200.0 * shared / (a["n"] + b["n"])
+    long, short = F.greatest(a["n"], b["n"]), F.least(a["n"], b["n"])
+    within = 200.0 * shared / (shared + F.least(a["u"], b["u"]))
+    part = 200.0 * shared / (shared + short)
+    return F.when(long < 1.5 * short, F.greatest(plain, 0.95 * within)).when(long <= 8.0 * short, F.greatest(plain, 0.9 * part, 0.855 * within)).otherwise(F.greatest(plain, 0.6 * part, 0.57 * within))
+
+
+#: Native scorer: 100 less the edit distance in percent of the longer string. Letters that aren't shared cost an edit each.
+edit_score = Scorer(_edit, lambda shared, a, b: 100.0 * shared / F.greatest(a["n"], b["n"]), lambda t: t / 100)
+#: :func:`weighted_ratio` of two columns.
+weighted_score = Scorer(lambda a, b: _weighted(a, b), _weighted_bound, lambda t: t / (200 - t), ((85.5, 1.5, 8.0), (57.0, 8.0, float("inf"))))

@@ -93,10 +93,26 @@ def normalize_time(value: Column) -> Column:
 _NUMBER = r"^[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?$"
 
 
+def _whole(number: Column) -> Column:
+    """All digits of a whole double, exact below 2**95: as its part above 32 bits and the one below."""
+    unit = F.lit(float(1 << 32))
+    above = F.floor(number / unit).cast("bigint")
+    exact = above.cast("decimal(28,0)") * F.lit(1 << 32).cast("decimal(10,0)") + (number - above * unit).cast("bigint")
+    return F.when(F.abs(number) < float(1 << 62), number.cast("bigint").cast("string")).when(F.abs(number) < float(1 << 94), exact.cast("string")).otherwise(number.cast("string"))
+
+
 def _plain(number: Column) -> Column:
-    """A double as its shortest decimal digits; a whole number without a fraction."""
-    whole = number == F.floor(number)
-    return F.when(whole & (F.abs(number) < 1e18), number.cast("decimal(38,0)").cast("string")).otherwise(number.cast("string"))
+    """A double as its shortest decimal digits: a whole number without a fraction, an exponent only below 0.0001 (``1e-05``)."""
+    told = F.abs(number).cast("string")
+    digits = F.regexp_replace(F.regexp_replace(told, r"E.*$", ""), r"\.0$", "")
+    bare = F.replace(digits, F.lit("."), F.lit(""))
+    power = F.coalesce(F.regexp_extract(told, r"E(-?\d+)$", 1).try_cast("int"), F.lit(0))
+    moved = F.concat(F.substring(bare, F.lit(1), power + 1), F.lit("."), F.substring(bare, power + 2, F.char_length(bare)))
+    part = (
+        F.when(power == 0, told).when(power > 0, moved).when(power >= -4, F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), bare))
+        .otherwise(F.concat(digits, F.lit("e-"), F.lpad((-power).cast("string"), F.greatest(F.lit(2), F.char_length((-power).cast("string"))), F.lit("0"))))
+    )
+    return F.when(number == F.rint(number), _whole(number)).otherwise(F.concat(F.when(number < 0, "-").otherwise(""), part))
 
 
 def normalize_quantity(value: Column) -> Column:

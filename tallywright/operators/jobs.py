@@ -309,6 +309,8 @@ STAGES = (
     ("check", {"unavailable": "yield"}, False), ("mark", {"unavailable": "yield"}, False), ("download", {"transient": "retry"}, True), ("preprocess", {}, True),
     ("detect", {"unavailable": "retry"}, True), ("bucket", {"empty": "yield"}, False), ("extract", {"throttled": "yield", "exhausted": "retry"}, True), ("persist", {"unavailable": "yield"}, False),
 )
+#: Before the code of an outcome that is permanent whatever the code.
+PERMANENT = "permanent:"
 #: Stages that a valid cached extraction makes needless.
 EXTRACTION = ("detect", "bucket", "extract")
 
@@ -323,7 +325,8 @@ def lifecycle(attempts: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     dropped. A ``yield`` puts the message back, a ``retry`` counts before that
     and, beyond the cap, orphans the job, which fails for good. A code fails the
     job, for good unless the code's class is transient; a code of no class is an
-    error that nobody caught. Without any, the job succeeds.
+    error that nobody caught, unless it is told as ``permanent:`` and the code.
+    Without any, the job succeeds.
     """
     cached = F.coalesce(F.col("cached"), F.lit(False))
     transient = [code for code, permanent in ERRORS if not permanent]
@@ -341,10 +344,12 @@ def lifecycle(attempts: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     dropped = F.col("action").startswith("drop")
     judged = attempts.withColumns({"action": action.otherwise("succeed"), "stage": stage, "__code": code})
     judged = judged.withColumn("action", F.when((F.col("action") == "retry") & (F.coalesce("requeue_count", F.lit(0)) + 1 > settings.requeue_cap), "orphan").when(F.col("action") == "retry", "requeue").otherwise(F.col("action")))
-    uncaught = ~F.col("__code").isin(*known)
-    ended = F.when(F.col("action") == "succeed", SUCCEEDED).when(F.col("action") == "orphan", FAILED_PERMANENT).when((F.col("action") == "fail") & (F.col("__code").isin(*transient) | uncaught), FAILED_TRANSIENT).when(F.col("action") == "fail", FAILED_PERMANENT)
+    judged = judged.withColumn("__told", F.coalesce(F.col("__code").startswith(PERMANENT), F.lit(False)))
+    judged = judged.withColumn("__code", F.when(F.col("__told"), F.substring("__code", len(PERMANENT) + 1, 1 << 20)).otherwise(F.col("__code")))
+    uncaught = ~F.col("__told") & ~F.col("__code").isin(*known)
+    ended = F.when(F.col("action") == "succeed", SUCCEEDED).when(F.col("action") == "orphan", FAILED_PERMANENT).when((F.col("action") == "fail") & ((~F.col("__told") & F.col("__code").isin(*transient)) | uncaught), FAILED_TRANSIENT).when(F.col("action") == "fail", FAILED_PERMANENT)
     error = F.when(F.col("action") == "orphan", "orphan_requeue_cap").when((F.col("action") == "fail") & uncaught, "lifecycle_uncaught").when(F.col("action") == "fail", F.col("__code"))
-    return judged.withColumns({"stage": F.when(~dropped, F.col("stage")), "new_status": ended, "new_code": error}).drop("__code")
+    return judged.withColumns({"stage": F.when(~dropped, F.col("stage")), "new_status": ended, "new_code": error}).drop("__code", "__told")
 
 
 def state_machine(log: DataFrame, key: str, status: str, at: str, seq: str) -> DataFrame:

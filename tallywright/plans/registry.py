@@ -14,6 +14,7 @@ from tallywright.plans import views
 from tallywright.plans.views import now, table
 from tallywright.schemas import DEFAULTS
 from tallywright.sources import files
+from tallywright.sources.shared import shared_folder
 from tallywright.streaming import jobs as streams
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -221,15 +222,20 @@ def normalize_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw")).withColumn("date", text.normalize_date(F.col("raw")))
 
 
-_RAW_QUANTITY = "CASE l_linenumber % 5 WHEN 0 THEN q || '.000' WHEN 1 THEN q || ',5' WHEN 2 THEN q || ',250kg' WHEN 3 THEN ' ' || q || ' ' ELSE '' END"
+#: Quantities that are small, large or long, and how they are stored and compared.
+_ODD = (("0.0005", "0.0005"), ("0,00001", "1e-05"), ("12345678,5", "12345678.5"), ("-0.25", "-0.25"), ("", ""))
+_TURN = f"CASE WHEN l_linenumber % 5 < 4 THEN l_linenumber % 5 ELSE 4 + l_partkey % {len(_ODD)} END"
+_ODD_CASES = [" ".join(f"WHEN {4 + i} THEN '{pair[k].replace('-0.25', '0.25') if compared else pair[k]}'" for i, pair in enumerate(_ODD)) for k, compared in ((0, False), (1, False), (1, True))]
 
 
-@query(f"""WITH r AS (SELECT l_linenumber % 5 AS turn, q, {_RAW_QUANTITY} AS raw FROM (SELECT l_linenumber, floor(l_quantity)::BIGINT AS q FROM lineitem))
-SELECT raw, CASE turn WHEN 0 THEN q || '' WHEN 1 THEN q || '.5' WHEN 2 THEN q || '250' WHEN 3 THEN q || '' ELSE '' END AS quantity, CASE turn WHEN 0 THEN q || '' WHEN 1 THEN q || '.5' WHEN 2 THEN q || '.25' WHEN 3 THEN q || '' ELSE '' END AS compared, count(*) AS n FROM r GROUP BY 1, 2, 3""")
+@query(f"""WITH r AS (SELECT {_TURN} AS turn, floor(l_quantity)::BIGINT AS q FROM lineitem)
+SELECT CASE turn WHEN 0 THEN q || '.000' WHEN 1 THEN q || ',5' WHEN 2 THEN q || ',250kg' WHEN 3 THEN ' ' || q || ' ' {_ODD_CASES[0]} END AS raw, CASE turn WHEN 0 THEN q || '' WHEN 1 THEN q || '.5' WHEN 2 THEN q || '250' WHEN 3 THEN q || '' {_ODD_CASES[1]} END AS quantity,
+  CASE turn WHEN 0 THEN q || '' WHEN 1 THEN q || '.5' WHEN 2 THEN q || '.25' WHEN 3 THEN q || '' {_ODD_CASES[2]} END AS compared, count(*) AS n FROM r GROUP BY 1, 2, 3""")
 def normalize_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantities as stored and as compared: the two rules differ on purpose."""
     q, turn = F.floor("l_quantity").cast("bigint").cast("string"), F.col("l_linenumber") % 5
-    raw = F.when(turn == 0, F.concat(q, F.lit(".000"))).when(turn == 1, F.concat(q, F.lit(",5"))).when(turn == 2, F.concat(q, F.lit(",250kg"))).when(turn == 3, F.concat(F.lit(" "), q, F.lit(" "))).otherwise("")
+    odd = F.get(F.array(*[F.lit(raw) for raw, _ in _ODD]), (F.col("l_partkey") % len(_ODD)).cast("int"))
+    raw = F.when(turn == 0, F.concat(q, F.lit(".000"))).when(turn == 1, F.concat(q, F.lit(",5"))).when(turn == 2, F.concat(q, F.lit(",250kg"))).when(turn == 3, F.concat(F.lit(" "), q, F.lit(" "))).otherwise(odd)
     rows = table(spark, sf_dir, "lineitem").select(raw.alias("raw")).groupBy("raw").agg(F.count("*").alias("n"))
     return rows.select("raw", text.normalize_quantity(F.col("raw")).alias("quantity"), text.quantity_for_compare(F.col("raw")).alias("compared"), "n")
 
@@ -367,7 +373,7 @@ def closed_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Matching
 
-_NAMES = f"""WITH entries AS ({views.DICTIONARY}), names AS (SELECT lower(trim(canonical)) AS lower, max_by(trim(canonical), pos) AS canonical, min(pos) AS pos FROM entries GROUP BY 1), probes AS ({views.RAW_NAMES})"""
+_NAMES = f"""WITH entries AS ({views.DICTIONARY}), names AS (SELECT lower(canonical) AS lower, max_by(canonical, pos) AS canonical, min(pos) AS pos FROM entries GROUP BY 1), probes AS ({views.RAW_NAMES})"""
 
 
 @query(f"{_NAMES} SELECT lower, canonical, pos FROM names")
@@ -585,11 +591,20 @@ def files_to_download(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.to_download(files.select("file_name"), files.filter(F.col("page_id") % 3 == 0).select("file_name"))
 
 
-@query(f"{_JOBS} SELECT error_code, permanent, e.status, count(*) AS n FROM jobs JOIN (VALUES ('storage_transient', false, 'FAILED_TRANSIENT')) e(error_code, permanent, status) USING (error_code) GROUP BY 1, 2, 3")
+_PERMANENT = (
+    "extractor_invalid_json", "gemini_api_key_missing", "gemini_client_error", "image_download_failed", "image_too_large", "no_invoice_detected", "orphan_requeue_cap", "payload_too_large", "prompt_missing", "truncated_upload",
+    "unsupported_media_type", "yolo_bad_output_shape", "yolo_degenerate_box",
+)
+_TRANSIENT = ("database_unavailable", "gemini_exhausted", "rate_limited_locally", "stale_timeout", "storage_transient", "triton_unavailable")
+_CODES = (*_PERMANENT, *_TRANSIENT, "unheard_of")
+
+
+@query(f"""WITH c AS (SELECT {list(_CODES)}[event_id % {len(_CODES)} + 1] AS error_code FROM events)
+SELECT error_code, error_code IN {_PERMANENT} AS permanent, CASE WHEN error_code IN {_PERMANENT} THEN 'FAILED_PERMANENT' ELSE 'FAILED_TRANSIENT' END AS status, count(*) AS n FROM c WHERE error_code <> 'unheard_of' GROUP BY 1""")
 def error_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jobs by error class."""
-    known = jobs.errors(spark)
-    return views.jobs(spark, sf_dir).select("error_code").join(F.broadcast(known), "error_code").groupBy("error_code", "permanent", "status").agg(F.count("*").alias("n"))
+    """Jobs by error class, every code among them."""
+    code = F.get(F.array(*map(F.lit, _CODES)), (F.col("event_id") % len(_CODES)).cast("int"))
+    return table(spark, sf_dir, "events").select(code.alias("error_code")).join(F.broadcast(jobs.errors(spark)), "error_code").groupBy("error_code", "permanent", "status").agg(F.count("*").alias("n"))
 
 
 # Metrics
@@ -818,17 +833,17 @@ def queue_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OUTCOMES = {
     "check": {3: "unavailable"}, "mark": {5: "unavailable"}, "download": {7: "transient", 9: "image_too_large", 11: "storage_transient"}, "preprocess": {13: "truncated_upload"},
-    "detect": {15: "unavailable", 17: "no_invoice_detected"}, "bucket": {19: "empty"}, "extract": {21: "throttled", 23: "exhausted", 25: "extractor_invalid_json", 27: "odd"}, "persist": {29: "unavailable"},
+    "detect": {15: "unavailable", 17: "no_invoice_detected"}, "bucket": {19: "empty"}, "extract": {21: "throttled", 23: "exhausted", 25: "extractor_invalid_json", 26: "gemini_client_error", 27: "odd", 28: "gemini_api_key_missing", 30: "permanent:never_seen"}, "persist": {29: "unavailable"},
 }
 
 
 @query(f"""{_JOBS}, a AS (SELECT event_id % 31 AS kind, event_id % 5 AS tries, event_id % 2 = 0 AS cached, CASE WHEN event_id % 37 = 0 THEN NULL ELSE status END AS status FROM jobs JOIN events ON job_id = event_id::VARCHAR),
 b AS (SELECT *, CASE WHEN kind = 3 THEN 'yield' WHEN status IS NULL THEN 'drop_unknown' WHEN status NOT IN ('PENDING', 'PROCESSING') THEN 'drop_terminal' WHEN kind = 5 THEN 'yield' WHEN kind = 7 THEN 'retry' WHEN kind IN (9, 11, 13) THEN 'fail'
-  WHEN NOT cached AND kind IN (15, 23) THEN 'retry' WHEN NOT cached AND kind IN (17, 25, 27) THEN 'fail' WHEN NOT cached AND kind IN (19, 21) THEN 'yield' WHEN kind = 29 THEN 'yield' ELSE 'succeed' END AS what FROM a),
+  WHEN NOT cached AND kind IN (15, 23) THEN 'retry' WHEN NOT cached AND kind IN (17, 25, 26, 27, 28, 30) THEN 'fail' WHEN NOT cached AND kind IN (19, 21) THEN 'yield' WHEN kind = 29 THEN 'yield' ELSE 'succeed' END AS what FROM a),
 c AS (SELECT *, CASE WHEN what = 'retry' THEN CASE WHEN tries + 1 > 3 THEN 'orphan' ELSE 'requeue' END ELSE what END AS action FROM b)
 SELECT action, CASE WHEN action IN ('succeed', 'drop_unknown', 'drop_terminal') THEN NULL ELSE CASE kind WHEN 3 THEN 'check' WHEN 5 THEN 'mark' WHEN 13 THEN 'preprocess' WHEN 15 THEN 'detect' WHEN 17 THEN 'detect' WHEN 19 THEN 'bucket' WHEN 29 THEN 'persist' ELSE CASE WHEN kind < 12 THEN 'download' ELSE 'extract' END END END AS stage,
   CASE WHEN action = 'succeed' THEN 'SUCCEEDED' WHEN action = 'orphan' THEN 'FAILED_PERMANENT' WHEN action = 'fail' THEN CASE WHEN kind IN (11, 27) THEN 'FAILED_TRANSIENT' ELSE 'FAILED_PERMANENT' END END AS new_status,
-  CASE WHEN action = 'orphan' THEN 'orphan_requeue_cap' WHEN action = 'fail' THEN CASE kind WHEN 9 THEN 'image_too_large' WHEN 11 THEN 'storage_transient' WHEN 13 THEN 'truncated_upload' WHEN 17 THEN 'no_invoice_detected' WHEN 25 THEN 'extractor_invalid_json' ELSE 'lifecycle_uncaught' END END AS new_code, count(*) AS n FROM c GROUP BY 1, 2, 3, 4""")
+  CASE WHEN action = 'orphan' THEN 'orphan_requeue_cap' WHEN action = 'fail' THEN CASE kind WHEN 9 THEN 'image_too_large' WHEN 11 THEN 'storage_transient' WHEN 13 THEN 'truncated_upload' WHEN 17 THEN 'no_invoice_detected' WHEN 25 THEN 'extractor_invalid_json' WHEN 26 THEN 'gemini_client_error' WHEN 28 THEN 'gemini_api_key_missing' WHEN 30 THEN 'never_seen' ELSE 'lifecycle_uncaught' END END AS new_code, count(*) AS n FROM c GROUP BY 1, 2, 3, 4""")
 def job_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How tries at jobs end: which stage decides, and what follows."""
     key = F.col("job_id").cast("bigint")
@@ -880,24 +895,46 @@ def adapter_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # More of records, files and runs
 
-_RECORDS = f"""{_FLAT}, entries AS ({views.DICTIONARY}), names AS (SELECT lower(trim(canonical)) AS lower, max_by(trim(canonical), pos) AS canonical FROM entries GROUP BY 1), lines AS ({views.PRODUCT_ROWS})"""
+def _best_sql(out: str, probes: str, entries: str, cutoff: float, fallback: float | None = None) -> str:
+    """Common table expressions that match the distinct ``raw`` of ``probes`` to ``entries`` (pos, canonical), as ``out`` (raw, matched)."""
+    low = f" UNION ALL SELECT * FROM (SELECT raw, canonical, {_EDIT.format('raw', 'lower')} AS score, pos, 0 AS step FROM (SELECT raw FROM {out}_probe WHERE raw NOT IN (SELECT raw FROM {out}_near)), {out}_names) WHERE score >= {fallback}" if fallback else ""
+    return f""", {out}_names AS (SELECT lower(canonical) AS lower, max_by(canonical, pos) AS canonical, min(pos) AS pos FROM {entries} GROUP BY 1), {out}_probe AS (SELECT DISTINCT lower(trim(raw)) AS raw FROM {probes} WHERE trim(raw) <> ''),
+{out}_near AS (SELECT raw, canonical, {_EDIT.format('raw', 'lower')} AS score, pos, length(lower) // 4 - length(raw) // 4 AS step FROM {out}_probe JOIN {out}_names ON left(raw, 3) = left(lower, 3) AND abs(length(lower) // 4 - length(raw) // 4) <= 1),
+{out} AS (SELECT raw, canonical AS matched FROM (SELECT * FROM {out}_near WHERE score >= {cutoff}{low}) QUALIFY row_number() OVER (PARTITION BY raw ORDER BY score DESC, step, pos) = 1)"""
+
+
+_STORE_NAME = "CASE rec_id % 5 WHEN 0 THEN lower(n_name) || ' store' WHEN 1 THEN ' ' || n_name || ' STOREY' WHEN 2 THEN 'QZ' || n_name || ' STORE' WHEN 3 THEN 'shop ' || rec_id % 50 ELSE '' END"
+_LINE_NAME = "CASE line % 3 WHEN 0 THEN product_name || right(product_name, 1) WHEN 1 THEN ' ' || upper(product_name) ELSE product_name END"
 
 
-@query(f"""{_RECORDS}, p AS (SELECT rec_id, count(*) AS n, count_if(canonical IS NOT NULL)::BIGINT AS matched, sum(('0' || coalesce(nullif(regexp_replace(product_unit_price, '[^0-9]', '', 'g'), ''), '0'))::BIGINT)::BIGINT AS prices, sum(product_quantity::BIGINT)::BIGINT AS quantities FROM lines LEFT JOIN names ON lower(product_name) = lower GROUP BY 1)
-SELECT g.rec_id, lower(g.type) AS type, regexp_replace(g.date, '^(\\d{{2}})[-.](\\d{{2}})[-.](\\d{{4}})$', '\\1/\\2/\\3') AS date, regexp_replace(g.total_money, '[^0-9]', '', 'g') AS total_money, g.name, coalesce(n, 0)::BIGINT AS n, coalesce(matched, 0)::BIGINT AS matched, coalesce(prices, 0)::BIGINT AS prices, coalesce(quantities, 0)::BIGINT AS quantities FROM guess g LEFT JOIN p USING (rec_id)""")
+@query(f"""{_FLAT}, entries AS ({views.DICTIONARY}), stores AS (SELECT n_nationkey AS pos, n_name || ' STORE' AS canonical FROM nation), lines AS (SELECT *, {_LINE_NAME} AS raw FROM ({views.PRODUCT_ROWS})),
+shops AS (SELECT rec_id, {_STORE_NAME} AS raw FROM guess JOIN orders ON o_orderkey = rec_id JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
+{_best_sql('store', 'shops', 'stores', 80, 60)}{_best_sql('line', 'lines', 'entries', 70)},
+p AS (SELECT rec_id, count(*) AS n, count(matched) AS matched, sum(hash_of)::BIGINT AS letters, sum(('0' || coalesce(nullif(regexp_replace(product_unit_price, '[^0-9]', '', 'g'), ''), '0'))::BIGINT)::BIGINT AS prices, sum(product_quantity::BIGINT)::BIGINT AS quantities
+  FROM (SELECT l.*, matched, length(coalesce(matched, trim(l.raw))) + ascii(coalesce(matched, trim(l.raw))) AS hash_of FROM lines l LEFT JOIN line m ON lower(trim(l.raw)) = m.raw) GROUP BY 1)
+SELECT g.rec_id, lower(g.type) AS type, regexp_replace(g.date, '^(\\d{{2}})[-.](\\d{{2}})[-.](\\d{{4}})$', '\\1/\\2/\\3') AS date, regexp_replace(g.total_money, '[^0-9]', '', 'g') AS total_money, coalesce(s.matched, trim(h.raw)) AS name,
+  coalesce(n, 0)::BIGINT AS n, coalesce(p.matched, 0)::BIGINT AS matched, coalesce(letters, 0)::BIGINT AS letters, coalesce(prices, 0)::BIGINT AS prices, coalesce(quantities, 0)::BIGINT AS quantities
+FROM guess g JOIN shops h USING (rec_id) LEFT JOIN store s ON lower(trim(h.raw)) = s.raw LEFT JOIN p USING (rec_id)""")
 def postprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records as they are stored: every field by its rule, product names by the dictionary, store names without one."""
-    records = views.perturbed(views.orders_flat(spark, sf_dir)).join(views.product_lists(spark, sf_dir), "rec_id", "left")
-    lines = F.transform("products", lambda p: F.struct(p["product_id"].alias("product_id"), p["product_name"].alias("product_name"), F.concat(F.lit(" "), p["product_unit_price"], F.lit(".000 đ")).alias("product_unit_price"), F.concat(p["product_quantity"], F.lit(",000")).alias("product_quantity"), F.lit("").alias("product_discount_money"), p["product_total_money"].alias("product_total_money")))
-    structs = records.select("rec_id", F.struct(*[c for c in records.columns if c not in ("rec_id", "file", "products")], lines.alias("products")).alias("record"))
-    stores = spark.createDataFrame([], "pos int, canonical string")
-    done = match.postprocessed(structs, stores, views.dictionary(spark, sf_dir), settings=DEFAULTS, scorer=edit_score)
-    known = match.canonical_names(views.dictionary(spark, sf_dir)).agg(F.collect_set("canonical").alias("known"))
-    total = lambda column, kept: F.aggregate(F.transform(column, kept), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    products = F.col("record.products")
-    return done.join(F.broadcast(known), F.lit(True)).select(
-        "rec_id", "record.type", "record.date", "record.total_money", "record.name", F.size(products).cast("bigint").alias("n"), F.size(F.filter(products, lambda p: F.array_contains("known", p["product_name"]))).cast("bigint").alias("matched"),
-        (total(products, lambda p: F.coalesce(p["product_unit_price"].try_cast("bigint"), F.lit(0))) / 1000).cast("bigint").alias("prices"), total(products, lambda p: p["product_quantity"].cast("bigint")).alias("quantities"),
+    """Records as they are stored: every field by its rule, store names by a dictionary with fallback, product names by one without."""
+    key = F.col("rec_id")
+    nation = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("o_orderkey").alias("rec_id"), "n_name")
+    shop = F.when(key % 5 == 0, F.concat(F.lower("n_name"), F.lit(" store"))).when(key % 5 == 1, F.concat(F.lit(" "), "n_name", F.lit(" STOREY"))).when(key % 5 == 2, F.concat(F.lit("QZ"), "n_name", F.lit(" STORE"))).when(key % 5 == 3, F.concat(F.lit("shop "), (key % 50).cast("string"))).otherwise("")
+    flat = views.perturbed(views.orders_flat(spark, sf_dir)).join(nation, "rec_id").withColumn("name", shop).drop("n_name")
+    rows = views.product_rows(spark, sf_dir)
+    read = F.when(F.col("line") % 3 == 0, F.concat("product_name", F.substring("product_name", -1, 1))).when(F.col("line") % 3 == 1, F.concat(F.lit(" "), F.upper("product_name"))).otherwise(F.col("product_name"))
+    line = F.struct("product_id", read.alias("product_name"), F.concat(F.lit(" "), "product_unit_price", F.lit(".000 đ")).alias("product_unit_price"), F.concat("product_quantity", F.lit(",000")).alias("product_quantity"), F.lit("").alias("product_discount_money"), "product_total_money")
+    records = flat.join(rows.groupBy("rec_id").agg(F.collect_list(line).alias("products")), "rec_id", "left")
+    structs = records.select("rec_id", F.struct(*[c for c in records.columns if c not in ("rec_id", "file")]).alias("record"))
+    stores = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("pos"), F.concat("n_name", F.lit(" STORE")).alias("canonical"))
+    entries = views.dictionary(spark, sf_dir)
+    done = match.postprocessed(structs, stores, entries, settings=DEFAULTS, scorer=edit_score)
+    known = match.sent(match.canonical_names(entries).select(F.col("canonical").alias("known")).distinct())
+    each = done.select("rec_id", "record.type", "record.date", "record.total_money", "record.name", F.explode_outer("record.products").alias("p")).join(known, F.col("p.product_name") == F.col("known"), "left")
+    total = lambda value: F.coalesce(F.sum(value), F.lit(0)).cast("bigint")
+    return each.groupBy("rec_id", "type", "date", "total_money", "name").agg(
+        F.count("p").alias("n"), F.count("known").alias("matched"), total(F.char_length("p.product_name") + F.ascii("p.product_name")).alias("letters"),
+        (total(F.coalesce(F.col("p.product_unit_price").try_cast("bigint"), F.lit(0))) / 1000).cast("bigint").alias("prices"), total(F.col("p.product_quantity").cast("bigint")).alias("quantities"),
     )
 
 
@@ -958,7 +995,7 @@ def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::INT AS golden_index, 'u/' || n_nationkey AS file, n_name AS name, NULL::VARCHAR AS type FROM nation")
 def json_array_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of a JSON array file, with their places."""
-    path = f"{streams.shared_folder(spark)}/gold"
+    path = f"{shared_folder(spark)}/gold"
     records = F.transform(F.array_sort(F.collect_list(F.struct("k", "name"))), lambda r: F.struct(F.concat(F.lit("u/"), r["k"].cast("string")).alias("file"), r["name"].alias("name")))
     _nations(spark, sf_dir).agg(F.to_json(records).alias("value")).write.text(path)
     return files.json_array(spark, path).select("golden_index", "file", "name", "type")
@@ -967,7 +1004,7 @@ def json_array_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT (row_number() OVER (ORDER BY canonical) - 1)::INT AS pos, canonical FROM (SELECT DISTINCT trim(p_name) AS canonical FROM part)")
 def dictionary_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dictionary built, written as a JSON array and read again."""
-    path = f"{streams.shared_folder(spark)}/dictionary"
+    path = f"{shared_folder(spark)}/dictionary"
     files.write_dictionary(curate.name_dictionary(table(spark, sf_dir, "part"), "p_name"), path)
     return files.dictionary(spark, path)
 
@@ -975,7 +1012,7 @@ def dictionary_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey, c_mktsegment AS type, CASE WHEN c_custkey % 3 = 0 THEN 'test' ELSE 'dev' END AS split FROM customer")
 def split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parts of a split as JSON files and back."""
-    folder = streams.shared_folder(spark)
+    folder = shared_folder(spark)
     files.write_split(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("type"), F.when(F.col("c_custkey") % 3 == 0, "test").otherwise("dev").alias("split")), folder)
     return spark.read.schema("c_custkey long, type string, split string").json(f"{folder}/split")
 
@@ -983,7 +1020,7 @@ def split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey, c_name AS name, 'a, \"b\"' AS quoted FROM customer")
 def csv_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows as CSV with a header and back."""
-    folder = f"{streams.shared_folder(spark)}/csv"
+    folder = f"{shared_folder(spark)}/csv"
     files.write_csv(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"), F.lit('a, "b"').alias("quoted")), folder)
     return spark.read.option("header", True).option("escape", "\\").schema("c_custkey long, name string, quoted string").csv(folder)
 
@@ -993,7 +1030,7 @@ def report_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An evaluation report written as JSON, found as the newest file and read as text."""
     long = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("field"), F.when(F.col("c_custkey") % 2 == 0, "even").otherwise("odd").alias("type"), (F.col("c_custkey") % 3 == 0).alias("ok"))
     accuracy = score.field_accuracy(long, by="type")
-    folder = streams.shared_folder(spark)
+    folder = shared_folder(spark)
     path = files.write_report(spark, files.report(spark.createDataFrame([(1,)], "n_total long"), accuracy, score.macro_average(accuracy.filter("scope = 'overall'")), "v1", "dev", "t"), folder)
     body = files.prompt(spark, files.newest_file(spark, path, "*.txt"))
     kinds = "map<string,struct<correct:bigint,total:bigint,pct:double>>"
@@ -1006,7 +1043,7 @@ def report_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT '| ' || n_nationkey || ' | ' || n_name || ' |' AS line FROM nation UNION ALL SELECT '| k | name |' UNION ALL SELECT '|-|-|'")
 def markdown_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows appended to a Markdown table, in two goes."""
-    folder, rows = f"{streams.shared_folder(spark)}/log", _nations(spark, sf_dir)
+    folder, rows = f"{shared_folder(spark)}/log", _nations(spark, sf_dir)
     files.append_markdown(rows.filter("k < 10"), folder, ["k", "name"])
     files.append_markdown(rows.filter("k >= 10"), folder, ["k", "name"])
     return spark.read.text(folder).select(F.col("value").alias("line"))
@@ -1015,7 +1052,7 @@ def markdown_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(*) AS n, 3.5::DOUBLE AS rate, 8.0::DOUBLE AS burst FROM events")
 def stream_bucket_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rate configuration that batches of requests were run with; what it does not name has its default."""
-    config, folder = spark.createDataFrame([(3.5, None)], "rps double, burst double"), streams.shared_folder(spark)
+    config, folder = spark.createDataFrame([(3.5, None)], "rps double, burst double"), shared_folder(spark)
     apply = lambda batch, rate, burst: batch.agg(F.count("*").alias("n")).withColumns({"rate": F.lit(float(rate)), "burst": F.lit(float(burst))}).write.mode("append").parquet(f"{folder}/out")
     run = streams.refreshed_bucket(streams.events(spark, f"{sf_dir}/event[s].parquet"), lambda: config, apply).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination(streams.LONGEST_RUN_S)

@@ -40,6 +40,7 @@ ERRORS = (
     ("unsupported_media_type", True), ("payload_too_large", True), ("extractor_invalid_json", True), ("no_invoice_detected", True),
     ("image_download_failed", True), ("image_too_large", True), ("truncated_upload", True), ("prompt_missing", True),
     ("yolo_degenerate_box", True), ("yolo_bad_output_shape", True), ("orphan_requeue_cap", True),
+    ("gemini_client_error", True), ("gemini_api_key_missing", True),
     ("rate_limited_locally", False), ("gemini_exhausted", False), ("triton_unavailable", False), ("storage_transient", False),
     ("database_unavailable", False), ("stale_timeout", False),
 )

@@ -10,7 +10,6 @@ is over, a bucket that is full again, a job that ended long ago.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
@@ -22,6 +21,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tallywright.operators.jobs import UUID, purge, purge_due, queue_depth, swept
 from tallywright.schemas import DEFAULTS, MESSAGE, TERMINAL, Settings
+from tallywright.sources.shared import shared_folder
 
 EVENT = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType()),
@@ -144,14 +144,6 @@ def _seconds() -> Column:
     return (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share; only in local mode may ``spark.checkpoint.dir`` be unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-    return f"{base or spark.conf.get('spark.sql.warehouse.dir')}/streams/{uuid.uuid4().hex}"
-
-
 def drained(stream: DataFrame) -> DataFrame:
     """What the stream makes of all that is there now, through a parquet sink."""
     spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)

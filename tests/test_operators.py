@@ -250,3 +250,52 @@ def test_run_budget(spark):
     assert score.next_run(log()) == {"run": 1, "refusal": None}
     assert score.next_run(log((1, False), (2, False), (3, False))) == {"run": 4, "refusal": "budget"}
     assert score.next_run(log((1, True))) == {"run": 2, "refusal": "locked"}
+
+
+@pytest.mark.parametrize("scorer", ["weighted", "edit"])
+@pytest.mark.parametrize("sent", [100_000, 10])
+def test_best_of_a_whole_dictionary(spark, monkeypatch, scorer, sent):
+    """The search by letters equals scoring all pairs, in one plan and by falling scores, for words in another order, parts, repeats and white space of all kinds."""
+    from tallywright.functions import similarity
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    plain = similarity.weighted_ratio.__wrapped__ if scorer == "weighted" else lambda a, b: 100.0 * (max(len(a), len(b)) - distance(a, b)) / max(len(a), len(b))
+    monkeypatch.setattr(match, "SENT_ENTRIES", sent)
+    rnd = random.Random(4)
+    vocabulary = ["".join(rnd.choices("aeioutnsrlkmđ", k=rnd.randint(1, 8))) for _ in range(60)]
+    entries = list(dict.fromkeys([" ".join(rnd.choices(vocabulary, k=rnd.randint(1, 5))) for _ in range(250)] + ["\t", "a a a a", "a\xa0b"]))
+    probes = {(" ".join(rnd.choices(vocabulary, k=rnd.randint(1, 4))) + rnd.choice(["", "q", "zz"]))[rnd.randint(0, 2) :].strip() for _ in range(60)} | {"zz123", "a", "a b a b", "q" * 60}
+    probes -= {""}
+    found = match.best_matches(spark.createDataFrame([(p,) for p in probes], "lower string"), spark.createDataFrame([(e, e.upper(), i) for i, e in enumerate(entries)], "lower string, canonical string, pos int"), 60.0, getattr(similarity, f"{scorer}_score"))
+    got = {r["lower"]: (r["canonical"], round(r["score"], 9)) for r in found.collect()}
+    best = {p: max((plain(p, e), -i, e.upper()) for i, e in enumerate(entries)) for p in probes}
+    assert got == {p: (e, round(s, 9)) for p, (s, _, e) in best.items() if s >= 60}
+
+
+def test_no_nested_loop(spark):
+    entries = spark.createDataFrame([(0, "Alpha Shop"), (1, "Beta Store")], "pos int, canonical string")
+    done = match.match_names(spark.createDataFrame([("zz alpha shop",), (None,), ("ALPHA SHOP",)], "raw string"), entries)
+    assert "NestedLoop" not in done._jdf.queryExecution().toString() and "Cartesian" not in done._jdf.queryExecution().toString()
+    assert {(r["raw"], r["matched"], r["tier"]) for r in done.collect()} == {("zz alpha shop", "Alpha Shop", "fuzzy_low"), (None, "", "miss"), ("ALPHA SHOP", "Alpha Shop", "exact")}
+
+
+def test_names_are_composed_and_entries_left_as_they_are(spark):
+    entries = spark.createDataFrame([(0, "Café"), (1, " padded ")], "pos int, canonical string")
+    rows = match.match_names(spark.createDataFrame([("Café",), ("padded",), ("xé",)], "raw string"), entries, cutoff=100.0, fallback=None).collect()
+    assert {(r["raw"], r["matched"], r["tier"]) for r in rows} == {("Café", "Café", "exact"), ("padded", "padded", "miss"), ("xé", "xé", "miss")}
+
+
+def test_outcomes_may_tell_that_they_are_permanent(spark):
+    stages = [s for s, _, _ in jobs.STAGES]
+    rows = [("gemini_client_error",), ("gemini_api_key_missing",), ("permanent:new_code",), ("permanent:storage_transient",), ("new_code",)]
+    frame = spark.createDataFrame(rows, "extract string").select(F.lit("PENDING").alias("status"), F.lit(0).alias("requeue_count"), F.lit(False).alias("cached"), *[F.lit(None).cast("string").alias(s) for s in stages if s != "extract"], "extract")
+    got = {r["extract"]: (r["new_status"], r["new_code"]) for r in jobs.lifecycle(frame).collect()}
+    gone = lambda code: ("FAILED_PERMANENT", code)
+    assert got == {"gemini_client_error": gone("gemini_client_error"), "gemini_api_key_missing": gone("gemini_api_key_missing"), "permanent:new_code": gone("new_code"), "permanent:storage_transient": gone("storage_transient"), "new_code": ("FAILED_TRANSIENT", "lifecycle_uncaught")}

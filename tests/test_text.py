@@ -10,7 +10,7 @@ from tallywright.functions import similarity, text
 GOLDEN = {
     text.normalize_money: {"1.356.000": "1356000", "1,356,000": "1356000", "452.000 đ": "452000", "-24,000": "-24000", "": "", "(24,000)": "-24000", "24,000-": "24000", "VND 5,000": "5000", "abc": "", "12.50": "1250", None: ""},
     text.normalize_date: {"19/04/2026": "19/04/2026", "19-04-2026": "19/04/2026", "19.04.2026": "19/04/2026", "2026-04-19": "19/04/2026", "1/4/2026": "1/4/2026", "99/99/9999": "99/99/9999", " 19-04-2026 ": "19/04/2026"},
-    text.normalize_quantity: {"10.000": "10", "10": "10", "0.47": "0.47", "1,254": "1.254", "4,378kg": "4378", "0,520": "0.52", "2.50": "2.5", "-1": "-1", "": "", "nan": None, "1e7": "10000000"},
+    text.normalize_quantity: {"10.000": "10", "10": "10", "0.47": "0.47", "1,254": "1.254", "4,378kg": "4378", "0,520": "0.52", "2.50": "2.5", "-1": "-1", "": "", "nan": None, "1e7": "10000000", "0.0005": "0.0005", "0.00001": "1e-05", "-0.00000125": "-1.25e-06", "0.0001": "0.0001", "0.001": "0.001", "1e18": "1000000000000000000", "1e23": "99999999999999991611392", "12345678.5": "12345678.5", "-123456789.25": "-123456789.25", "1e-100": "1e-100", "-0.0": "0", "1234567890123,5": "1234567890123.5"},
     text.money_for_compare: {"-24,000": "24000", "0059000": "59000", "abc": "0", "": ""},
     text.quantity_for_compare: {"10.000": "10", "4,378kg": "4.378", "100": "100", "1.000,5": "1.000.5"},
     text.fold_accents: {"Đặng  Văn": "dang van", "Élève Größe": "eleve große"},
