@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallywright.functions import geometry, text
 from tallywright.functions.similarity import edit_score
 from tallywright.operators import adapter, curate, jobs, match, metrics, score
+from tallywright.operators.job_table import JobTable
 from tallywright.plans import views
 from tallywright.plans.views import now, table
 from tallywright.schemas import DEFAULTS
@@ -867,6 +868,32 @@ def cache_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.cache_write(old, fresh, now()).select("phash", "payload", F.col("written_at").cast("timestamp_ntz").alias("written_at"))
 
 
+@query(f"""{_JOBS}, n AS (SELECT *, job_id::BIGINT AS k FROM jobs), a AS (
+  SELECT k, job_id, CASE WHEN k % 150 = 8 THEN 'FAILED_TRANSIENT' WHEN k % 50 = 8 THEN 'SUCCEEDED' ELSE status END AS status, CASE WHEN k % 50 = 8 THEN 'new' || k ELSE phash END AS phash, CASE WHEN k % 150 = 8 THEN 'stale_timeout' ELSE error_code END AS error_code,
+    CASE WHEN k % 50 = 8 THEN TIMESTAMP '2024-06-01 00:00:00' ELSE updated_at END AS updated_at FROM n
+), b AS (
+  SELECT * FROM a WHERE NOT (status IN ('SUCCEEDED', 'FAILED_PERMANENT', 'FAILED_TRANSIENT') AND updated_at < {_LATER} - INTERVAL 90 DAY) UNION ALL SELECT k, 'n' || k, 'PENDING', NULL, NULL, TIMESTAMP '2024-06-02 00:00:00' FROM n WHERE k % 20 = 3
+)
+SELECT job_id, CASE WHEN job_id[1] = 'n' AND k % 40 = 3 THEN 'PROCESSING' ELSE status END AS status, phash, error_code, CASE WHEN job_id[1] = 'n' AND k % 40 = 3 THEN TIMESTAMP '2024-06-03 00:00:00' ELSE updated_at END AS updated_at FROM b""")
+def job_change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job table after rounds of insertions, changes, a purge and compactions, the last change still in the log."""
+    day = lambda d: F.lit(f"2024-06-{d:02d} 00:00:00").cast("timestamp")
+    rows, key = views.jobs(spark, sf_dir), F.col("job_id").cast("bigint")
+    stored = JobTable(spark, shared_folder(spark, "jobs"), buckets=8)
+    stored.insert(rows)
+    stored.compact()
+    stored.update(rows.filter(key % 50 == 8).select("job_id", F.lit("SUCCEEDED").alias("status"), F.concat(F.lit("new"), "job_id").alias("phash")), day(1))
+    stored.update(rows.filter(key % 150 == 8).select("job_id", F.lit("FAILED_TRANSIENT").alias("status"), F.lit("stale_timeout").alias("error_code")), day(1))
+    stored.purge(F.lit("2024-04-10 00:00:00").cast("timestamp"))
+    fresh = rows.filter(key % 20 == 3).select(F.concat(F.lit("n"), "job_id").alias("job_id"), "image_url")
+    stored.insert(jobs.new_jobs(fresh, day(2)))
+    stored.compact()
+    # Jobs that are there already stay as they are.
+    stored.insert(jobs.new_jobs(fresh, day(9)))
+    stored.update(fresh.filter(F.substring("job_id", 2, 20).cast("bigint") % 40 == 3).select("job_id", F.lit("PROCESSING").alias("status")), day(3))
+    return stored.read().select("job_id", "status", "phash", "error_code", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
+
+
 @query("""SELECT event_id, ts - INTERVAL 90 MINUTE < CASE WHEN ts >= date_trunc('day', ts) + INTERVAL 2 HOUR THEN date_trunc('day', ts) + INTERVAL 2 HOUR ELSE date_trunc('day', ts) - INTERVAL 22 HOUR END AS due FROM events""")
 def purge_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the nightly hour came in the hour and a half before each moment."""
