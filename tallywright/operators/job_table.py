@@ -58,7 +58,8 @@ class JobTable:
         done = [str(s.getPath().getName()) for s in files.listStatus(root) if files.exists(self._path("log", str(s.getPath().getName()), "_SUCCESS"))]
         return sorted(int(name.split("=")[1]) for name in done if name.startswith("change="))
 
-    def _last(self) -> int:
+    def last(self) -> int:
+        """Number of the last change, 0 before any."""
         base = self._base().agg(F.max("upto")).first()[0] or 0
         return max([base, *self._changes()])
 
@@ -73,6 +74,10 @@ class JobTable:
             return self.spark.createDataFrame([], _LOG)
         return self.spark.read.schema(_LOG).option("basePath", f"{self.folder}/log").parquet(*[f"{self.folder}/log/change={n}" for n in changes]).drop("change")
 
+    def history(self) -> DataFrame:
+        """Changes that were not taken in yet: ``kind``, ``seq`` and the job's columns."""
+        return self._log(self._changes()).drop("bucket")
+
     def bucket(self, job_id: Column) -> Column:
         """Bucket of a job."""
         return F.pmod(F.xxhash64(job_id), F.lit(self.buckets)).cast("int")
@@ -80,7 +85,7 @@ class JobTable:
     def _write(self, rows: DataFrame, kind: str, number: int | None) -> int:
         """Appends a change; one that has this number already is left as it is."""
         known = self._changes()
-        seq = max(known, default=self._last()) + 1 if number is None else number
+        seq = max(known, default=self.last()) + 1 if number is None else number
         if seq in known:
             return seq
         given = rows.withColumns({"kind": F.lit(kind), "seq": F.lit(seq).cast("long"), "bucket": self.bucket(F.col("job_id"))})

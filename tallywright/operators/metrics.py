@@ -62,6 +62,17 @@ def histogram_quantile(buckets: DataFrame, q: float, by: list[str], le: str = "l
     return inside.groupBy(*by).agg(F.min_by(at, "le").alias("quantile"))
 
 
+def quantile_of(buckets: Column, q: float) -> Column:
+    """:func:`histogram_quantile` of an array of cumulative buckets (le, n) in order, infinity last."""
+    rank = F.element_at(buckets, -1)["n"] * F.lit(q)
+    below = lambda i, f, none: F.when(i > 0, F.get(buckets, i - 1)[f]).otherwise(F.lit(none))
+    # Buckets with the one before them: the first that reaches the rank holds it.
+    placed = F.transform(buckets, lambda b, i: F.struct(b["le"].alias("le"), b["n"].alias("n"), below(i, "le", 0.0).alias("low"), below(i, "n", 0.0).alias("below")))
+    first = F.get(F.filter(placed, lambda b: (b["n"] >= rank) & (rank > b["below"])), F.lit(0))
+    inside = first["low"] + (first["le"] - first["low"]) * (rank - first["below"]) / F.nullif(first["n"] - first["below"], F.lit(0.0))
+    return F.when(first["le"] == float("inf"), first["low"]).otherwise(inside)
+
+
 def ratio(hits: Column, misses: Column) -> Column:
     """hits / (hits + misses); null if there are none."""
     return F.when(hits + misses > 0, hits / (hits + misses))

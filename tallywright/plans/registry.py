@@ -15,8 +15,10 @@ from tallywright.plans import views
 from tallywright.plans.views import now, table
 from tallywright.schemas import DEFAULTS
 from tallywright.sources import files
-from tallywright.sources.shared import shared_folder
+from tallywright.sources.shared import delete, shared_folder
 from tallywright.streaming import jobs as streams
+from tallywright.streaming import timed
+from tallywright.streaming.consumer import Consumer
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -741,6 +743,73 @@ def stream_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.run_state_machine(spark, f"{sf_dir}/event[s].parquet", views.job_status())
 
 
+#: Later than any row of the tables.
+_END_S = 4_000_000_000.0
+
+
+@query("""WITH log AS (SELECT strftime(ts, '%Y%m%d') || '-' || user_id % 7 AS job_id, epoch_us(ts) / 1e6 AS t, event_id, CASE event_type WHEN 'view' THEN 'PENDING' WHEN 'click' THEN 'PROCESSING' WHEN 'purchase' THEN 'SUCCEEDED' WHEN 'error' THEN 'FAILED_TRANSIENT' ELSE 'FAILED_PERMANENT' END AS status FROM events),
+n AS (SELECT *, row_number() OVER w AS i, lead(t) OVER w AS next, greatest(t, CASE status WHEN 'PROCESSING' THEN t + 900 WHEN 'PENDING' THEN min(t) OVER (PARTITION BY job_id) + 1800 END) AS deadline FROM log WINDOW w AS (PARTITION BY job_id ORDER BY t, event_id)),
+e AS (SELECT *, status IN ('PENDING', 'PROCESSING') AND (next IS NULL OR deadline < next) AS stale, count(*) OVER (PARTITION BY job_id) AS total FROM n)
+SELECT job_id, CASE WHEN stale THEN 'FAILED_TRANSIENT' ELSE status END AS status, CASE WHEN stale THEN 'stale_timeout' END AS error_code, CASE WHEN stale THEN deadline ELSE t END AS ended_at, (total - i)::BIGINT AS n_ignored
+FROM e WHERE stale OR status NOT IN ('PENDING', 'PROCESSING') QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY i) = 1""")
+def timed_out_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each job ends if none may stay too long, out of the whole log."""
+    return timed.timed_out_by_scan(_job_log(spark, sf_dir))
+
+
+def _job_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    job = F.concat(F.date_format("ts", "yyyyMMdd"), F.lit("-"), (F.col("user_id") % 7).cast("string"))
+    return table(spark, sf_dir, "events").select(job.alias("job_id"), timed.seconds(F.col("ts")), F.col("event_id").alias("seq"), views.job_status().alias("status"))
+
+
+@query(_SQL["timed_out_jobs"])
+def stream_timed_out_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a timer of each job in a stream: no scan of any table."""
+    with timed.timed_state(spark):
+        log = _job_log(spark, sf_dir)
+        stream = timed.replayed(log, shared_folder(spark), spark.createDataFrame([("~", _END_S, 0, "PENDING")], log.schema))
+        rows = timed.on_time(streams.drained(timed.timed_out_jobs(stream, lateness="20 days")))
+    end = F.max(F.when(~F.col("ignored") & F.col("status").isin(*_ENDED), F.struct("status", "error_code", "at")))
+    return rows.filter("job_id <> '~'").groupBy("job_id").agg(end.alias("e"), F.count_if("ignored").alias("n_ignored")).select("job_id", "e.status", "e.error_code", F.col("e.at").alias("ended_at"), "n_ignored")
+
+
+_ENDED = ("SUCCEEDED", "FAILED_PERMANENT", "FAILED_TRANSIENT")
+_SLIDING = "SELECT to_timestamp((floor(epoch(ts) / 900)::BIGINT - o) * 900)::TIMESTAMP AS window_start, event_type, {0} FROM {1}, (SELECT unnest([0, 1, 2, 3]) AS o) GROUP BY 1, 2"
+
+
+@query(f"WITH samples AS ({views.COUNTERS}), inc AS (SELECT *, lag(value) OVER (PARTITION BY event_type ORDER BY ts) AS before FROM samples), up AS (SELECT ts, event_type, CASE WHEN value < before THEN value ELSE value - before END AS increase FROM inc WHERE before IS NOT NULL) " + _SLIDING.format("sum(increase)::DOUBLE AS increase, sum(increase)::DOUBLE / 3600 AS rate", "up"))
+def stream_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of counters that restart, by windows of an hour that slide by a quarter, as a stream."""
+    samples = views.counters(spark, sf_dir).select("event_type", timed.seconds(F.col("ts")), F.lit(0).cast("long").alias("seq"), F.col("value").cast("double").alias("value"))
+    with timed.timed_state(spark):
+        stream = timed.replayed(samples, shared_folder(spark), spark.createDataFrame([("~", _END_S, 0, 0.0), ("~", _END_S + 1e7, 0, 0.0)], samples.schema))
+        done = streams.drained(timed.stream_rates(stream, ["event_type"], ["event_type"], "1 hour", "15 minutes", lateness="20 days"))
+    return done.filter("event_type <> '~'").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "increase", "rate")
+
+
+_BOUNDS = (10.0, 25.0, 50.0, 100.0)
+_LES = ", ".join(f"{b}::DOUBLE" for b in _BOUNDS) + ", 'Infinity'::DOUBLE"
+
+
+@query(f"""WITH bins AS (SELECT to_timestamp((floor(epoch(ts))::BIGINT // 900) * 900)::TIMESTAMP AS ts, event_type, le, count_if(value <= le)::DOUBLE AS n FROM events, (SELECT unnest([{_LES}]) AS le) WHERE value IS NOT NULL GROUP BY 1, 2, 3),
+up AS (SELECT *, lag(n) OVER (PARTITION BY event_type, le ORDER BY ts) AS before FROM bins), summed AS (SELECT to_timestamp((floor(epoch(ts) / 900)::BIGINT - o) * 900)::TIMESTAMP AS window_start, event_type, le, sum(n) AS n FROM up, (SELECT unnest([0, 1, 2, 3]) AS o) WHERE before IS NOT NULL GROUP BY 1, 2, 3),
+placed AS (SELECT *, coalesce(lag(le) OVER w, 0) AS low, coalesce(lag(n) OVER w, 0) AS below, max(n) OVER (PARTITION BY window_start, event_type) * 0.95::DOUBLE AS rank FROM summed WINDOW w AS (PARTITION BY window_start, event_type ORDER BY le)),
+inside AS (SELECT window_start, event_type, min_by(CASE WHEN le = 'Infinity'::DOUBLE THEN low ELSE low + (le - low) * (rank - below) / (n - below) END, le) AS quantile FROM placed WHERE n >= rank AND rank > below GROUP BY 1, 2)
+SELECT DISTINCT window_start, event_type, round(quantile, 6) AS quantile FROM summed LEFT JOIN inside USING (window_start, event_type)""")
+def stream_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 95th percentile of histogram counters by sliding windows, as a stream."""
+    from pyspark.sql.window import Window
+
+    bins = table(spark, sf_dir, "events").filter(F.col("value").isNotNull()).groupBy((F.floor(F.unix_timestamp("ts") / 900) * 900).cast("double").alias("at"), "event_type").agg(*[F.count_if(F.col("value") <= b).alias(f"b{i}") for i, b in enumerate(_BOUNDS)], F.count("*").alias(f"b{len(_BOUNDS)}"))
+    les = F.array(*map(F.lit, (*_BOUNDS, float("inf"))))
+    spread = bins.select("at", "event_type", F.inline(F.arrays_zip(les.alias("le"), F.array(*[f"b{i}" for i in range(len(_BOUNDS) + 1)]).alias("n"))).alias("le", "n"))
+    buckets = spread.select("event_type", "le", "at", F.lit(0).cast("long").alias("seq"), F.sum("n").over(Window.partitionBy("event_type", "le").orderBy("at")).cast("double").alias("value"))
+    with timed.timed_state(spark):
+        stream = timed.replayed(buckets, shared_folder(spark), spark.createDataFrame([("~", 1.0, _END_S, 0, 0.0), ("~", 1.0, _END_S + 1e7, 0, 0.0)], buckets.schema))
+        done = streams.drained(timed.stream_quantiles(stream, 0.95, _BOUNDS, ["event_type"], "1 hour", "15 minutes", lateness="20 days"))
+    return done.filter("event_type <> '~'").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", F.round("quantile", 6).alias("quantile"))
+
+
 _UUID = "'0b8e2f4e-0d0c-4c56-8a2f-' || lpad(page_id::VARCHAR, 12, '0')"
 
 
@@ -765,6 +834,43 @@ def stream_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.run_queue(spark, _queued(spark, sf_dir))
 
 
+@query(f"""{_JOBS}, j AS (SELECT '0b8e2f4e-0d0c-4c56-8a2f-' || lpad(job_id, 12, '0') AS job_id, job_id::BIGINT AS k, status, error_code, status IN ('PENDING', 'PROCESSING') AS runs FROM jobs)
+SELECT job_id, CASE WHEN NOT runs THEN status WHEN k % 7 = 0 THEN 'FAILED_PERMANENT' ELSE 'SUCCEEDED' END AS status, CASE WHEN runs AND k % 7 = 0 THEN 'extractor_invalid_json' ELSE error_code END AS error_code, CASE WHEN runs THEN 1 ELSE 0 END::BIGINT AS endings,
+  CASE WHEN runs AND k % 5 = 0 AND k % 7 <> 0 THEN 2 ELSE 1 END::BIGINT AS tries FROM j""")
+def stream_consumer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queue consumed to its end, with a batch that is run again after its driver was lost: every job ends once, and no message is lost."""
+    folder = shared_folder(spark)
+    queue = f"{folder}/queue"
+    rows = views.jobs(spark, sf_dir).withColumn("job_id", F.concat(F.lit("0b8e2f4e-0d0c-4c56-8a2f-"), F.lpad("job_id", 12, "0")))
+    stored = JobTable(spark, f"{folder}/jobs", buckets=8)
+    stored.insert(rows)
+    stored.compact()
+    # A message of each job, one of every ninth twice, and some of jobs that nobody knows.
+    key = F.right("job_id", F.lit(12)).cast("bigint")
+    streams.enqueue(rows.select("job_id", "image_url"), queue)
+    streams.enqueue(rows.filter(key % 9 == 0).select("job_id", "image_url").unionByName(rows.filter(key % 11 == 0).select(F.concat(F.lit("ffffffff"), F.substring("job_id", 9, 28)).alias("job_id"), "image_url")), queue)
+
+    def work(messages: DataFrame) -> DataFrame:
+        first = F.col("requeue_count") == 0
+        return messages.withColumn("extract", F.when(key % 7 == 0, "extractor_invalid_json").when((key % 5 == 0) & first, "exhausted"))
+
+    consumer = Consumer(stored, work, f"{folder}/consumer", queue)
+
+    def run() -> None:
+        consumer.consuming(streams.messages(spark, queue, files_at_once=4), lambda: now()).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    # As if the driver were lost before the last batch was noted as done.
+    last = consumer.verdicts().agg(F.max("batch")).first()[0]
+    delete(spark, f"{folder}/state/commits/{last}")
+    delete(spark, f"{folder}/state/commits/.{last}.crc")
+    run()
+    run()
+    ends = stored.history().filter("kind = 'update'").groupBy("job_id").agg(F.count("*").alias("endings"))
+    told = consumer.verdicts().groupBy("job_id").agg(F.count_if(F.col("action").isin("requeue", "succeed", "fail")).alias("tries"))
+    return stored.read().join(ends, "job_id", "left").join(told, "job_id", "left").select("job_id", "status", "error_code", F.coalesce("endings", F.lit(0).cast("long")).alias("endings"), F.greatest("tries", F.lit(1).cast("long")).alias("tries"))
+
+
 # More of the job table
 
 
@@ -1082,5 +1188,5 @@ def stream_bucket_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     config, folder = spark.createDataFrame([(3.5, None)], "rps double, burst double"), shared_folder(spark)
     apply = lambda batch, rate, burst: batch.agg(F.count("*").alias("n")).withColumns({"rate": F.lit(float(rate)), "burst": F.lit(float(burst))}).write.mode("append").parquet(f"{folder}/out")
     run = streams.refreshed_bucket(streams.events(spark, f"{sf_dir}/event[s].parquet"), lambda: config, apply).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    run.awaitTermination(streams.LONGEST_RUN_S)
+    run.awaitTermination()
     return spark.read.parquet(f"{folder}/out").groupBy("rate", "burst").agg(F.sum("n").alias("n")).select("n", "rate", "burst")

@@ -114,3 +114,13 @@ def test_markdown(spark, tmp_path):
         files.append_markdown(spark.createDataFrame([(n, 50.0)], "run int, pct double"), str(tmp_path / "log"), ["run", "pct"])
     lines = sorted(r["value"] for r in spark.read.text(str(tmp_path / "log")).collect())
     assert lines == ["| 1 | 50.0 |", "| 2 | 50.0 |", "| run | pct |", "|-|-|"]
+
+
+def test_streams_that_forget_nothing_count_rows_in_any_order(spark, tmp_path):
+    """Five batches out of time order, weeks apart: without a lateness none is dropped."""
+    days = [20, 1, 25, 3, 40]
+    for i, day in enumerate(days):
+        spark.createDataFrame([("a", 86_400.0 * day, i)], "job_id string, at double, seq long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("job_id string, at double, seq long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    rows = streams.drained(streams.bounded_requeues(stream, streams.Settings(requeue_ttl_s=None), lateness=None)).collect()
+    assert sorted(r["requeue_count"] for r in rows) == [1, 2, 3, 4, 5]
