@@ -36,6 +36,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         moved = large.join(near, large["a"] == near["node"]).filter(F.col("b") != F.col("least")).select(F.col("b").alias("a"), F.col("least").alias("b"))
         pointing = cut(moved.unionByName(near.select(F.col("node").alias("a"), F.col("least").alias("b"))).distinct())
         drop_cut(large, near)
+    else:
+        if not _settled(pointing):
+            raise RuntimeError(f"components are not settled after {MOST_ROUNDS} rounds")
     roots = pointing.select(F.col("b").alias("node")).distinct()
     found = cut(pointing.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component"))))
     drop_cut(pointing)
