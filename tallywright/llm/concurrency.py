@@ -80,7 +80,8 @@ def _with_nation(rows: DataFrame, nations: DataFrame, frequent: DataFrame) -> Da
     """
     known = rows.join(F.broadcast(frequent), F.col("client_id") == F.col("__often"), "left")
     kind = F.when(F.col("client_id").isNull() | F.col("__often").isNotNull(), F.pmod(F.xxhash64("start", "end"), F.lit(1 << 20)) + 1).otherwise(0)
-    joined = known.withColumn("__kind", kind).join(nations.withColumn("__own", F.lit(0).cast("long")), (F.col("client_id") == F.col("__client")) & (F.col("__kind") == F.col("__own")), "left")
+    # Zero, but no literal: that would be taken out of the join's key.
+    joined = known.withColumn("__kind", kind).join(nations.withColumn("__own", F.pmod("__client", F.lit(1))), (F.col("client_id") == F.col("__client")) & (F.col("__kind") == F.col("__own")), "left")
     return joined.withColumn("__nation", F.coalesce("__of_often", "__nation"))
 
 
