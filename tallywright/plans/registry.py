@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallywright.functions import geometry, text
 from tallywright.functions.similarity import edit_score
-from tallywright.operators import adapter, curate, jobs, match, metrics, score
+from tallywright.operators import adapter, chains, curate, jobs, match, metrics, score
 from tallywright.operators.job_table import JobTable
 from tallywright.plans import views
 from tallywright.plans.views import now, table
@@ -1093,6 +1093,47 @@ def aliased_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("part", "i", "p.product_id", "p.product_quantity")
 
 
+#: A receipt of each chain that meets its formats, and one of a shop without any.
+_RECEIPTS = {
+    "aeon": ("TRUNG TÂM MUA SẮM AEON - BÌNH TÂN", "062", "1234567", "Lê Thị Tâm", "", "10:45"), "bhx_2024": ("6006 BHX_DON_LKH - 3 HOÀNG DIỆU", "106729", "OV123456789012345678", "", "", "10:45"),
+    "bigc": ("SIEU THI GO! QUANG NGAI", "043", "043000123", "108123", "9900112233", "10:45:30"), "coopmart": ("CO.OPMART XA LO HA NOI", "10", "88112", "16138980-Như", "", "10:45:30"),
+    "coopxtra": ("CO-OPXTRA THU DUC", "7", "99", "any", "123", "10:45:30"), "emart": ("Emart Phan Văn Trị", "0021-0183", "01001", "2300747(Nguyen Thi Anh Thu)", "0202401200100300100006", "10:45"),
+    "lotte": ("LOTTE MART WEST LAKE", "1064-0020", "017240830021300180005097", "207022402VO NGUYEN THU", "001240120001600050017040", "10:45"), "satra": ("SIÊU THỊ SÀI GÒN", "SGT01", "24SGT1-00012", "Trần Văn A", "*24SGT00012345*", "10:45"),
+    "corner": ("Corner Shop", "x", "x", "x", "x", "x"),
+}
+_FIELDS = ("name", "pos_id", "receipt_number", "cashier", "barcode", "time")
+#: Which receipts have a mark before a field, and which have the field empty, by remainder of the key.
+_MARKED, _BLANK = {"name": 5, "pos_id": 7, "receipt_number": 11, "cashier": 4, "barcode": 6, "time": 10}, 13
+#: Fields of which any text is right, by chain; with the mark a cashier of these is still one, and so is a Satra or BigC name not.
+_FREE = {"aeon": ("cashier",), "bhx_2024": ("time",), "coopmart": ("barcode",), "coopxtra": ("cashier", "barcode"), "satra": ("cashier",), "corner": _FIELDS}
+
+
+def _receipt_sql(field: str, i: int) -> str:
+    good = " ".join(f"WHEN {k} THEN '{row[i]}'" for k, row in enumerate(_RECEIPTS.values()))
+    return f"CASE WHEN k % {_BLANK} = 0 THEN '' WHEN k % {_MARKED[field]} = 0 THEN '?' || (CASE k % {len(_RECEIPTS)} {good} END) ELSE CASE k % {len(_RECEIPTS)} {good} END END AS {field}"
+
+
+def _broken_sql(field: str) -> str:
+    held = [str(k) for k, chain in enumerate(_RECEIPTS) if field not in _FREE.get(chain, ())]
+    return f"CASE WHEN k % {_BLANK} <> 0 AND k % {_MARKED[field]} = 0 AND k % {len(_RECEIPTS)} IN ({', '.join(held)}) THEN '{field}' END"
+
+
+@query(f"""WITH r AS (SELECT o_orderkey AS k, {', '.join(_receipt_sql(f, i) for i, f in enumerate(_FIELDS))} FROM orders)
+SELECT k AS rec_id, {list(_RECEIPTS)}[k % {len(_RECEIPTS)} + 1] AS type, CASE WHEN name = '' OR name[1] = '?' THEN NULL ELSE nullif({list(_RECEIPTS)}[k % {len(_RECEIPTS)} + 1], 'corner') END AS chain, array_to_string(list_filter([{', '.join(map(_broken_sql, ('name', 'pos_id', 'receipt_number', 'barcode', 'time', 'cashier')))}], lambda x: x IS NOT NULL), ',') AS broken,
+  CASE WHEN k % {len(_RECEIPTS)} = 5 THEN 'CAFE GOLD' ELSE '01) VAT08  CAFE GOLD' END AS line FROM r""")
+def chain_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts of all chains that meet and break their formats, with the fields that do."""
+    key, n = F.col("o_orderkey"), len(_RECEIPTS)
+    at = lambda values: F.get(F.array(*map(F.lit, values)), (key % n).cast("int"))
+    made = {}
+    for i, f in enumerate(_FIELDS):
+        good = at([row[i] for row in _RECEIPTS.values()])
+        made[f] = F.when(key % _BLANK == 0, "").when(key % _MARKED[f] == 0, F.concat(F.lit("?"), good)).otherwise(good)
+    rows = table(spark, sf_dir, "orders").select(key.alias("rec_id"), at(list(_RECEIPTS)).alias("type"), *[c.alias(f) for f, c in made.items()])
+    kind = F.col("type")
+    return rows.select("rec_id", "type", chains.chain_of(F.col("name")).alias("chain"), F.array_join(chains.broken_formats(kind, {f: F.col(f) for f in _FIELDS}), ",").alias("broken"), chains.line_name(kind, F.lit("01) VAT08  CAFE GOLD")).alias("line"))
+
+
 @query("SELECT (count(*) + 1)::BIGINT AS run, CASE WHEN count(*) >= 3 THEN 'budget' END AS refusal FROM region")
 def next_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of the next experiment and why it may not run."""

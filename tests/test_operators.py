@@ -299,3 +299,17 @@ def test_outcomes_may_tell_that_they_are_permanent(spark):
     got = {r["extract"]: (r["new_status"], r["new_code"]) for r in jobs.lifecycle(frame).collect()}
     gone = lambda code: ("FAILED_PERMANENT", code)
     assert got == {"gemini_client_error": gone("gemini_client_error"), "gemini_api_key_missing": gone("gemini_api_key_missing"), "permanent:new_code": gone("new_code"), "permanent:storage_transient": gone("storage_transient"), "new_code": ("FAILED_TRANSIENT", "lifecycle_uncaught")}
+
+
+def test_chain_formats(spark):
+    from tallywright.operators import chains
+
+    rows = [
+        ("lotte", "LOTTE MART NAM SAI GON", "1064-0020", "1064-0020", ""), ("lotte", "Emart Phan", "1064", "12345", "x"), ("bhx_2024", "BÁCH HÓA XANH", "106729", "OV1", "someone"), ("bhx_2024", "PHIẾU THANH TOÁN BÁCH HÓA XANH", "", None, None),
+        ("other", "x", "x", "x", "x"), (None, "GO! GO VAP", "1", "1", "1"), ("satra", "TRUNG TÂM THƯƠNG MẠI SATRA CỦ CHI", "SGT1", "24SGT", "Trần"),
+    ]
+    frame = spark.createDataFrame(rows, "type string, name string, pos_id string, receipt_number string, cashier string")
+    got = [tuple(r) for r in frame.select(chains.chain_of(F.col("name")).alias("c"), chains.broken_formats(F.col("type"), {c: F.col(c) for c in frame.columns[1:]}).alias("b")).collect()]
+    assert got == [("lotte", []), ("emart", ["name", "pos_id", "receipt_number", "cashier"]), ("bhx_2024", ["receipt_number", "cashier"]), (None, ["name"]), (None, []), ("bigc", []), ("satra", ["pos_id", "receipt_number"])]
+    lines = spark.createDataFrame([("emart", "01) VAT08  CAFE"), ("lotte", "01) VAT08  CAFE"), ("emart", None)], "t string, n string").select(chains.line_name(F.col("t"), F.col("n")).alias("l")).collect()
+    assert [r["l"] for r in lines] == ["CAFE", "01) VAT08  CAFE", ""]
