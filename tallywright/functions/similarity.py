@@ -34,9 +34,17 @@ def sequence_ratio(a: Column, b: Column) -> Column:
 
 
 def ratio_possible(a: Column, b: Column, above: float) -> Column:
-    """Whether the lengths allow a ratio beyond ``above``."""
+    """Whether a ratio beyond ``above`` is possible, by lengths first and then by edits.
+
+    Matching blocks are a common subsequence, so all characters beyond twice
+    their number are insertions and deletions, and no fewer than the edits
+    between the two: a ratio beyond ``above`` leaves fewer edits than ``1 - above``
+    of all characters. Spark's edit distance stops at that threshold, so few
+    pairs are left that a bound can't refuse.
+    """
     shorter, total = F.least(F.char_length(a), F.char_length(b)), F.char_length(a) + F.char_length(b)
-    return 2 * shorter > F.lit(above) * total
+    most = F.floor(F.lit(1 - above) * total + F.lit(1e-9)).cast("int")
+    return F.when(2 * shorter > F.lit(above) * total, F.call_function("levenshtein", a, b, most) >= 0).otherwise(False)
 
 
 def common_subsequence(a: str, b: str) -> int:

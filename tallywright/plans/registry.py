@@ -14,7 +14,7 @@ from tallywright.operators.job_table import JobTable
 from tallywright.plans import views
 from tallywright.plans.views import now, table
 from tallywright.schemas import DEFAULTS
-from tallywright.sources import files
+from tallywright.sources import files, json_arrays
 from tallywright.sources.shared import delete, shared_folder
 from tallywright.streaming import jobs as streams
 from tallywright.streaming import timed
@@ -334,6 +334,20 @@ def dictionary_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate.dictionary_profile(rows)
 
 
+@query(
+    "SELECT o_orderkey // 10000 AS part, (row_number() OVER (PARTITION BY o_orderkey // 10000 ORDER BY o_orderkey) - 1)::BIGINT AS place, o_orderkey, o_orderstatus || '\",[' AS mark,"
+    " round(o_totalprice * 100)::BIGINT AS cents FROM orders"
+)
+def json_array_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as JSON arrays, a file for each 10,000 keys, read again by ranges, with strings that look like the end of an element."""
+    path = f"{shared_folder(spark)}/arrays"
+    row = F.struct("o_orderkey", F.concat("o_orderstatus", F.lit('",[')).alias("mark"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    arrays = table(spark, sf_dir, "orders").groupBy(F.floor(F.col("o_orderkey") / 10000).alias("part")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    arrays.select(F.to_json("rows").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    found = json_arrays.elements(spark, path).select("place", F.from_json("raw", "o_orderkey long, mark string, cents long").alias("r"))
+    return found.select(F.floor(F.col("r.o_orderkey") / 10000).alias("part"), "place", "r.*")
+
+
 @query("SELECT (row_number() OVER (ORDER BY canonical) - 1)::INT AS pos, canonical FROM (SELECT DISTINCT trim(p_name) AS canonical FROM part)")
 def dictionary_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct names in code point order."""
