@@ -14,16 +14,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallywright.llm.common import mix64, partitions, text_pass
+from tallywright.llm.common import cut, give_back, mix64, partitions, sliced, text_pass
 
 #: Characters of a gram, and grams of a window: runs of 31 characters are always found.
 GRAM, WINDOW = 16, 16
-#: Buckets of documents for each task; a bucket's first row goes to two tasks.
-BUCKETS_PER_TASK = 4
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -101,101 +100,84 @@ def fingerprints(docs: DataFrame, text: str = "text", k: int = GRAM, w: int = WI
     return text_pass(docs, text, None, outputs, work)
 
 
-def with_followers(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Rows dealt out so that one pass over a task's rows sees each with its follower.
-
-    The order is by ``key``, then text; the last row's follower is the first of
-    all. Keys are cut into ranges of about equal counts, a few for each task.
-    Within a range rows are sorted; the first row of the next range comes once
-    more at its end, as a guest. The result has ``columns``, ``__bucket`` and
-    ``__guest``.
-
-    Only the cut points and the first key of each range come to the driver: a
-    fixed number for each task.
-    """
-    spark = docs.sparkSession
-    tasks = partitions(spark)
-    count = tasks * BUCKETS_PER_TASK
-    ids = docs.select(F.col(f"`{key}`").alias("k"))
-    cuts = ids.agg(F.percentile_approx("k", _numbers([i / count for i in range(1, count)], "double"), 100 * count).alias("c")).first()["c"]
-    cuts = sorted(set(cuts or []))
-    bucket = rank_among(F.col(f"`{key}`"), cuts)
-    firsts = {r["b"]: r["f"] for r in ids.select(rank_among(F.col("k"), cuts).alias("b"), "k").groupBy("b").agg(F.min(F.struct(F.col("k").isNotNull().alias("known"), "k"))["k"].alias("f")).collect()}
-    order = sorted(firsts)
-    # A range's first row is the guest of the range before it; the first of all, of the last.
-    hosts = {firsts[b]: order[i - 1] for i, b in enumerate(order)}
-    named = [F.col(f"`{c}`") for c in columns]
-    known = [(k, b) for k, b in hosts.items() if k is not None]
-    guests = docs.select(*named, F.col(f"`{key}`").alias("__key"))
-    table = spark.createDataFrame(known, schema=T.StructType([T.StructField("__k", docs.schema[key].dataType), T.StructField("__bucket", T.IntegerType())]))
-    guests = guests.join(F.broadcast(table), F.col("__key") == F.col("__k")).select(*named, "__key", "__bucket", F.lit(1).alias("__guest"))
-    if None in hosts:
-        guests = guests.unionByName(docs.filter(F.col(f"`{key}`").isNull()).select(*named, F.lit(None).cast(docs.schema[key].dataType).alias("__key"), F.lit(hosts[None]).alias("__bucket"), F.lit(1).alias("__guest")))
-    rows = docs.select(*named, F.col(f"`{key}`").alias("__key"), bucket.alias("__bucket"), F.lit(0).alias("__guest"))
-    return rows.unionByName(guests).repartition(tasks, "__bucket")
-
-
-def _numbers(values: list, kind: str) -> Column:
-    """An array of numbers that is one literal of the plan, however many there are."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
-
-
-def rank_among(value: Column, cuts: list) -> Column:
-    """How many of the sorted ``cuts`` are at or below ``value`` (0 for null), by halving."""
-    if not cuts:
-        return F.lit(0)
-    table = _numbers(cuts, "bigint") if all(type(c) is int for c in cuts) else F.array(*[F.lit(c) for c in cuts])
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
-    try_at = lambda low, step: F.when((low + step <= len(cuts)) & (F.try_element_at(table, low + step) <= value), low + step).otherwise(low)
-    return F.aggregate(steps, F.lit(0), try_at)
-
-
 def with_edited(text: str, following: str) -> str:
     """``text`` with its last quarter (rounded down) replaced by as much of the start of ``following``."""
     part = len(text) // 4
     return text[: len(text) - part] + following[:part]
 
 
+def in_order(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key and text in the order of the key (null first), then of a 64-bit hash of the text: ranges of about equal counts, one a task, each sorted.
+
+    Any type that Spark sorts is a key. One key, null too, or one text that very
+    many rows share spreads over tasks: rows that agree in both are told apart
+    by where they were read, which no result depends on.
+    """
+    named = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    order = [F.col("key").asc_nulls_first(), F.col("hash"), F.col("row")]
+    told = named.withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    return told.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).select("key", "text")
+
+
 def compared_with_follower(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = GRAM, w: int = WINDOW) -> DataFrame:
     """Each document's fingerprint against its edited text's and the next document's.
 
     Returns key, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next, kept (hashes kept). A null text is empty. Null keys
-    come first; equal keys follow by text. Likeness is Jaccard's of the kept
-    hashes, 1 for two empty texts. A table of one row is its own follower; an
-    empty one gives no rows.
+    near_edited, near_next, kept (hashes kept). A null text is empty. Keys of any
+    type that can be sorted; null keys come first, equal keys follow by a hash of
+    the text. Likeness is Jaccard's of the kept hashes, 1 for two empty texts. A
+    table of one row is its own follower; an empty one gives no rows.
+
+    Texts are shuffled once, in order. A task's last row has its follower in the
+    next task that has rows, so each task tells its first and last text, and a
+    small join brings these together. Only the numbers of tasks that have rows
+    come to the driver.
     """
-    dealt = with_followers(docs, key, [key, text])
-    ordered = dealt.sortWithinPartitions("__bucket", "__guest", F.col("__key").asc_nulls_first(), F.col(f"`{text}`").asc_nulls_first()).select(F.col("__key").alias("key"), F.col(f"`{text}`").alias("text"), "__bucket", "__guest")
+    spark = docs.sparkSession
     schema = T.StructType([
         T.StructField(key, docs.schema[key].dataType), T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()), T.StructField("fingerprint", T.StringType()),
         T.StructField("edited_fingerprint", T.StringType()), T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType()), T.StructField("kept", T.LongType()),
     ])
+    border = T.StructType([T.StructField("key", schema[0].dataType), *schema.fields[1:], T.StructField("place", T.StringType()), T.StructField("task", T.IntegerType()), T.StructField("text", T.StringType())])
+    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.string(), pa.int32(), pa.string()]
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for one in batches:
-            yield from zip(*(one.column(i).to_pylist() for i in range(4)))
+    def figures(one: str, marks: tuple, after: str, after_marks: tuple) -> tuple:
+        edited = with_edited(one, after)
+        edited_marks = winnow(edited, k, w)
+        sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
+        return len(one), sha, digest(*marks), digest(*edited_marks), likeness(marks[0], edited_marks[0]), likeness(marks[0], after_marks[0]), len(marks[0])
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(found: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*found), (key_type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()))], names=schema.names)
+    def out(found: list[tuple], kind: pa.DataType, names: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), [kind, *types])], names=names)
 
-        found, before, key_type = [], None, None
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, before, kind = TaskContext.get().partitionId(), None, None
+        for one in batches:
+            kind = one.schema.field(0).type
+            for part in sliced(one, 1):
+                found = []
+                for name, value in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    now = name, value or "", winnow(value or "", k, w)
+                    if before is None:
+                        found.append((None, *[None] * 7, "first", task, now[1]))
+                    else:
+                        found.append((before[0], *figures(*before[1:], *now[1:]), None, None, None))
+                    before = now
+                if found:
+                    yield out(found, kind, border.names)
+        if before is not None:
+            yield out([(before[0], *[None] * 7, "last", task, before[1])], kind, border.names)
+        give_back()
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for one in batches:
-            key_type = one.schema.field(0).type
-            for name, value, bucket, guest in rows([one]):
-                value = value or ""
-                marks = None if guest and (before is None or before[3] != bucket or before[4]) else winnow(value, k, w)
-                if before is not None and before[3] == bucket and not before[4]:
-                    earlier, earlier_marks = before[1], before[2]
-                    edited = with_edited(earlier, value)
-                    edited_marks = winnow(edited, k, w)
-                    found.append((before[0], len(earlier), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), digest(*earlier_marks), digest(*edited_marks), likeness(earlier_marks[0], edited_marks[0]), likeness(earlier_marks[0], marks[0]), len(earlier_marks[0])))
-                    if len(found) >= 1000:
-                        yield out(found)
-                        found = []
-                before = (name, value, marks, bucket, guest)
-        if found:
-            yield out(found)
-
-    return ordered.mapInArrow(compared, schema)
+            for part in sliced(one, 1):
+                found = [(name, *figures(text, winnow(text, k, w), after, winnow(after, k, w))) for name, text, after in zip(*(part.column(i).to_pylist() for i in range(3)))]
+                yield out(found, one.schema.field(0).type, schema.names)
+
+    done = cut(in_order(docs, key, text).mapInArrow(within, border))
+    firsts, lasts = (done.filter(F.col("place") == place).select("task", "key", "text") for place in ("first", "last"))
+    tasks = sorted(r["task"] for r in firsts.select("task").collect())
+    following = spark.createDataFrame(list(zip(tasks, tasks[1:] + tasks[:1])), "task int, next int")
+    pairs = lasts.join(F.broadcast(following), "task").join(firsts.select(F.col("task").alias("next"), F.col("text").alias("after")), "next").select("key", "text", "after")
+    return done.filter(F.col("place").isNull()).select(F.col("key").alias(key), *schema.names[1:]).unionByName(pairs.mapInArrow(across, schema))

@@ -87,6 +87,26 @@ def test_winnowing(docs, none):
     assert winnowing.fingerprints(docs.select("doc_id", "text", F.lit(1).alias("hashes"))).count() == len(ROWS)
 
 
+def test_winnowing_keys(spark):
+    """Keys of any type; thousands of null keys and of equal rows spread over tasks; every row has the follower that a plain sort gives."""
+    words = ["alpha", "beta", "gamma", "delta", "epsilon"]
+    texts = [" ".join(words[(i * j) % 5] for j in range(1, 12)) + str(i) for i in range(60)]
+    named = [(f"k{i:03d}", t) for i, t in enumerate(texts)]
+    rows = {r["name"]: r for r in winnowing.compared_with_follower(spark.createDataFrame(named, "name string, text string").repartition(5), key="name").collect()}
+    for i, (name, text) in enumerate(named):
+        after = texts[(i + 1) % len(texts)]
+        assert rows[name]["edited_sha256"] == hashlib.sha256(winnowing.with_edited(text, after).encode()).hexdigest()
+        assert rows[name]["near_next"] == winnowing.likeness(winnowing.winnow(text)[0], winnowing.winnow(after)[0])
+    keyless = spark.range(4000).select(F.lit(None).cast("string").alias("doc_id"), F.md5(F.col("id").cast("string")).alias("text"))
+    equal = spark.range(4000).select(F.lit("k").alias("doc_id"), F.lit("one text in very many rows").alias("text"))
+    both = keyless.unionByName(equal)
+    sizes = [len(p) for p in winnowing.in_order(both, "doc_id", "text").rdd.glom().collect()]
+    assert sum(sizes) == 8000 and max(sizes) < 4000
+    found = winnowing.compared_with_follower(both).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("near_next") == 1).alias("same")).collect()
+    # Null keys come first; the last equal row is followed by the first of all.
+    assert {(r["doc_id"], r["n"], r["same"]) for r in found} == {(None, 4000, 0), ("k", 4000, 3999)}
+
+
 def test_simhash(docs, none):
     rows = simhash.near_duplicates(docs).collect()
     assert len(rows) == len(ROWS)
