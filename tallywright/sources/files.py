@@ -14,12 +14,18 @@ from tallywright.schemas import GOLD, INVOICE
 from tallywright.sources import json_arrays
 
 
-def json_array(spark: SparkSession, path: str, schema: T.StructType = GOLD, position: str = "golden_index") -> DataFrame:
+def json_array(spark: SparkSession, path: str, schema: T.StructType = GOLD, position: str = "golden_index", by_ranges: bool = False) -> DataFrame:
     """Records of a JSON array file with their place in it; a record that doesn't parse has null fields.
 
-    A file is read by ranges, so many tasks share a long one; see ``json_arrays.elements``.
+    A JSON array is one document, so one task reads each file; its elements are
+    spread out after that. A file that is long for one task (2 GB are the most
+    it takes) is read ``by_ranges``: see ``json_arrays.elements``.
     """
-    items = json_arrays.elements(spark, path).select(F.col("place").cast("int").alias(position), "raw")
+    if by_ranges:
+        items = json_arrays.elements(spark, path).select(F.col("place").cast("int").alias(position), "raw")
+    else:
+        raw = spark.read.text(path, wholetext=True)
+        items = raw.select(F.posexplode(F.from_json("value", "array<string>")).alias(position, "raw"))
     return items.select(position, F.from_json("raw", schema, {"mode": "PERMISSIVE"}).alias("r")).select(position, "r.*")
 
 

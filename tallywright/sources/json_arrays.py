@@ -25,15 +25,19 @@ from tallywright.sources.shared import kept
 #: Ranges whose starts are sent to all tasks (under 50 MB); those of more meet them in a shuffle.
 SENT_RANGES = 262_144
 NO_ARRAY = "not one whole JSON array"
-_SUMMARY = "file string, start long, parity int, depth_0 long, depth_1 long, level_0 long, level_1 long, commas_0 long, commas_1 long"
+_SUMMARY = "range long, parity int, depth_0 long, depth_1 long, level_0 long, level_1 long, commas_0 long, commas_1 long"
 #: A level that no comma has.
 _NONE = 1 << 62
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """file, start of the range, value: the text between commas, in the order of the file within a range."""
+    """range, file, start of the range, value: the text between commas, in the order of the file within a range.
+
+    Pieces are many and short, so what goes with each of them to Python is one number of its range.
+    """
     text = spark.read.option("lineSep", ",").text(path)
-    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+    file, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    return text.select(F.xxhash64(file, start).alias("range"), file.alias("file"), start.alias("start"), "value")
 
 
 def _flat(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -75,85 +79,87 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     rows: list[list] = []
     for one in batches:
-        for file, start, at, stop in _ranges(one):
-            if not rows or rows[-1][:2] != [file, start]:
-                rows.append([file, start, 0, 0, 0, _NONE, _NONE, 0, 0])
+        for number, at, stop in _ranges(one):
+            if not rows or rows[-1][0] != number:
+                rows.append([number, 0, 0, 0, _NONE, _NONE, 0, 0])
             row = rows[-1]
-            odd, gained = _at_ends(one.column(2).slice(at, stop - at))
-            before = row[2]
+            odd, gained = _at_ends(one.column(1).slice(at, stop - at))
+            before = row[1]
             for side in (0, 1):
                 # Within the batch, a start on this side is one on the other side if quotes before it are odd in number.
-                depths = row[3 + side] + gained[side ^ before]
+                depths = row[2 + side] + gained[side ^ before]
                 level = depths[(odd ^ before ^ side) == 0]
                 if len(level):
                     low = int(level.min())
-                    number = int((level == low).sum())
-                    if low < row[5 + side]:
-                        row[5 + side], row[7 + side] = low, number
-                    elif low == row[5 + side]:
-                        row[7 + side] += number
-                row[3 + side] = int(depths[-1])
-            row[2] = before ^ int(odd[-1])
+                    commas = int((level == low).sum())
+                    if low < row[4 + side]:
+                        row[4 + side], row[6 + side] = low, commas
+                    elif low == row[4 + side]:
+                        row[6 + side] += commas
+                row[2 + side] = int(depths[-1])
+            row[1] = before ^ int(odd[-1])
     if rows:
-        types = [pa.string(), pa.int64(), pa.int32(), *[pa.int64()] * 6]
+        types = [pa.int64(), pa.int32(), *[pa.int64()] * 6]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[c.split()[0] for c in _SUMMARY.split(", ")])
 
 
-def _ranges(one: pa.RecordBatch) -> Iterator[tuple[str, int, int, int]]:
-    """file, start, first and end row of each range within a batch."""
-    if not one.num_rows:
-        return
-    files, starts = one.column(0).dictionary_encode(), one.column(1).to_numpy()
-    codes = files.indices.to_numpy()
-    edges = np.flatnonzero((np.diff(codes) != 0) | (np.diff(starts) != 0)) + 1
-    for at, stop in zip([0, *edges], [*edges, one.num_rows]):
-        yield files.dictionary[int(codes[at])].as_py(), int(starts[at]), int(at), int(stop)
+def _ranges(one: pa.RecordBatch) -> Iterator[tuple[int, int, int]]:
+    """Number, first and end row of each range within a batch."""
+    numbers = one.column(0).to_numpy()
+    edges = np.flatnonzero(np.diff(numbers)) + 1
+    if len(numbers):
+        for at, stop in zip([0, *edges], [*edges, len(numbers)]):
+            yield int(numbers[at]), int(at), int(stop)
 
 
 def _starts(spark: SparkSession, path: str) -> DataFrame:
-    """file, start, inside, depth, element: how each range begins; last: whether it is its file's last one; whole: whether the file is one array.
+    """range, file, start, inside, depth, element: how each range begins; last: whether it is its file's last one; whole: whether the file is one array.
 
     Windows over the ranges of a file, a row for each (of 128 MB, by Spark's
     default), so what they hold is a millionth of the file.
     """
-    ranges = kept(_pieces(spark, path).mapInArrow(_summed, _SUMMARY))
+    pieces = _pieces(spark, path)
+    named = pieces.select("range", "file", "start").distinct()
+    # Two ranges of one number would be taken for one: there is none of those, or the read fails.
+    sure = F.when(F.count("*").over(Window.partitionBy("range")) == 1, F.col("range")).otherwise(F.raise_error(F.lit("two ranges have one number")).cast("long"))
+    ranges = kept(pieces.select("range", "value").mapInArrow(_summed, _SUMMARY).join(named.withColumn("range", sure), "range"))
     before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy("file")
     sum_of = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
     side = lambda name: F.when(F.col("inside") == 1, F.col(f"{name}_1")).otherwise(F.col(f"{name}_0"))
-    chosen = ranges.withColumn("inside", (sum_of("parity") % 2).cast("int")).select("file", "start", "parity", "inside", side("depth").alias("gain"), side("level").alias("level"), side("commas").alias("n"))
+    chosen = ranges.withColumn("inside", (sum_of("parity") % 2).cast("int")).select("range", "file", "start", "parity", "inside", side("depth").alias("gain"), side("level").alias("level"), side("commas").alias("n"))
     # The end of a file counts as a comma, at level 0 if the array is closed there; no other comma is as low.
     deep = chosen.withColumn("depth", sum_of("gain")).withColumn("level", F.col("depth") + F.col("level")).withColumn("last", F.col("start") == F.max("start").over(everything))
     fits = F.when(F.col("last"), (F.col("level") == 0) & (F.col("n") == 1)).otherwise(F.col("level") >= 1)
     closed = (F.sum("gain").over(everything) == 0) & (F.sum("parity").over(everything) % 2 == 0) & F.min(fits).over(everything)
     counted = deep.withColumn("whole", closed).withColumn("n", F.when(F.col("level") == 1, F.col("n")).otherwise(F.lit(0)))
-    return counted.select("file", "start", "inside", "depth", sum_of("n").alias("element"), "last", "whole")
+    return counted.select("range", "file", "start", "inside", "depth", sum_of("n").alias("element"), "last", "whole")
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """file, place, start, shared, ends, raw: each element's text, or a range's part of one that it may share with others.
+    """range, place, shared, ends, raw: each element's text, or a range's part of one that it may share with others.
 
-    ``ends`` marks the part that a file ends with. Batches have file, start,
+    ``ends`` marks the part that a file ends with. Batches have range,
     value, inside, depth, element, last.
     """
-    names = ["file", "place", "start", "shared", "ends", "raw"]
-    now: tuple | None = None
+    names = ["range", "place", "shared", "ends", "raw"]
+    now: int | None = None
     inside = depth = place = 0
     first, last = True, False
     open_parts: list[str] = []
 
-    def rows(file: str, start: int, at: int, shared: list[bool], raw: pa.Array, ends: bool = False) -> pa.RecordBatch:
+    def rows(number: int, at: int, shared: list[bool], raw: pa.Array, ends: bool = False) -> pa.RecordBatch:
         n = len(raw)
-        return pa.RecordBatch.from_arrays([pa.array([file] * n, pa.string()), pa.array(np.arange(at, at + n), pa.int64()), pa.array(np.full(n, start), pa.int64()), pa.array(shared, pa.bool_()), pa.array([ends] * n, pa.bool_()), raw.cast(pa.string())], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, number), pa.int64()), pa.array(np.arange(at, at + n), pa.int64()), pa.array(shared, pa.bool_()), pa.array([ends] * n, pa.bool_()), raw.cast(pa.string())], names=names)
 
     for one in batches:
-        for file, start, at, stop in _ranges(one):
-            if now != (file, start):
+        for number, at, stop in _ranges(one):
+            if now != number:
                 if now is not None and open_parts:
-                    yield rows(*now, place, [True], pa.array([",".join(open_parts)]), last)
-                now, first, open_parts = (file, start), True, []
-                inside, depth, place, last = (one.column(i)[at].as_py() for i in (3, 4, 5, 6))
-            values = one.column(2).slice(at, stop - at)
+                    yield rows(now, place, [True], pa.array([",".join(open_parts)]), last)
+                now, first, open_parts = number, True, []
+                inside, depth, place, last = (one.column(i)[at].as_py() for i in (2, 3, 4, 5))
+            values = one.column(1).slice(at, stop - at)
             odd, gained = _at_ends(values)
             closes = np.flatnonzero(((odd ^ inside) == 0) & (depth + gained[inside] == 1)) + 1
             depth, inside = depth + int(gained[inside][-1]), inside ^ int(odd[-1])
@@ -163,13 +169,13 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 raw = pc.binary_join(lists, ",")
                 if open_parts:
                     raw = pa.concat_arrays([pa.array([",".join([*open_parts, raw[0].as_py()])]), raw.slice(1)])
-                yield rows(file, start, place, [first, *[False] * (len(closes) - 1)], raw)
+                yield rows(number, place, [first, *[False] * (len(closes) - 1)], raw)
                 place, first = place + len(closes), False
             tail = int(closes[-1]) if len(closes) else 0
             # What is open is joined at once, so a long element is a few parts and not its many pieces.
             open_parts = ([] if len(closes) else open_parts) + ([",".join(values.slice(tail).to_pylist())] if tail < len(values) else [])
     if now is not None and open_parts:
-        yield rows(*now, place, [True], pa.array([",".join(open_parts)]), last)
+        yield rows(now, place, [True], pa.array([",".join(open_parts)]), last)
 
 
 def elements(spark: SparkSession, path: str) -> DataFrame:
@@ -190,13 +196,15 @@ def elements(spark: SparkSession, path: str) -> DataFrame:
     few = len(starts.select(F.lit(1)).take(SENT_RANGES + 1)) <= SENT_RANGES
     if not few:
         pieces = pieces.withColumn("__at", F.monotonically_increasing_id())
-    met = pieces.join(F.broadcast(starts) if few else starts, ["file", "start"], "left")
+    begun = starts.select("range", "inside", "depth", "element", "last", "whole")
+    met = pieces.drop("file", "start").join(F.broadcast(begun) if few else begun, "range", "left")
     if not few:
-        met = met.repartition("file", "start").sortWithinPartitions("file", "start", "__at")
+        met = met.repartition("range").sortWithinPartitions("range", "__at")
     same = lambda c, error: F.when(c, F.col("inside")).otherwise(F.raise_error(F.lit(error)).cast("int"))
     sure = F.when(F.col("depth").isNull(), same(F.lit(False), "the file was cut in other ranges than before")).otherwise(same(F.col("whole"), NO_ARRAY))
-    found = met.select("file", "start", "value", sure.alias("inside"), "depth", "element", "last").mapInArrow(_elements, "file string, place long, start long, shared boolean, ends boolean, raw string")
-    written = kept(found)
+    found = met.select("range", "value", sure.alias("inside"), "depth", "element", "last").mapInArrow(_elements, "range long, place long, shared boolean, ends boolean, raw string")
+    where = starts.select("range", "file", "start")
+    written = kept(found).join(F.broadcast(where) if few else where, "range")
     whole = written.filter(~F.col("shared")).select("file", "place", F.lit(False).alias("ends"), "raw")
     # An element's parts are of ranges in a row; each but the last one ends at a comma.
     parts = F.transform(F.array_sort(F.collect_list(F.struct("start", "raw"))), lambda p: p["raw"])

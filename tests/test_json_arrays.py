@@ -81,7 +81,7 @@ def test_records(spark, tmp_path, cut_small):
     """Records with places from ranges; one that doesn't parse has null fields."""
     rows = [{"file": f"u/{i}", "name": f'n"{i},'} for i in range(100)]
     (tmp_path / "gold.json").write_text("[" + ",".join([*map(json.dumps, rows), "5"]) + "]")
-    found = files.json_array(spark, str(tmp_path / "gold.json")).orderBy("golden_index").collect()
+    found = files.json_array(spark, str(tmp_path / "gold.json"), by_ranges=True).orderBy("golden_index").collect()
     assert [(r["golden_index"], r["file"], r["name"]) for r in found] == [*((i, r["file"], r["name"]) for i, r in enumerate(rows)), (100, None, None)]
 
 
