@@ -13,12 +13,14 @@ def labelled_counts(events: DataFrame, labels: list[str]) -> DataFrame:
 
 
 def cumulative_histogram(values: DataFrame, value: str, bounds: tuple[float, ...], labels: list[str]) -> DataFrame:
-    """labels, le, n: observations at or below each bound, the last being infinity."""
-    les = F.array(*[F.lit(float(b)) for b in bounds], F.lit(float("inf")))
-    counts = [F.count_if(F.col(value) <= b).alias(f"b{i}") for i, b in enumerate(bounds)]
+    """labels, le, n: observations at or below each bound, the last being infinity.
+
+    A null or NaN is at or below none; labels that have nothing else come with zeros.
+    """
+    ends = (*map(float, bounds), float("inf"))
     # One row per label set comes out of the aggregate; bounds are spread after it.
-    wide = values.filter(F.col(value).isNotNull()).groupBy(*labels).agg(*counts, F.count("*").alias(f"b{len(bounds)}"))
-    pairs = F.arrays_zip(les.alias("le"), F.array(*[f"b{i}" for i in range(len(bounds) + 1)]).alias("n"))
+    wide = values.groupBy(*labels).agg(*[F.count_if(F.col(value) <= b).alias(f"b{i}") for i, b in enumerate(ends)])
+    pairs = F.arrays_zip(F.array(*map(F.lit, ends)).alias("le"), F.array(*[f"b{i}" for i in range(len(ends))]).alias("n"))
     return wide.select(*labels, F.inline(pairs).alias("le", "n"))
 
 
