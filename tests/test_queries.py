@@ -5,7 +5,7 @@ import os
 import duckdb
 from pyspark.sql import functions as F
 
-from tallywright.operators import metrics
+from tallywright.operators import metrics, score
 from tallywright.plans import registry
 
 SMALL = "/root/testdata/sf0.001"
@@ -31,3 +31,10 @@ def test_histogram_of_nulls_and_nan(spark):
     inf = float("inf")
     assert sorted(map(tuple, found)) == [("a", 0.5, 0), ("a", 1.0, 1), ("a", inf, 1), ("b", 0.5, 0), ("b", 1.0, 0), ("b", inf, 0)]
     assert metrics.histogram_quantile(spark.createDataFrame(found), 0.95, ["kind"]).filter(F.col("kind") == "b").count() == 0
+
+
+def test_similar_names_of_the_tables(spark):
+    names = [("old widget", "cold widget", True), ("cold widget", "old widget", True), ("old gizmo", "cold gizmo", False), ("old widget", "old widget.", True)]
+    rows = [("product_name", g, p, g, p, False, ok) for p, g, ok in names]
+    long = spark.createDataFrame(rows, "field string, expected string, predicted string, __g string, __p string, ok boolean, due boolean")
+    assert all(r["ok"] == r["due"] for r in score.settle_names(long).collect())
