@@ -356,8 +356,9 @@ def _heads(firsts: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     own = F.struct(*_NODE)
     grouped = cut(wanted.join(joined, own == F.col("node"), "left").select("doc", "no", *_NODE, F.coalesce("component", own).alias("group")))
     several = ties.groupBy("band").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("band")
-    some = ties.join(several, "band", "left_semi")
-    members = some.select("band", F.col("a").alias("id")).unionByName(some.select("band", F.col("b").alias("id"))).distinct().join(grouped.select(*_NODE, "group"), "id")
+    # Written, as it is read twice below: the ties would meet their bands four times.
+    both = ties.join(several, "band", "left_semi").select("band", F.explode(F.array("a", "b")).alias("id"))
+    members = cut(both.distinct().join(grouped.select(*_NODE, "group"), "id"))
     mark = F.xxhash64(*_NODE)
     open_ = members.groupBy("band").agg(F.count("*").alias("n"), F.min("group").alias("least"), F.max("group").alias("most"), F.sum(F.shiftright(mark, 20)).alias("sum"), F.bit_xor(mark).alias("xor"))
     # Bands of the same lines are one.
@@ -372,7 +373,7 @@ def _heads(firsts: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     final = cut(grouped.join(merged, F.col("group") == F.col("group_"), "left").withColumn("whole", F.coalesce("merged", "group")).select("doc", "no", *_NODE, "whole"))
     heads = final.groupBy("whole").agg(F.min(F.struct("doc", "no")).alias("head"), F.count("*").alias("n")).filter(F.col("n") > 1).select("whole", "head")
     found = cut(final.join(heads, "whole").select(*_NODE, "head"))
-    drop_cut(ties, edges, nodes, wanted, fetched, joined, grouped, later, final)
+    drop_cut(ties, edges, nodes, wanted, fetched, joined, grouped, members, later, final)
     return found
 
 

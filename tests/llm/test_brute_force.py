@@ -175,6 +175,15 @@ def test_lines_of_one_large_group(spark, monkeypatch, sent):
     assert [r["doc_id"] for r in lines.deduplicated(docs).orderBy("doc_id").collect()] == [0, 100]
 
 
+def test_ties_meet_their_bands_once(spark, monkeypatch):
+    """What compares a band's components reads its lines from a table: no plan joins the ties anew."""
+    plans, solve = [], lines.connected_components
+    monkeypatch.setattr(lines, "connected_components", lambda pairs: plans.append(pairs._jdf.queryExecution().optimizedPlan().toString()) or solve(pairs))
+    texts = {i: f"one line that many of them have but for {i}" for i in range(6)}
+    assert lines.line_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).count() == 6
+    assert len(plans) == 2 and "LeftSemi" not in plans[1]
+
+
 def test_lines_in_a_chain(spark, monkeypatch):
     """Each line is near the next ones only, and the chain spans over fifty tiles: one component all the same, and nothing else in it."""
     monkeypatch.setattr(lines, "TILE", 4)
