@@ -116,15 +116,23 @@ class JobTable:
         old = F.col("status").isin(*TERMINAL) & (F.col("updated_at") < now - F.expr(f"INTERVAL {settings.retention_days} DAYS"))
         return self.delete(self.read().filter(old), number)
 
-    def read(self) -> DataFrame:
-        """The table as it is now. Buckets that no change has met are read as they lie; the others are merged."""
-        return self._merged(self._changes(), only_met=False).select(*_COLUMNS)
+    def read(self, ids: DataFrame | None = None) -> DataFrame:
+        """The table as it is now, or those of its jobs that are in ``ids`` (``job_id``).
 
-    def _merged(self, changes: list[int], only_met: bool) -> DataFrame:
+        Buckets that no change has met are read as they lie; the others are merged.
+        Jobs that are not asked for are left out before the merge, so it costs what
+        is asked, not what the table holds.
+        """
+        return self._merged(self._changes(), only_met=False, ids=ids).select(*_COLUMNS)
+
+    def _merged(self, changes: list[int], only_met: bool, ids: DataFrame | None = None) -> DataFrame:
         base, log = self._base(), self._log(changes)
+        if ids is not None:
+            asked = ids.select("job_id")
+            base, log = (rows.join(asked, "job_id", "left_semi").select(*rows.columns) for rows in (base, log))
         if not changes:
             return base
-        met = sorted(r["bucket"] for r in log.select("bucket").distinct().collect())
+        met = sorted(r["bucket"] for r in self._log(changes).select("bucket").distinct().collect())
         untouched, touched = base.filter(~F.col("bucket").isin(*met)), base.filter(F.col("bucket").isin(*met))
         merged = merge(touched, log).select(*base.columns)
         return merged if only_met else untouched.unionByName(merged)

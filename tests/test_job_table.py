@@ -6,8 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallywright.operators import jobs
+from tallywright.operators import job_table, jobs
 from tallywright.operators.job_table import JobTable
+from tallywright.streaming.consumer import Consumer
 
 
 def at(day):
@@ -107,3 +108,21 @@ def test_changes_of_jobs_that_are_not_there(spark, tmp_path, rows):
     assert table.read().count() == 0
     table.compact()
     assert table.read().count() == 0
+
+
+def test_batch_merges_its_own_jobs_only(spark, tmp_path, monkeypatch):
+    """What a batch of the consumer merges follows its messages, not the table; what is read is what a whole read has."""
+    table = JobTable(spark, str(tmp_path / "t"), 4)
+    name = "0b8e2f4e-0d0c-4c56-8a2f-{:012d}".format
+    table.insert(jobs.new_jobs(spark.createDataFrame([(name(i), "u") for i in range(60)], "job_id string, image_url string"), at(1)))
+    table.compact()
+    table.update(spark.createDataFrame([(name(i), "PROCESSING") for i in range(60)], "job_id string, status string"), at(2))
+    table.delete(spark.createDataFrame([(name(3),)], "job_id string"))
+    asked = spark.createDataFrame([(name(i),) for i in (1, 3, 5, 99)], "job_id string")
+    assert sorted(table.read(asked).collect()) == sorted(r for r in table.read().collect() if r["job_id"] in (name(1), name(5)))
+    merged, merge = [], job_table.merge
+    monkeypatch.setattr(job_table, "merge", lambda base, log: merged.append(base.count() + log.count()) or merge(base, log))
+    messages = asked.withColumn("image_url", F.lit("u"))
+    consumer = Consumer(table, lambda m: m, str(tmp_path / "c"), str(tmp_path / "q"))
+    assert {r["job_id"] for r in consumer.judged(messages, 0).collect()} == {name(i) for i in (1, 3, 5, 99)}
+    assert merged == [3 * 2 + 1]
