@@ -1,7 +1,9 @@
 """Timers, rates and the consumer as streams: out of order, late, restarted."""
 
+import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,6 +56,43 @@ def test_late_rows_have_an_output_of_their_own(spark, tmp_path):
     assert {(r["job_id"], r["status"], r["error_code"]) for r in timed.on_time(rows).filter("at < 10000 AND status <> 'PROCESSING'").collect()} == {("a", "FAILED_TRANSIENT", "stale_timeout"), ("b", "SUCCEEDED", None)}
 
 
+def test_many_events_of_a_job_are_few_rows_of_state(spark, tmp_path):
+    """Neither the operator nor its state has a row for each event: they grow with jobs and packs."""
+    folder, n = str(tmp_path / "in"), 2_000
+    for part in range(2):
+        rows = spark.range(part * 3 * n, (part + 1) * 3 * n).select(F.concat(F.lit("j"), F.col("id") % 3).alias("job_id"), (F.col("id") / 100).alias("at"), F.col("id").alias("seq"), F.lit("PROCESSING").alias("status"))
+        rows.coalesce(1).write.mode("append").parquet(folder)
+    spark.createDataFrame([("~", END, 0, "PENDING")], LOG).coalesce(1).write.mode("append").parquet(folder)
+    stream = timed.timed_out_jobs(spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(folder))
+    with timed.timed_state(spark):
+        query = stream.writeStream.format("memory").queryName("few_rows").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    assert sum(o.numRowsUpdated for p in query.recentProgress for o in p.stateOperators) < 100
+    ends = {f"j{j}": (n + n, 6 * n / 100 - (3 - j) / 100 + 900) for j in range(3)}
+    got = spark.table("few_rows").filter("job_id <> '~'").groupBy("job_id").agg(F.count("event_id").alias("n"), F.max(F.when(F.col("error_code") == "stale_timeout", F.col("at"))).alias("at"))
+    assert {r["job_id"]: (r["n"], pytest.approx(r["at"])) for r in got.collect()} == ends
+
+
+@pytest.mark.parametrize("most", [1, 3, 1 << 16])
+def test_packs_keep_every_event(monkeypatch, most):
+    """Without a job, a number or a state, with states that nobody knows, cut where a pack is full."""
+    monkeypatch.setattr(timed, "PACK", most)
+    rnd = random.Random(most)
+    rows = [{"job_id": rnd.choice(["a", "b", "", None]), "at": rnd.uniform(-9, 9), "seq": rnd.choice([None, i, -(2**62) - i]), "status": rnd.choice(["PENDING", 'o"dd\n', None])} for i in range(40)]
+    schema = pa.schema([("job_id", pa.string()), ("at", pa.float64()), ("seq", pa.int64()), ("status", pa.string())])
+    batch = pa.RecordBatch.from_pylist(rows, schema)
+    packs = [p for b in timed._packed(iter([batch.slice(0, 11), batch.slice(11, 0), batch.slice(11)])) for p in b.to_pylist()]
+    assert all(len(p["events"]) <= most * timed._EVENT.itemsize for p in packs)
+    rest = pa.schema([("job_id", pa.string()), ("events", pa.binary()), ("names", pa.string()), ("status", pa.string()), ("error_code", pa.string()), ("ignored", pa.bool_()), ("late", pa.bool_())])
+    out = [r for b in timed._unpacked(iter([pa.RecordBatch.from_pylist(packs, rest)])) for r in b.to_pylist()]
+    assert sorted(map(repr, rows)) == sorted(repr({"job_id": r["job_id"], "at": r["at"], "seq": r["event_id"], "status": r["status"]}) for r in out)
+    events, names = timed._in_order([(p["events"], p["names"]) for p in packs])
+    assert [e["at"] for e in events] == sorted(r["at"] for r in rows) and names == [None, "PENDING", 'o"dd\n']
+    assert {s for p in packs for s in json.loads(p["names"])} == set(names)
+    with pytest.raises(ValueError, match="no time"):
+        list(timed._packed(iter([pa.RecordBatch.from_pylist([{**rows[0], "at": None}], schema)])))
+
+
 COUNTER = T.StructType([T.StructField("series", T.StringType()), T.StructField("at", T.DoubleType()), T.StructField("seq", T.LongType()), T.StructField("value", T.DoubleType())])
 
 
