@@ -8,8 +8,9 @@ import re
 from pyspark.sql import functions as F
 
 from tallywright.functions import similarity, text
-from tallywright.operators import score
+from tallywright.operators import match, score
 from tallywright.plans import views
+from tallywright.schemas import PRODUCT_FIELDS
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -63,3 +64,20 @@ def test_numbers_told_by_one_look(spark):
         kept = re.sub(r"[^\d]", "", r["v"]).lstrip("0")
         assert r["money"] == ("" if r["v"] == "" else kept or "0"), r
         assert r["v"] == "" or r["same"] == r["long"], r
+
+
+def test_postprocessed_moves_no_records(spark, monkeypatch):
+    """Results of few names go to the records, which stay where they are; those of many meet them by joins, with the same result."""
+    kinds = dict.fromkeys(PRODUCT_FIELDS, "string")
+    names = ["Milk Tea Bottle", "MILK TEA BOTTLE", "milk tea botle", "no such thing", "", None, "Othe"]
+    lines = lambda i: [{**dict.fromkeys(PRODUCT_FIELDS, "1"), "product_name": names[(i + k) % len(names)]} for k in range(i % 4)]
+    rows = [(i, record(name=names[i % 7], products=lines(i)) if i % 5 else None) for i in range(30)]
+    frame = spark.createDataFrame(rows, f"id int, record {RECORD.split('products:')[0]}products:array<struct<{','.join(f'{k}:{v}' for k, v in kinds.items())}>>>")
+    entries = spark.createDataFrame([(0, "Milk Tea Bottle"), (1, "Other")], "pos int, canonical string")
+    few = match.postprocessed(frame, entries, entries, scorer=similarity.edit_score)
+    assert "hashpartitioning" not in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(match, "SENT_ENTRIES", 1)
+    many = match.postprocessed(frame, entries, entries, scorer=similarity.edit_score)
+    assert "hashpartitioning" in many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+    assert {p["product_name"] for r in few.collect() if r["record"] for p in r["record"]["products"]} == {"Milk Tea Bottle", "Other", "no such thing", ""}
